@@ -148,10 +148,29 @@ def _size(data: bytes, at: int) -> tuple[int, int] | None:
     return SAMPLES // 8 * KBITS[index] * 1000 // RATES[kind] + (data[at + 2] >> 1 & 1), RATES[kind]
 
 
+def _protected(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """What a frame's checksum covers, and the checksum; None for a frame without one."""
+    if data[at + 1] & 1:
+        return None
+    side = SIDE if data[at + 3] >> 6 == 3 else 32
+    return data[at + 2 : at + 4] + data[at + 6 : at + 6 + side], data[at + 4] << 8 | data[at + 5]
+
+
+def _frame(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """Size and rate of a frame that begins here: one that fits, and that another or the end follows, or whose checksum holds."""
+    found = _size(data, at)
+    if not found or at + found[0] > end:
+        return None
+    if at + found[0] == end or _size(data, at + found[0]):
+        return found
+    covered = _protected(data, at)
+    return found if covered and crc16(covered[0]) == covered[1] else None
+
+
 def _sync(data: bytes, at: int, end: int) -> int:
-    """Where the next frame begins: one that another, or the end, follows."""
+    """Where the next frame begins, or the end."""
     while (at := data.find(b"\xff", at, end)) >= 0:
-        if (found := _size(data, at)) and (at + found[0] == end or at + found[0] < end and _size(data, at + found[0])):
+        if _frame(data, at, end):
             return at
         at += 1
     return end
@@ -178,8 +197,8 @@ def parse(data: bytes) -> Stream:
                 tags.setdefault(name, value)
     crcs: dict[bytes, int] = {}
     while at < end:
-        found = _size(data, at)
-        if not found or at + found[0] > end:
+        found = _frame(data, at, end)
+        if not found:
             begins = _sync(data, at + 1, end)
             skipped += begins - at
             at = begins
@@ -201,10 +220,10 @@ def parse(data: bytes) -> Stream:
         else:
             sound = True
             if protected:
-                covered = data[at + 2 : at + 4] + data[at + 6 : body]
+                covered, stated = _protected(data, at)
                 if covered not in crcs:
                     crcs[covered] = crc16(covered)
-                sound = crcs[covered] == data[at + 4] << 8 | data[at + 5]
+                sound = crcs[covered] == stated
             held = min(_held(data[body - SIDE : body]), at + size - body) if side == SIDE else 0
             frames.append(Frame(at, size, SAMPLES, rate, body, held, sound))
         at += size

@@ -1,0 +1,485 @@
+import hashlib
+import itertools
+import math
+import os
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from helpers import TEXTS, documents, empty
+
+from cadenza.llm import bpe, html, op01_template, op02_mpeg, op03_sharding, op04_quality, op05_dac, op06_embeddings, op07_simhash, op08_bpe, op09_mixing, op10_pst
+from cadenza.llm.common import Scratch
+from cadenza.llm.components import connected_components
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# components
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(200)] + [(None, 5), (7, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")))}
+    assert got == {x: find(x) for x in list(up)}
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
+
+
+# 1: html
+
+PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body class="has-sidebar"><div class="site-menu"><ul><li><a href=/>Home</a></ul></div>
+{ad}<article><h1>T{i} &amp; co</h1><p>First <b>bold{i}</b>,
+ line<p>Second &lt;{i}&gt;<script>var a="</p>";</script><div class="comments"><p>nice</p></div></article><footer>f</footer></body></html>"""
+
+
+def test_html_article():
+    assert op01_template.main_text(html.read(PAGE.format(i=3, ad="")), set()) == "T3 & co\nFirst bold3, line\nSecond <3>"
+
+
+@pytest.mark.parametrize("source", ["", "<", "<<p", "a<b", "<p", "</p></p>", "<!--", "<script>", "<p class='x>y", "&#xZZ;&", "<a" * 50, "x" * 100_000])
+def test_html_never_fails(source):
+    html.read(source)
+
+
+def test_template_takes_what_pages_share(spark):
+    body = "<html><body><div class=top>Shared head</div><div><p>Own text number {i} of the page</p></div><div><p>All rights here</p></div></body></html>"
+    data = [(i, f"http://h.example/{i}", body.format(i=i)) for i in range(8)] + [(100, "http://one.example/", body.format(i=100)), (101, None, None), (102, "x", ""), (100, "http://one.example/", body.format(i=100))]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({})
+    got = rows(op01_template.extract(df, Scratch(spark, "t")))
+    assert len(got) == len(data)
+    by = {r["page_id"]: r for r in got}
+    assert by[3]["text"] == "Own text number 3 of the page" and by[3]["n_classes"] > 0 and by[3]["n_chars"] == 29
+    assert by[100]["text"] == "Shared head\nOwn text number 100 of the page\nAll rights here"
+    assert by[101]["text"] == by[102]["text"] == "" and by[101]["url"] is None
+    assert op01_template.extract(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_equivalence_classes_against_vectors(spark):
+    pages = [f"<html><body><div class=a>x{i}</div>" + "<p>r</p>" * (i % 3) + ("<div class=b>y</div>" if i % 2 else "") + "</body></html>" for i in range(12)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = op01_template.roles(df, "page_id", "url", "html")
+    got = {frozenset(c["members"]) for r in op01_template.templates(found).collect() for c in r["classes"]}
+    vectors = {}
+    for i, p in enumerate(pages):
+        for role, n in Counter(html.read(p).roles).items():
+            vectors.setdefault(op01_template._hash(role), {})[i] = n
+    classes = {}
+    for token, v in vectors.items():
+        if len(v) >= 6:
+            classes.setdefault(tuple(sorted(v.items())), set()).add(token)
+    assert got == {frozenset(c) for c in classes.values()}
+
+
+# 2: media
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 937, 938, 1874, 50_000])
+def test_mpeg_round_trip(n):
+    data = os.urandom(n)
+    payload = op02_mpeg.pad(data)
+    assert len(payload) % 192 == 0 and len(payload) > 0
+    stream = op02_mpeg.parse(media := op02_mpeg.write(payload, n))
+    assert op02_mpeg.payload_of(media, stream) == payload and stream.skipped == 0 and all(f.sound for f in stream.frames)
+    assert stream.vbr[0] == len(stream.frames) and stream.seconds == pytest.approx(len(stream.frames) * 0.024)
+
+
+def test_mpeg_resynchronises_and_sees_damage():
+    media = op02_mpeg.write(op02_mpeg.pad(b"abc" * 3000), 9000)
+    whole = op02_mpeg.parse(media)
+    at = whole.frames[3].at
+    broken = op02_mpeg.parse(media[:at] + b"\xff\xfb junk" * 40 + media[at:] + b"TAG" + b"title".ljust(125, b"\0"))
+    assert len(broken.frames) == len(whole.frames) and broken.skipped == 280 and broken.tags["title"] == "title"
+    hurt = bytearray(media)
+    hurt[at + 8] ^= 1
+    assert [f.sound for f in op02_mpeg.parse(bytes(hurt)).frames].count(False) == 1
+
+
+def test_mpeg_query(spark):
+    df = documents(spark)
+    got = rows(op02_mpeg.read(op02_mpeg.store(df, Scratch(spark, "t"))))
+    assert len(got) == df.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            raw = (TEXTS[r["doc_id"]] or "").encode()
+            pay = raw + b" " * (max(1, math.ceil(len(raw) / 192)) * 192 - len(raw))
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
+    assert op02_mpeg.read(op02_mpeg.store(empty(spark), Scratch(spark, "t"))).count() == 0
+
+
+# 3: sharding
+
+
+def check_shards(got, n):
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == n and max(sizes.values()) - min(sizes[s] for s in range(8)) <= 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+
+
+def test_sharding_law(spark):
+    df = documents(spark)
+    got = rows(op03_sharding.shard(df, Scratch(spark, "t")))
+    check_shards(got, df.count())
+    assert {r["doc_id"]: r["size"] for r in got}[6] == len(TEXTS[6].encode()) + 1
+    assert {r["doc_id"]: r["text_crc32"] for r in got}[4] == 0
+    assert op03_sharding.shard(empty(spark), Scratch(spark, "t")).count() == 0
+
+
+def test_sharding_keeps_families_and_splits_hot_groups(spark):
+    texts = ["hot copy " * 5] * 300 + [f"family {f} has this very line in common, whatever comes\nown {i}" for f in range(60) for i in range(8)] + [f"alone {i}" for i in range(120)]
+    got = rows(op03_sharding.shard(documents(spark, texts, False), Scratch(spark, "t")))
+    check_shards(got, len(texts))
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    whole = sum(len({shard[300 + f * 8 + i] for i in range(8)}) == 1 for f in range(60))
+    cut = sum(shard[300 + f * 8 + i] != shard[300 + f * 8 + j] for f in range(60) for i, j in itertools.combinations(range(8), 2))
+    assert whole >= 20 and cut < 0.4 * 60 * 28  # at random 7 / 8 of the links are cut
+    assert len({shard[i] for i in range(300)}) <= 5
+
+
+# 4: quality
+
+
+def labelled(spark, n=400):
+    rng = random.Random(5)
+    words = ["anda", "thor", "inle", "ress", "onti", "hana"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(5, 200))) for _ in range(n)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(n)]
+    texts = [t if q else " ".join(w + "%%%" for w in t.split()) for t, (_, q, _) in zip(texts, labels, strict=True)]
+    return documents(spark, texts, False), spark.createDataFrame([*labels, (10**9, 1, 0), (None, 0, 0), (0, None, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_quality_learns(spark):
+    docs, labels = labelled(spark)
+    got = rows(op04_quality.classify(docs, labels))
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["predicted"] == (r["doc_id"] % 3 > 0) for r in held) >= 0.95 * len(held)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_quality_sees_the_whole_text_and_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    net = op04_quality.Net(rng.standard_normal((256, 8)), rng.standard_normal((6, 8, 12)), rng.standard_normal(12), rng.standard_normal(24), 0.1)
+    tables = net.tables()
+    data = rng.integers(0, 256, 3000, dtype=np.uint8)
+    e = net.embed[data]
+    conv = sum(e[k : len(data) - 5 + k] @ net.filters[k] for k in range(6)) + net.bias
+    assert np.allclose(op04_quality.features(net, tables, data.tobytes())[12:], np.maximum(conv, 0).max(axis=0), atol=1e-3)
+    docs, labels = documents(spark), labelled(spark)[1]
+    got = rows(op04_quality.classify(docs, labels.limit(0)))
+    assert len(got) == docs.count() and {r["score"] for r in got} == {0.5}
+    assert op04_quality.classify(empty(spark), labels).count() == 0
+    assert op04_quality.keep_good(docs, net).columns == docs.columns
+
+
+# 5: codes
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 511, 512, 513, 3000])
+def test_codes_random_access(n):
+    values = np.random.default_rng(n).choice([0, 3, 255, 256, 50_256, 70_000, 2**32 - 1], n).astype(np.uint32)
+    codes = op05_dac.Codes.encode(values)
+    codes = op05_dac.Codes.from_bytes(codes.to_bytes(), len(codes.levels))
+    assert [codes.access(i) for i in range(n)] == values.tolist()
+    for i, j in itertools.product(range(0, n + 1, max(1, n // 7)), repeat=2):
+        assert codes.slice(i, j).tolist() == values[i:j].tolist()
+
+
+def test_codes_query(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = documents(spark)
+    got = rows(op05_dac.read(op05_dac.write(df, Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), PATTERN, 2)))
+    assert len(got) == df.count()
+    start = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == start
+        if r["doc_id"] is not None:
+            ids = [*tok.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+            assert r["n_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda x: (x is not None, x))
+    assert op05_dac.read(op05_dac.write(empty(spark), Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), PATTERN, 2)).count() == 0
+
+
+def test_segments_are_cut_and_joined(spark, monkeypatch):
+    import struct
+
+    segment = op05_dac.write_segment([5, None, 7], [struct.pack("<2I", 1, 300), b"", struct.pack("<I", 70_000)])
+    docs, begins, codes = op05_dac.read_segment(segment)
+    assert docs == [5, None, 7] and begins.tolist() == [0, 2, 2, 3] and codes.slice(0, 3).tolist() == [1, 300, 70_000]
+
+
+# 6: embeddings
+
+
+def test_embeddings_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((30, 16))
+    vectors = [b + rng.standard_normal(16) * s for b in base for s in (0, 0, 0.05, 0.2, 0.4)]
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0, None] + [0.0] * 14, [float("inf")] + [1.0] * 15, [1.0, 2.0]]
+    data += [(1000 + i, v) for i, v in enumerate(bad)] + [(None, data[0][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = rows(op06_embeddings.near_duplicates(df, Scratch(spark, "t")))
+    assert len(got) == len(data)
+    x = np.array([v for _, v in data[:150]])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    label = list(range(150))
+    for _ in range(150):
+        label = [min(label[j] for j in np.flatnonzero(close[i])) for i in range(150)]
+    links = close.sum(axis=1) - 1 + close[0]  # one more row equals vector 0
+    by = {r["vec_id"]: r for r in got}
+    exact = sum(by[i]["n_links"] == links[i] and by[i]["component_id"] == label[i] for i in range(150))
+    assert exact >= 147
+    assert all(by[1000 + i]["n_links"] == 0 and by[1000 + i]["kept"] for i in range(7))
+    assert by[None]["component_id"] == by[0]["component_id"]
+    assert op06_embeddings.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_embeddings_tiles(spark, monkeypatch):
+    monkeypatch.setattr(op06_embeddings, "TILE", 16)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(8) + 0.05 * rng.standard_normal((120, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in rows(op06_embeddings.near_duplicates(df, Scratch(spark, "t")))}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i]["n_links"] for i in range(120)] == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_embedding_plan_keeps_recall():
+    for n in (10, 10_000, 10**9):
+        bits, tables = op06_embeddings.plan(n)
+        assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.99
+
+
+# 7: simhash
+
+
+def brute_fingerprint(text):
+    w = (text or "").encode()
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in w).split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def test_fingerprints_agree_with_the_engine(spark):
+    df = documents(spark)
+    got = rows(op07_simhash.near_duplicates(df, Scratch(spark, "t")))
+    assert len(got) == df.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["fingerprint"] == f"{brute_fingerprint(TEXTS[r['doc_id']]):016x}"
+    one = spark.sql("select xxhash64('two words') h").first()["h"] & (2**64 - 1)
+    assert xxhash.xxh64_intdigest(b"two words", 42) == one
+    by = {r["doc_id"]: r["component_id"] for r in got}
+    assert by[3] == by[4] == by[5] == 3 and by[1] == 0
+    assert op07_simhash.near_duplicates(empty(spark), Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("group", [2048, 8])
+def test_links_match_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(op07_simhash, "GROUP", group)
+    rng = random.Random(group)
+    codes = set()
+    for _ in range(25):
+        c = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 20)):
+            for b in rng.sample(range(64), rng.randrange(0, 5)):
+                c ^= 1 << b
+            codes.add(c)
+    codes = sorted(codes)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    links = op07_simhash.link_codes(spark.createDataFrame([(c,) for c in signed], "code long"), Scratch(spark, "t"))
+    got = {r["node"]: r["component"] for r in rows(connected_components(links, Scratch(spark, "t")))}
+    label = {c: c for c in signed}
+    for _ in range(40):
+        for (a, x), (b, y) in itertools.combinations(zip(codes, signed, strict=True), 2):
+            if (a ^ b).bit_count() <= 3:
+                label[x] = label[y] = min(label[x], label[y])
+    assert {c: got.get(c, c) for c in signed} == label
+
+
+def test_keep_first_keeps_one_of_each(spark):
+    df = documents(spark)
+    kept = op07_simhash.keep_first(df, Scratch(spark, "t"))
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in rows(kept)]
+    assert len(ids) == len(set(ids)) and 1 not in ids and 0 in ids
+
+
+# 8: byte-level BPE
+
+
+def encoding():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_rank_library(spark):
+    own, table = op08_bpe.encoder(RANKS, PATTERN)
+    enc, rng = encoding(), random.Random(1)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices([*spaces, *"ab'sl,.1Ⅷé漢ß", "\U0001f600", "<|endoftext|>"], k=60)) for _ in range(300)]
+    texts += ["a" * n for n in range(1, 40)] + ["".join(map(chr, range(i, i + 256))) for i in range(0, 0xD700, 256)]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids.tolist() == enc.encode_ordinary(t)
+        assert bpe.decode_bytes(ids, table) == t.encode()
+    stream = bpe.StreamDecoder(table)
+    t = "漢字🎉é"
+    assert "".join(stream.feed([i]) for i in own.encode(t).tolist()) + stream.end() == t
+
+
+def test_bpe_offsets_and_query(spark):
+    own, table = op08_bpe.encoder(RANKS, PATTERN)
+    ids, begins = own.encode_offsets("naïve 漢")
+    assert all("naïve 漢".encode()[b:].startswith(table[i]) for i, b in zip(ids.tolist(), begins.tolist(), strict=True))
+    df, enc = documents(spark), encoding()
+    for r in rows(op08_bpe.round_trip(df, RANKS, PATTERN)):
+        if r["doc_id"] is not None:
+            t = TEXTS[r["doc_id"]] or ""
+            want = enc.encode_ordinary(t)
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    both = op08_bpe.decode(op08_bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN)
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows(both))
+    assert op08_bpe.round_trip(empty(spark), RANKS, PATTERN).count() == 0
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    own, enc = bpe.PieceEncoder(bpe.tokenizer_from_ranks(bpe.read_ranks(RANKS)), PATTERN), encoding()
+    for i in range(30):
+        t = f"w{i} v{i + 1} common"
+        assert own.encode(t).tolist() == enc.encode_ordinary(t)
+    assert len(own.memo) < 20
+
+
+# 9: mixing
+
+
+def brute_fill(amount, kids):
+    """kids: name -> (weight, room)."""
+    given, left = {}, dict(kids)
+    while left:
+        w = sum(x[0] for x in left.values())
+        full = {k: x for k, x in left.items() if x[1] <= amount * x[0] / w}
+        if not full:
+            return given | {k: amount * x[0] / w for k, x in left.items()}
+        for k, x in full.items():
+            given[k] = x[1]
+        amount -= sum(x[1] for x in full.values())
+        left = {k: x for k, x in left.items() if k not in full}
+    return given
+
+
+def test_mixing_brute_force(spark):
+    rng = random.Random(9)
+    data = [(i, "x" * rng.randrange(0, 400), rng.choice(["en", "de", "xx", None]), rng.choice([f"src{k}" for k in range(9)] + ["plain", None])) for i in range(500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    tok = {i: len(t) // 4 + 1 for i, t, *_ in data}
+    leaf = {i: ("d" + (str(int(s[3:]) % 4) if s and s[3:].isdigit() else "0"), g or "", s or "") for i, _, g, s in data}
+    supply = Counter()
+    for i in tok:
+        supply[leaf[i]] += tok[i]
+    epochs = 2
+    room = lambda p: sum(v for k, v in supply.items() if k[: len(p)] == p) * epochs
+    total = math.floor(sum(supply.values()) * 0.8)
+    d = brute_fill(total, {x: (op09_mixing.DOMAIN_WEIGHTS.get(x, 1), room((x,))) for x in {k[0] for k in supply}})
+    want = {}
+    for x in d:
+        g = brute_fill(d[x], {y: (op09_mixing.LANG_WEIGHTS.get(y, 1), room((x, y))) for y in {k[1] for k in supply if k[0] == x}})
+        for y in g:
+            want |= {(x, y, s): math.floor(b + 1e-6) for s, b in brute_fill(g[y], {k[2]: (1, room(k)) for k in supply if k[:2] == (x, y)}).items()}
+    took = Counter()
+    for k, b in want.items():
+        whole, rest = divmod(b, supply[k])
+        mine = sorted((hashlib.md5(f"1|{whole}|{i}".encode()).hexdigest(), i) for i in tok if leaf[i] == k)
+        for i in tok:
+            if leaf[i] == k:
+                took[i] += whole
+        for _, i in mine:
+            if tok[i] > rest:
+                break
+            rest -= tok[i]
+            took[i] += 1
+    got = Counter(r["doc_id"] for r in rows(op09_mixing.mix(df, Scratch(spark, "t"))))
+    assert got == Counter({k: v for k, v in took.items() if v})
+
+
+def test_mixing_odd_rows(spark):
+    df = documents(spark)
+    out = op09_mixing.mix(df, Scratch(spark, "t"), share=0.5, epochs=1)
+    assert out.columns == [*df.columns, "__domain", "__epoch", "__tokens"] and out.count() <= df.count()
+    assert op09_mixing.mix(empty(spark), Scratch(spark, "t")).count() == 0
+
+
+# 10: language model
+
+
+def test_lm_base_and_tree(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Aba", "cada", "bra", "xyz"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)] + TEXTS
+    df = documents(spark, texts)
+    got = rows(op10_pst.lm_scores(df, Scratch(spark, "t")))
+    assert len(got) == df.count()
+    full = [(r["doc_id"], r["text"]) for r in df.collect()]
+    tokens = lambda t: [*bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split(), b"\n"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    c = Counter(w for i, t in full if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        if r["doc_id"] is not None:
+            w = tokens(texts[r["doc_id"]])
+            assert r["n_tokens"] == len(w) and r["n_known"] == sum(x in c for x in w) and r["train_tokens"] == n and r["held_out"] == held(r["doc_id"])
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+            assert r["score"] < 0
+    out = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 150]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert op10_pst.lm_scores(empty(spark), Scratch(spark, "t")).count() == 0
+
+
+def test_tree_is_a_distribution(spark):
+    df = documents(spark, ["abab abba " * 30, "baba cab " * 20], False)
+    tree = op10_pst.build(op10_pst.count(df, Scratch(spark, "t"), "doc_id", "text"))
+    for d in range(1, op10_pst.DEPTH + 1):
+        suffixes = set((tree.contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)).tolist())
+        assert d == 1 or suffixes <= set(tree.contexts[d - 1].tolist())
+        for context in tree.contexts[d][:20]:
+            p = 10 ** op10_pst.log_probabilities(tree, (context << np.uint64(8)) + np.arange(256, dtype=np.uint64))
+            assert p.sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_grams():
+    data = np.frombuffer(b"\0\0\0\0\0abcdefgh", np.uint8)
+    assert op10_pst.grams(data).tolist() == [int.from_bytes(data[i : i + 6].tobytes(), "big") for i in range(len(data) - 5)]
+    assert len(op10_pst.grams(data[:3])) == 0
