@@ -37,8 +37,11 @@ SYMBOL_SHARE = 5e-7
 EVIDENCE = 2.0
 STRENGTH = 4.0
 #: Bytes of text that one block holds on average, and blocks at least.
-BLOCK_BYTES = 8_000_000
-BLOCKS = 32
+BLOCK_BYTES = 12_000_000
+BLOCKS = 8
+#: Distinct keys that a counting task holds before it hands them on, and places of a worker's memo of grams.
+HELD = 2_000_000
+MEMO_BITS = 20
 START, END = 0, 10
 #: Base model: added to every count.
 ADDED = 0.1
@@ -50,8 +53,7 @@ def words_of(text: str) -> list[bytes]:
 
 def token_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words, then that of the end."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in [*words, b"\n"]), np.uint64, len(words) + 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [*words, b"\n"]), np.uint64, len(words) + 1)
 
 
 def symbols_of(words: list[bytes]) -> bytes:
@@ -60,10 +62,16 @@ def symbols_of(words: list[bytes]) -> bytes:
 
 
 def grams(data: np.ndarray, n: int = DEPTH + 1) -> np.ndarray:
-    """Each symbol of ``data`` with the n - 1 before it, packed into an integer, from place n - 1 on."""
-    out = np.zeros(max(0, len(data) - n + 1), np.uint64)
-    for i in range(n):
-        out = out << np.uint64(8) | data[i : len(data) - n + 1 + i].astype(np.uint64)
+    """Each symbol of ``data`` with the n - 1 before it, packed into an integer, from place n - 1 on; built from runs of 1, 2, 4 symbols."""
+    size = max(0, len(data) - n + 1)
+    runs = {1: data.astype(np.uint64)}
+    while 2 * (s := max(runs)) <= n:
+        runs[2 * s] = runs[s][:-s] << np.uint64(8 * s) | runs[s][s:]
+    out, at = np.zeros(size, np.uint64), 0
+    for s in sorted(runs, reverse=True):
+        if n & s:
+            out = out << np.uint64(8 * s) | runs[s][at : at + size]
+            at += s
     return out
 
 
@@ -74,17 +82,45 @@ def _all_grams(texts: list[bytes]) -> np.ndarray:
     return found[data[DEPTH:] != START] if len(data) else found
 
 
+class _Tally:
+    """Counts of integers, kept sorted and merged as they come."""
+
+    def __init__(self) -> None:
+        self.key, self.n, self.new, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(np.unique(keys, return_counts=True))
+        self.waiting += len(self.new[-1][0])
+        if self.waiting > HELD // 4:
+            self.merge()
+
+    def merge(self) -> None:
+        key, where = np.unique(np.concatenate([self.key, *[k for k, _ in self.new]]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([self.n, *[n for _, n in self.new]]), len(key)).astype(np.int64)
+        self.key, self.n, self.new, self.waiting = key, n, [], 0
+
+    def take(self, kind: int) -> pa.RecordBatch:
+        self.merge()
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.key), kind, np.int8)), pa.array(self.key.view(np.int64)), pa.array(self.n)], names=["kind", "key", "n"])
+        self.__init__()
+        return out
+
+
 def count(df: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
-    """kind (0: word hash, 1: gram), key, n over the rows of ``df``; pre-aggregated by batch."""
+    """kind (0: word hash, 1: gram), key, n over the rows of ``df``; each task adds up what it meets, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = (_Tally(), _Tally())
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                words = [words_of(x.as_py() or "") for x in b.column(0).slice(i, 2000)]
-                texts = [symbols_of(w) for w in words]
-                for kind, keys in ((0, np.concatenate([token_hashes(w) for w in words])), (1, _all_grams(texts))):
-                    key, n = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+            for i in range(0, b.num_rows, 1000):
+                words = [words_of(x.as_py() or "") for x in b.column(0).slice(i, 1000)]
+                tallies[0].add(np.concatenate([token_hashes(w) for w in words]))
+                tallies[1].add(_all_grams([symbols_of(w) for w in words]))
+                for kind, t in enumerate(tallies):
+                    if len(t.key) > HELD:
+                        yield t.take(kind)
+        for kind, t in enumerate(tallies):
+            yield t.take(kind)
 
     found = df.select(text).mapInArrow(run, "kind byte, key long, n long")
     return scratch.keep(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -169,14 +205,40 @@ def log_probabilities(tree: Tree, found: np.ndarray) -> np.ndarray:
     return np.log10(p)
 
 
-def text_scores(tree: Tree, words: list[list[bytes]]) -> np.ndarray:
-    """log10 probability of each text. Equal grams are looked up once."""
-    texts = [symbols_of(w) for w in words]
-    found = _all_grams(texts)
-    distinct, where = np.unique(found, return_inverse=True)
-    value = log_probabilities(tree, distinct)[where]
-    ends = np.cumsum([len(t) - DEPTH for t in texts])
-    return np.add.reduceat(value, np.append(0, ends[:-1])) if len(texts) else np.zeros(0)
+class Scorer:
+    """A tree with a memo: a direct-mapped table of grams that a worker has looked up, each in the place of its hash."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.keys: np.ndarray | None = None
+
+    def __getstate__(self) -> Tree:
+        return self.tree
+
+    def __setstate__(self, tree: Tree) -> None:
+        self.tree, self.keys = tree, None
+
+    def look_up(self, found: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            self.keys, self.values = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS)
+            self.values[0] = log_probabilities(self.tree, np.zeros(1, np.uint64))[0]
+        place = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO_BITS)
+        value = self.values[place]
+        missed = np.flatnonzero(self.keys[place] != found)
+        if len(missed):
+            distinct, where = np.unique(found[missed], return_inverse=True)
+            known = log_probabilities(self.tree, distinct)
+            value[missed] = known[where]
+            place = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO_BITS)
+            self.keys[place], self.values[place] = distinct, known
+        return value
+
+    def scores(self, words: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text."""
+        texts = [symbols_of(w) for w in words]
+        value = self.look_up(_all_grams(texts))
+        ends = np.cumsum([len(t) - DEPTH for t in texts])
+        return np.add.reduceat(value, np.append(0, ends[:-1])) if len(texts) else np.zeros(0)
 
 
 def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +253,7 @@ def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     counts = count(rows.where("not held_out"), scratch, "id", "text")
     words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     n_train, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(build(counts))
+    scorer = spark.sparkContext.broadcast(Scorer(build(counts)))
     size = df.agg(F.sum(utf8_size(text))).first()[0] or 0
     blocks = max(BLOCKS, int(size // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
@@ -217,7 +279,7 @@ def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
         column = texts.column("text")
         for i in range(0, len(column), 500):
             part = [words_of(x.as_py()) for x in column.slice(i, 500)]
-            model.append(text_scores(tree.value, part))
+            model.append(scorer.value.scores(part))
             for w in part:
                 h = token_hashes(w)
                 at, has = _find(word, h)
