@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation (operator 3), in DataFrame operations only.
 
 Documents of equal texts are one group; two groups are linked if they share a line of ``LINE`` characters
-or more. A group starts in the shard of its hash. In each of ``ROUNDS`` rounds every line counts the
+or more. A group of more than 1 / HOT of all rows is placed first, in as few shards as hold it, and stays.
+The others start in the shard of their hash, in proportion to the room. In each of ``ROUNDS`` rounds every line counts the
 documents that it has in each shard, every group adds up the counts of its lines, and asks to move to
 the shard where most of its neighbours are. A shard admits movers by falling gain while it has room: its quota
-less the linked documents that stay. Lines and groups meet by joins on their hash, never as pairs.
+less the large groups and the linked documents that stay. Documents without links are then spread over what room is left. Lines and groups meet by joins on their hash, never as pairs.
 
 The law is ``rows``: in the end each shard holds its exact quota. A shard's documents are ranked (large groups
 first, then linked ones and copies, then the others, a group's documents together); those beyond the quota
@@ -28,6 +29,8 @@ ROUNDS = 3
 BUCKETS = 1024
 HOT = 1024
 SALTS = 32
+#: Steps of a hash by which rows or groups are spread over shards in proportion.
+STEPS = 10_000
 #: Steps of gain (powers of two) and of hash within a step, by which movers are admitted.
 GAINS, SLICES = 32, 16
 
@@ -46,8 +49,40 @@ def _largest(columns: list[Column]) -> Column:
     return F.array_position(F.array(*columns), F.greatest(*columns)).cast("int") - 1
 
 
-def propagate(links: DataFrame, groups: DataFrame, quota: float, scratch: Scratch) -> DataFrame:
-    """g, n, label of the linked groups after ``ROUNDS`` rounds. groups: g, n (documents), label."""
+def _each(values: list[int], shard: str) -> Column:
+    """The shard's value."""
+    return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(shard))
+
+
+def spread(room: list[float], step: Column) -> Column:
+    """The shard of a step of hash, in proportion to the room; even shares if there is none."""
+    room = [max(0.0, r) for r in room] if max(room) > 0 else [1.0] * SHARDS
+    out, upto = F.lit(max(range(SHARDS), key=room.__getitem__)), sum(room)
+    for s in reversed(range(SHARDS)):
+        out = F.when(step < round(STEPS * upto / sum(room)), s).otherwise(out) if room[s] else out
+        upto -= room[s]
+    return out.cast("int")
+
+
+def place_large(groups: list[tuple[int, int]], quota: list[int]) -> tuple[list[tuple[int, list[int], list[int]]], list[int]]:
+    """Large groups (g, n), into as few shards as hold them: (g, last steps of hash, shards), and the room that is left."""
+    room, out = list(quota), []
+    for g, n in groups:
+        left, shards, ends = n, [], []
+        while left > 0 and max(room) > 0:
+            fits = [s for s in range(SHARDS) if room[s] >= left]
+            s = min(fits, key=room.__getitem__) if fits and shards else max(range(SHARDS), key=room.__getitem__)
+            took = min(left, room[s])
+            room[s] -= took
+            left -= took
+            shards.append(s)
+            ends.append(round(STEPS * (n - left) / n))
+        out.append((g, ends or [STEPS], shards or [0]))
+    return out, room
+
+
+def propagate(links: DataFrame, groups: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
+    """g, n, label of the linked groups after ``ROUNDS`` rounds. groups: g, n (documents), label; quota: each shard's room for them."""
     state = scratch.keep(groups, "labels_0")
     names = [f"v{s}" for s in range(SHARDS)]
     for k in range(1, ROUNDS + 1):
@@ -65,7 +100,7 @@ def propagate(links: DataFrame, groups: DataFrame, quota: float, scratch: Scratc
         stay = wish.where("to = label").groupBy(F.col("label").alias("s")).agg(F.sum("n").alias("stays"))
         asked = wish.where("to <> label").groupBy("to", "turn").agg(F.sum("n").alias("n"))  # at most SHARDS x GAINS x SLICES rows
         upto = asked.withColumn("upto", F.sum("n").over(Window.partitionBy("to").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
-        room = upto.join(F.broadcast(stay), F.col("to") == F.col("s"), "left").where(F.col("upto") + F.coalesce("stays", F.lit(0)) <= quota)
+        room = upto.join(F.broadcast(stay), F.col("to") == F.col("s"), "left").where(F.col("upto") + F.coalesce("stays", F.lit(0)) <= _each(quota, "to"))
         room = room.groupBy(F.col("to").alias("into")).agg(F.max("turn").alias("last"))  # at most SHARDS rows
         moved = wish.join(F.broadcast(room), F.col("to") == F.col("into"), "left")
         moved = moved.select("g", "n", F.when((F.col("to") == F.col("label")) | (F.col("turn") <= F.col("last")), F.col("to")).otherwise(F.col("label")).alias("label"))
@@ -81,33 +116,39 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     Null texts count as empty (size 1) and are one group with empty ones. Null doc_ids and repeated rows are placed like
     others, and ties in rank lie between equal rows only. An empty table gives an empty one.
     """
+    spark = df.sparkSession
     base = df.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
     wide = base.select("id", "text", F.xxhash64("text").alias("g"))
     rows = scratch.keep(wide.select("id", "g", (utf8_size("text") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")), "rows")
     links = scratch.keep(incidence(wide), "links")
     groups = scratch.keep(rows.groupBy("g").agg(F.count("*").alias("n")), "groups")
     total = rows.count()
-    start = F.pmod(F.xxhash64("g", F.lit(0)), F.lit(SHARDS)).cast("int")
-    linked = links.select("g").distinct().join(groups, "g").select("g", "n", start.alias("label"))
-    labels = propagate(links, linked, total / SHARDS, scratch)
-    labelled = groups.join(labels.select("g", "label"), "g", "left")
-    tier = F.when(F.col("label").isNotNull() | (F.col("n") > 1), 0).otherwise(1)
+    quota = [total // SHARDS + (s < total % SHARDS) for s in range(SHARDS)]
     hot = F.col("n") > max(1.0, total / HOT)
-    own = groups.where(hot).withColumn("own", F.row_number().over(Window.orderBy(F.desc("n"), "g")) - 1).select(F.col("g").alias("_g"), "own")  # at most HOT rows
-    labelled = labelled.join(F.broadcast(own), F.col("g") == F.col("_g"), "left")
-    labelled = labelled.select(F.col("g").alias("_g"), "n", F.coalesce("label", start).alias("label"), "own", (HOT * SALTS + tier * BUCKETS + F.pmod(F.xxhash64("g", F.lit(1)), F.lit(BUCKETS))).alias("common"))
+    large = [(r["g"], r["n"]) for r in groups.where(hot).orderBy(F.desc("n"), "g").collect()]  # under HOT rows
+    pieces, room = place_large(large, quota)
+    pieces = spark.createDataFrame([(i, g, ends, shards) for i, (g, ends, shards) in enumerate(pieces)], "own int, _l long, ends array<int>, shards array<int>")
+    step = F.pmod(F.xxhash64("g", F.lit(0)), F.lit(STEPS))
+    linked = links.select("g").distinct().join(groups.where(~hot), "g").select("g", "n", spread(room, step).alias("label"))
+    labels = propagate(links, linked, room, scratch)
+    taken = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most SHARDS rows
+    room = [r - taken.get(s, 0) for s, r in enumerate(room)]
+    labelled = groups.join(labels.select("g", "label"), "g", "left").join(F.broadcast(pieces), F.col("g") == F.col("_l"), "left")
+    tier = F.when(F.col("label").isNotNull() | (F.col("n") > 1), 0).otherwise(1)
+    common = HOT * SALTS + tier * BUCKETS + F.pmod(F.xxhash64("g", F.lit(1)), F.lit(BUCKETS))
+    labelled = labelled.select(F.col("g").alias("_g"), "n", F.coalesce("label", spread(room, step)).alias("label"), "own", "ends", "shards", common.alias("common"))
     placed = rows.join(labelled, F.col("g") == F.col("_g"))
+    own_step = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(STEPS))
+    place = F.when(F.col("own").isNull(), F.col("label")).otherwise(F.coalesce(F.get("shards", F.size(F.filter("ends", lambda e: e <= own_step))), F.element_at("shards", -1)))
     bucket = F.when(F.col("own").isNull(), F.col("common")).otherwise(F.col("own") * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    placed = scratch.keep(placed.select("id", "g", "size", "crc", "n", "label", bucket.cast("int").alias("bucket")), "placed")
+    placed = scratch.keep(placed.select("id", "g", "size", "crc", "n", place.alias("label"), bucket.cast("int").alias("bucket")), "placed")
     ranked = running_sum(placed, ["label"], "bucket", [F.col("g"), F.col("id")], F.lit(1), "rank")
     have = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most SHARDS rows
-    quota = [total // SHARDS + (s < total % SHARDS) for s in range(SHARDS)]
     count = [have.get(s, 0) for s in range(SHARDS)]
     over = [max(0, c - q) for c, q in zip(count, quota, strict=True)]
     lack = [max(0, q - c) for c, q in zip(count, quota, strict=True)]
-    at = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("label"))
-    ranked = ranked.withColumn("beyond", F.col("rank") - at(quota))
-    spare = F.col("beyond") + at([sum(over[:s]) for s in range(SHARDS)])
+    ranked = ranked.withColumn("beyond", F.col("rank") - _each(quota, "label"))
+    spare = F.col("beyond") + _each([sum(over[:s]) for s in range(SHARDS)], "label")
     into, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
     for s in reversed(range(SHARDS)):
         first = sum(lack[:s])
