@@ -1,62 +1,13 @@
-"""Shared pieces: scratch tables in the cluster's shared folder and small column helpers."""
+"""Column helpers of the operators, and the scratch tables that they cut their lineage with."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that is then set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended; scratch files then stay for the folder's owner
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        if spark._jsc is not None and spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-
-class Scratch:
-    """Tables of one run of an operator, under the shared folder.
-
-    ``keep`` writes a frame as Parquet and returns it reread, which cuts its lineage: a lost executor
-    costs a read of files, not a new run of what came before. ``drop`` deletes a table that no later
-    step reads. What remains is deleted when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, operator: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/cadenza-{operator}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
-        _made.append((spark, self.root))
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.paths[name] = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import Scratch
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, self.paths.pop(name))
+__all__ = ["Scratch", "id_remainder", "text_or_empty", "utf8_size"]
 
 
 def text_or_empty(name: str = "text") -> Column:
