@@ -15,6 +15,7 @@ A segment is a few documents, written as one byte string:
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -173,8 +174,10 @@ def write(df: DataFrame, scratch: Scratch, tokenizer_path: str, pattern: str, en
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "sequence", "before", "n_docs", "n_ids", "segment"])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(enc.encode_bytes(t.as_py() or "") + end)
+            texts = (t.as_py() or "" for t in b.column(1))
+            encoded = (x for run in itertools.batched(texts, 256) for x in enc.encode_many(list(run)))
+            for d, x in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids.append(x + end)
                 docs.append(d)
                 held += len(ids[-1]) // 4
                 if held >= SEGMENT_IDS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(ranks_path, pattern)
         for b in batches:
-            out = pa.array([enc.encode_bytes(t) for t in _texts(b.column(rest.index(text)))], pa.binary())
+            out = pa.array([x for run in itertools.batched(_texts(b.column(rest.index(text))), 256) for x in enc.encode_many(list(run))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*rest, ids])
 
     return df.select(*rest).mapInArrow(run, schema)
@@ -74,8 +75,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_
         enc, table = encoder(ranks_path, pattern)
         for b in batches:
             n, of_ids, of_bytes = [], [], []
-            for t in _texts(b.column(1)):
-                ids = enc.encode_bytes(t)
+            for ids in (x for run in itertools.batched(_texts(b.column(1)), 256) for x in enc.encode_many(list(run))):
                 n.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_bytes.append(hashlib.sha256(decode_bytes(np.frombuffer(ids, "<u4"), table)).hexdigest())
