@@ -29,10 +29,14 @@ from .groups import merge, whole_groups
 LIMIT = 3
 FANOUT = 8
 GROUP = 2048
-#: A set of hot group keys is broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
+GROUP_KEYS = ["kind", "cut", "value"]
+#: Hot group keys, and ids, are broadcast up to so many rows (under 40 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
 #: Codes that one search compares at most at a time.
 FRONTIER = 1_000_000
+#: Fingerprints by which candidates of the similarity of texts are found, and texts of a part that one task compares.
+SKETCHES, SKETCH_WORDS, SKETCH_LIMIT = 6, 2, 5
+MEMBERS = 256
 
 
 def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -50,10 +54,10 @@ def majority(hashes: list[np.ndarray], limit: int = 65_536) -> np.ndarray:
     out = np.zeros(len(hashes), np.uint64)
     for k, h in enumerate(hashes):
         if len(h):
-            counts = np.zeros(64, np.int64)
-            for i in range(0, len(h), limit):
-                part = np.ascontiguousarray(h[i : i + limit], dtype="<u8")
-                counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts = np.zeros(64)
+            for i in range(0, len(h), limit):  # whole numbers under 2 ** 24 are exact in single precision
+                bits = np.unpackbits(np.ascontiguousarray(h[i : i + limit], dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+                counts += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
             out[k] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
     return out
 
@@ -123,14 +127,14 @@ class GrayIndex:
             yield query[keep], node[keep]
 
 
-def _cuts(level: int) -> list[int]:
-    """The masks of a level: bits that its groups agree on, four for each mask of the level before."""
+def _cuts(level: int, parts: int) -> list[int]:
+    """The masks of a level: bits that its groups agree on, ``parts`` for each mask of the level before."""
     masks = [0]
     for _ in range(level):
         out = []
         for m in masks:
             free = [i for i in range(64) if not m >> i & 1]
-            for part in np.array_split(free, LIMIT + 1):
+            for part in np.array_split(free, parts):
                 out.append(m | sum(1 << int(i) for i in part))
         masks = out
     return masks
@@ -140,11 +144,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(rows: DataFrame) -> DataFrame:
-    """Links within groups as (src, dst) codes: each code that has a link, with the first code of its component in the group."""
+def _search(rows: DataFrame, limit: int) -> DataFrame:
+    """Links within groups as (kind, src, dst): each code that has a link, with the first code of its component in the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["cut", "value"]):
+        for table, begins in whole_groups(batches, GROUP_KEYS):
             codes = table.column("code").to_numpy().view(np.uint64)
             group = np.zeros(len(codes), np.int64)
             group[begins[1:]] = 1
@@ -152,30 +156,31 @@ def _search(rows: DataFrame) -> DataFrame:
             codes = codes[order]
             label = np.arange(len(codes))
             if len(codes) > len(begins):
-                for i, j in GrayIndex(codes, begins).links():
+                for i, j in GrayIndex(codes, begins).links(limit):
                     label = merge(label, i, j)
             linked = np.flatnonzero(label != np.arange(len(codes)))
-            yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(codes[label[linked]].view(np.int64))], names=["src", "dst"])
+            kind = table.column("kind").to_numpy()[order][linked]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(codes[linked].view(np.int64)), pa.array(codes[label[linked]].view(np.int64))], names=["kind", "src", "dst"])
 
-    return rows.select("cut", "value", "code").sortWithinPartitions("cut", "value").mapInArrow(run, "src long, dst long")
+    return rows.select(*GROUP_KEYS, "code").sortWithinPartitions(*GROUP_KEYS).mapInArrow(run, "kind int, src long, dst long")
 
 
-def link_codes(codes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (src, dst) whose components are those of the links at ``LIMIT`` or fewer bits among distinct ``code`` values."""
-    found, level, rows = [], 1, codes.select("code", F.lit(0).alias("cut"))
+def link_codes(codes: DataFrame, scratch: Scratch, limit: int = LIMIT, name: str = "codes") -> DataFrame:
+    """Edges (kind, src, dst) whose components are those of the links at ``limit`` or fewer bits among the distinct ``code`` values of each ``kind`` (int)."""
+    found, level, parts, rows = [], 1, limit + 1, codes.select("kind", "code", F.lit(0).alias("cut"))
     while True:
-        masks = F.array(*[F.lit(_signed(m)) for m in _cuts(level)])
-        dealt = rows.select("code", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LIMIT)), lambda j: F.col("cut") * (LIMIT + 1) + j)).alias("cut"))
+        masks = F.array(*[F.lit(_signed(m)) for m in _cuts(level, parts)])
+        dealt = rows.select("kind", "code", F.explode(F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda j: F.col("cut") * parts + j)).alias("cut"))
         dealt = dealt.withColumn("value", F.col("code").bitwiseAND(F.get(masks, F.col("cut"))))
-        sizes = dealt.groupBy("cut", "value").count().where(F.col("count") > GROUP).select("cut", "value")
-        hot = scratch.keep(sizes, f"hot_{level}")
+        sizes = dealt.groupBy(*GROUP_KEYS).count().where(F.col("count") > GROUP).select(*GROUP_KEYS)
+        hot = scratch.keep(sizes, f"{name}_hot_{level}")
         n = hot.count()
         side = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-        work = dealt.join(side, ["cut", "value"], "left_anti") if n else dealt
-        found.append(scratch.keep(_search(work.repartition("cut", "value")), f"links_{level}"))
+        work = dealt.join(side, GROUP_KEYS, "left_anti") if n else dealt
+        found.append(scratch.keep(_search(work.repartition(*GROUP_KEYS), limit), f"{name}_links_{level}"))
         if not n:
             break
-        rows = scratch.keep(dealt.join(side, ["cut", "value"], "left_semi").select("code", "cut"), f"rows_{level}")
+        rows = scratch.keep(dealt.join(side, GROUP_KEYS, "left_semi").select("kind", "code", "cut"), f"{name}_rows_{level}")
         level += 1
     edges = found[0]
     for x in found[1:]:
@@ -193,7 +198,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     """
     rows = scratch.keep(fingerprints(df, doc_id, text), "codes")
     nodes = scratch.keep(rows.groupBy("code").agg(F.min(doc_id).alias("least")), "nodes")
-    of = connected_components(link_codes(nodes.select("code"), scratch), scratch)
+    of = connected_components(link_codes(nodes.select(F.lit(0).alias("kind"), "code"), scratch).select("src", "dst"), scratch)
     known = nodes.join(of, nodes["code"] == of["node"], "left").select("code", "least", F.coalesce("component", "code").alias("root"))
     known = scratch.keep(known, "known")
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -202,12 +207,133 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     return out.select(doc_id, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose doc_id is their component's smallest; of rows that repeat a doc_id, one (the smallest text)."""
-    found = near_duplicates(df, scratch, doc_id, text).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    ids = scratch.keep(found.groupBy(F.col(doc_id).alias("__kept")).agg(F.count("*").alias("__rows")), "kept_ids")
-    rows = df.join(ids.select("__kept").hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__kept"))).drop("__kept")
+def sketches(hashes: np.ndarray, count: int) -> list[np.ndarray]:
+    """``count`` independent hashes of each hash: the finaliser of SplitMix64 after as many steps of its counter."""
+    out = []
+    for k in range(1, count + 1):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return out
+
+
+def _node(text: str) -> int:
+    """A text's identity: the hash of its lower-cased words."""
+    return xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63)
+
+
+def profiles(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, node, codes (the fingerprint, then the sketches) of every whole text."""
+    key = df.select(doc_id).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, codes = [], []
+            for x in b.column(1):
+                t = x.as_py() or ""
+                nodes.append(_node(t))
+                codes.append(majority([shingle_hashes(t), *sketches(shingle_hashes(t, SKETCH_WORDS), SKETCHES)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["id", "node", "codes"])
+
+    return df.select(doc_id, text).mapInArrow(run, f"id {key}, node long, codes array<long>")
+
+
+def _by_code(nodes: DataFrame, first: int, last: int, limit: int, scratch: Scratch) -> DataFrame:
+    """Edges that join nodes of which one of the codes first .. last is equal or linked, by way of a vertex for each such code."""
+    own = nodes.select("node", F.posexplode("codes").alias("kind", "code")).where(F.col("kind").between(first, last))
+    codes = scratch.keep(own.groupBy("kind", "code").agg(F.count("*").alias("n")), f"codes_{first}")
+    links = link_codes(codes.select("kind", "code"), scratch, limit, f"codes_{first}")
+    vertex = lambda c: F.xxhash64("kind", c)
+    met = codes.where("n > 1").select("kind", "code").union(links.select("kind", "src")).union(links.select("kind", "dst")).distinct()
+    return own.join(met, ["kind", "code"]).select(F.col("node").alias("src"), vertex("code").alias("dst")).union(links.select(vertex("src"), vertex("dst")))
+
+
+def _exact(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: part, low, high, block, node, shingles. Edges between the nodes of a part that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in whole_groups(batches, ["part", "low", "high"]):
+            node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+            low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
+            raw, label = table.column("shingles").combine_chunks(), np.arange(len(node))
+            for a, z in zip(begins.tolist(), np.append(begins[1:], len(node)).tolist(), strict=True):
+                sets = [np.frombuffer(raw[i].as_py(), "<u8") for i in range(a, z)]
+                size = np.array([len(x) for x in sets])
+                _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                column = np.where(n[column] > 1, (np.cumsum(n > 1) - 1)[column], -1)  # the shingles that several share
+                doc = np.repeat(np.arange(z - a), size)
+                both = np.zeros((z - a, z - a))
+                for first in range(0, int((n > 1).sum()), 8192):
+                    own = (column >= first) & (column < first + 8192)
+                    has = np.zeros((z - a, 8192), np.float32)
+                    has[doc[own], column[own] - first] = 1
+                    both += has @ has.T
+                near = both >= similarity * (size[:, None] + size[None] - both) - 1e-9
+                i, j = np.nonzero(np.triu(near, 1))
+                if low[a] != high[a]:
+                    across = block[a + i] != block[a + j]
+                    i, j = i[across], j[across]
+                label = merge(label, a + i, a + j)
+            linked = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["src", "dst"])
+
+    keys = ["part", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+
+
+def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id of every row, where texts link that are similar or whose fingerprints link.
+
+    Similar: the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more (the whole sequence is the
+    shingle of a shorter text). Candidates are found by further fingerprints, ``SKETCHES`` independent ones of ``SKETCH_WORDS``-word
+    shingles, searched at ``SKETCH_LIMIT`` bits by the same index; what they join is one part, and in a part every two texts are compared
+    exactly. A part of over ``MEMBERS`` texts is cut into blocks, and each two blocks are one task's work; a task returns an edge
+    for each linked text, never pairs. Fingerprints link at ``LIMIT`` bits as in ``near_duplicates``, and nulls, empty
+    texts, repeats and empty tables give the same.
+    """
+    rows = scratch.keep(profiles(df, doc_id, text), "profiles")
+    grouped = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("codes").alias("codes"))
+    nodes = scratch.keep(grouped, "texts")
+    found = _by_code(nodes, 1, SKETCHES, SKETCH_LIMIT, scratch)
+    parts = connected_components(found, scratch).withColumnRenamed("node", "of")
+    parts = scratch.keep(nodes.select("node", "least").join(parts, F.col("node") == F.col("of")).select("node", "least", F.col("component").alias("part")), "parts")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("n > 1")
+    cut = parts.join(sizes.withColumnRenamed("part", "of"), F.col("part") == F.col("of")).select("node", "least", "part", "blocks")
+    cut = scratch.keep(cut, "cut")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                texts = [x.as_py() or "" for x in part.column(3)]
+                own = np.array([_node(t) for t in texts], np.int64) == part.column(0).to_numpy()  # not a repeated id's other text
+                raw = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(raw, pa.binary())], names=["node", "part", "blocks", "shingles"]).filter(pa.array(own))
+
+    whole = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(small_or_hashed(cut), F.col("id").eqNullSafe(F.col("least")))
+    sets = whole.select("node", "part", "blocks", "text").mapInArrow(run, "node long, part long, blocks int, shingles binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("part", "low", "high", "block", "node", "shingles")
+    edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, 0, 0, LIMIT, scratch)), "edges")
+    of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
+    known = scratch.keep(nodes.select("node", "least").join(of, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")), "known")
+    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(roots, "root").select(F.col("node").alias("of"), "component_id")
+    return rows.join(known, F.col("node") == F.col("of")).select(F.col("id").alias(doc_id), "component_id")
+
+
+def keep_first(df: DataFrame, found: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose doc_id is their component's smallest, by ``found`` (doc_id, component_id); of rows that repeat a doc_id, one (the smallest text)."""
+    stays = F.col(doc_id).eqNullSafe(F.col("component_id"))
+    ids = scratch.keep(found.groupBy(F.col(doc_id).alias("__id")).agg(F.count_if(stays).alias("__rows")), "ids")
+    rows = df.join(small_or_hashed(ids.where("__rows = 0").select("__id")), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
     if ids.where("__rows > 1").limit(1).count():
         names = [c for c in df.columns if c not in (doc_id, text)]
         rows = rows.groupBy(doc_id).agg(F.min(F.struct(text, *names)).alias("__row")).select(doc_id, *[F.col("__row")[c].alias(c) for c in (text, *names)])
     return rows.select(*df.columns)
+
+
+def small_or_hashed(rows: DataFrame) -> DataFrame:
+    """The small side of a join with texts: broadcast if its counted rows are few, else dealt by hash so that texts need no sort."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash")

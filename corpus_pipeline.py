@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return op07_simhash.keep_first(docs, Scratch(spark, "dedup"))
+    """One document, that of the smallest doc_id, of each group of near copies: 0.8 of five-word shingles, or three bits of fingerprints."""
+    scratch = Scratch(spark, "dedup")
+    return op07_simhash.keep_first(docs, op07_simhash.similar_documents(docs, scratch), scratch)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,8 +315,8 @@ def test_links_match_brute_force(spark, monkeypatch, group):
             codes.add(c)
     codes = sorted(codes)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    links = op07_simhash.link_codes(spark.createDataFrame([(c,) for c in signed], "code long"), Scratch(spark, "t"))
-    got = {r["node"]: r["component"] for r in rows(connected_components(links, Scratch(spark, "t")))}
+    links = op07_simhash.link_codes(spark.createDataFrame([(0, c) for c in signed], "kind int, code long"), Scratch(spark, "t"))
+    got = {r["node"]: r["component"] for r in rows(connected_components(links.select("src", "dst"), Scratch(spark, "t")))}
     label = {c: c for c in signed}
     for _ in range(40):
         for (a, x), (b, y) in itertools.combinations(zip(codes, signed, strict=True), 2):
@@ -327,12 +327,45 @@ def test_links_match_brute_force(spark, monkeypatch, group):
 
 def test_keep_first_keeps_one_of_each(spark):
     df = documents(spark)
-    kept = op07_simhash.keep_first(df, Scratch(spark, "t"))
+    kept = op07_simhash.keep_first(df, op07_simhash.near_duplicates(df, Scratch(spark, "t")), Scratch(spark, "t"))
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in rows(kept)]
     assert len(ids) == len(set(ids)) and 1 not in ids and 0 in ids
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("members", [256, 5])
+def test_similar_documents(spark, monkeypatch, members):
+    monkeypatch.setattr(op07_simhash, "MEMBERS", members)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(3000)]
+    texts = []
+    for f in range(30):
+        base = rng.choices(words, k=rng.randrange(150, 400))
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(0, 9)):
+            copy = list(base)
+            for i in rng.sample(range(len(base)), rng.randrange(0, len(base) // 30 + 1)):
+                copy[i] = rng.choice(words)
+            texts.append(" ".join(copy))
+    df = documents(spark, [*texts, *TEXTS])
+    got = {r["doc_id"]: r["component_id"] for r in rows(op07_simhash.similar_documents(df, Scratch(spark, "t")))}
+    full = [*texts, *TEXTS]
+    sets = [set(op07_simhash.shingle_hashes(t or "", 5).tolist()) for t in full]
+    codes = [brute_fingerprint(t) for t in full]
+    label = list(range(len(full)))
+    for _ in range(6):
+        for a, b in itertools.combinations(range(len(full)), 2):
+            if (codes[a] ^ codes[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    wrong = sum(got[i] != label[i] for i in range(len(full)))
+    assert wrong <= 0.03 * len(full) and all(label[got[i]] == label[i] for i in range(len(full)))
+    assert op07_simhash.similar_documents(empty(spark), Scratch(spark, "t")).count() == 0
+
+
 # 8: byte-level BPE
 
 
