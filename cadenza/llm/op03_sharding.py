@@ -35,12 +35,16 @@ STEPS = 10_000
 GAINS, SLICES = 32, 16
 
 
-def incidence(rows: DataFrame) -> DataFrame:
-    """g, line, w: lines (hashes) that at least two groups share, and how many documents of each group hold it."""
+def incidence(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """g, line, w: lines (hashes) that at least two groups share, and how many documents of each group hold it.
+
+    Sums are written before they are joined: a join of two written tables can be split where one line has very many rows.
+    """
     lines = F.transform(F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))
     each = rows.select("g", F.explode(F.array_distinct(lines)).alias("line"))
-    held = each.groupBy("g", "line").agg(F.count("*").alias("w"))
+    held = scratch.keep(each.groupBy("g", "line").agg(F.count("*").alias("w")), "held")
     shared = held.groupBy("line").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("line")
+    shared = scratch.keep(shared, "shared")
     return held.join(shared, "line")
 
 
@@ -88,6 +92,7 @@ def propagate(links: DataFrame, groups: DataFrame, quota: list[int], scratch: Sc
     for k in range(1, ROUNDS + 1):
         placed = links.join(state.select("g", "label"), "g")
         votes = placed.groupBy("line").agg(*[F.sum(F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(names)])
+        votes = scratch.keep(votes, f"votes_{k}")
         # A group's own documents on the line are no neighbours.
         near = placed.join(votes, "line").groupBy("g").agg(*[F.sum(F.col(v) - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(names)])
         wish = state.join(near, "g").withColumn("to", _largest([F.col(v) for v in names]))
@@ -107,6 +112,7 @@ def propagate(links: DataFrame, groups: DataFrame, quota: list[int], scratch: Sc
         state = scratch.keep(moved, f"labels_{k}")
         scratch.drop(f"labels_{k - 1}")
         scratch.drop(f"wish_{k}")
+        scratch.drop(f"votes_{k}")
     return state
 
 
@@ -120,7 +126,7 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     base = df.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
     wide = base.select("id", "text", F.xxhash64("text").alias("g"))
     rows = scratch.keep(wide.select("id", "g", (utf8_size("text") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")), "rows")
-    links = scratch.keep(incidence(wide), "links")
+    links = scratch.keep(incidence(wide, scratch), "links")
     groups = scratch.keep(rows.groupBy("g").agg(F.count("*").alias("n")), "groups")
     total = rows.count()
     quota = [total // SHARDS + (s < total % SHARDS) for s in range(SHARDS)]
