@@ -42,6 +42,11 @@ def insert_absent(new: DataFrame, known: DataFrame, key: list[str], order: list[
     return known.unionByName(first.join(held, on, "left_anti"))
 
 
+def first_of_each(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the first in the order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def index_recordings(tree: DataFrame, known: DataFrame, audio_root: str = "audio") -> DataFrame:
     return insert_absent(recordings_of(tree, audio_root), known, IDENTITY, [F.col("audio_path")])
 

@@ -34,3 +34,17 @@ def native_audit(recordings: DataFrame, words: DataFrame, transcripts: DataFrame
     rows = todo.join(transcripts, "audio_path")
     status = audits.native_status(F.col("recognized_pinyin"), F.col("expected"), F.col("transcript"), F.col("word"))
     return rows.select("audio_path", "word", "expected", "transcript", "recognized_pinyin", status.alias("status"), F.lit(model).alias("model"))
+
+
+def identity_audit(files: DataFrame, transcripts: DataFrame, completed: DataFrame, model: str, shard: tuple[int, int] = (0, 1)) -> DataFrame:
+    """files: source, key, base, audio_path. Those not completed, of one shard of what is left, by what was recognised (audio_path, transcript, recognized_bases)."""
+    todo = audits.take_shard(audits.pending(files, completed), *shard, ["audio_path"])
+    rows = todo.join(transcripts, "audio_path")
+    status = audits.identity_status(F.col("base"), F.col("recognized_bases"))
+    return rows.select("source", "key", "base", "audio_path", "transcript", "recognized_bases", status.alias("status"), F.lit(model).alias("model"))
+
+
+def identity_confirmation(log: DataFrame, second: DataFrame, completed: DataFrame, shard: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Rows under review, of one shard of all of them, without completed ones: here the shard is taken before what is completed is left out."""
+    reviews = log.where("status = 'review'")
+    return audits.confirm(audits.pending(audits.take_shard(reviews, *shard, ["audio_path"]), completed), second)
