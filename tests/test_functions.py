@@ -40,7 +40,7 @@ def test_syllable_tones():
     assert segment.syllable_tones("nǐhǎo", ["ni", "hao"]) == [3, 3]
     assert segment.syllable_tones("bàba", ["ba", "ba"]) == [4, 0]
     assert segment.syllable_tones("nǐhǎo", ["ni"]) is None
-    assert segment.syllable_tones("nǐhǎo", ["nihao"]) is None
+    assert segment.syllable_tones("nǐháo", ["nihao"]) is None
     assert segment.syllable_tones(None, None) == []
 
 
