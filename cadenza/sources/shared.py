@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         _delete(self.spark, self.paths.pop(name))
+
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced, which it does when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
