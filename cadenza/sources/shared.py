@@ -50,8 +50,11 @@ class Scratch:
         self.paths: dict[str, str] = {}
         _made.append((spark, self.root))
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write and reread. A narrow table, of a few numbers a row, is written by an eighth of the shuffle partitions: they are sized for texts."""
         path = self.paths[name] = f"{self.root}/{name}"
+        if narrow:
+            df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
