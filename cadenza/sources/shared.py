@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of an execution go when it ends; what it wrote is all that is read later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -55,13 +57,13 @@ class Scratch:
         path = self.paths[name] = f"{self.root}/{name}"
         if narrow:
             df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         _delete(self.spark, self.paths.pop(name))
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced, which it does when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
