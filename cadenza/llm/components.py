@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     pairs = edges.where("src is not null and dst is not null and src <> dst").select(
         F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")
     )
-    now = scratch.keep(pairs.distinct(), f"{name}_0")
+    now = scratch.keep(pairs.distinct(), f"{name}_0", narrow=True)
     last = None
     for step in range(1, max_rounds + 1):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = large.withColumnRenamed("hi", "u").join(floor, "u").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = scratch.keep(small.union(floor.select("u", "m")).distinct(), f"{name}_{step}")
+        after = scratch.keep(small.union(floor.select("u", "m")).distinct(), f"{name}_{step}", narrow=True)
         mark = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
         scratch.drop(f"{name}_{step - 1}")
         now = after

@@ -173,7 +173,7 @@ def link_codes(codes: DataFrame, scratch: Scratch, limit: int = LIMIT, name: str
         dealt = rows.select("kind", "code", F.explode(F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda j: F.col("cut") * parts + j)).alias("cut"))
         dealt = dealt.withColumn("value", F.col("code").bitwiseAND(F.get(masks, F.col("cut"))))
         sizes = dealt.groupBy(*GROUP_KEYS).count().where(F.col("count") > GROUP).select(*GROUP_KEYS)
-        hot = scratch.keep(sizes, f"{name}_hot_{level}")
+        hot = scratch.keep(sizes, f"{name}_hot_{level}", narrow=True)
         n = hot.count()
         side = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
         work = dealt.join(side, GROUP_KEYS, "left_anti") if n else dealt
@@ -197,10 +197,10 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     an empty table gives an empty one, and other columns are not looked at.
     """
     rows = scratch.keep(fingerprints(df, doc_id, text), "codes")
-    nodes = scratch.keep(rows.groupBy("code").agg(F.min(doc_id).alias("least")), "nodes")
+    nodes = scratch.keep(rows.groupBy("code").agg(F.min(doc_id).alias("least")), "nodes", narrow=True)
     of = connected_components(link_codes(nodes.select(F.lit(0).alias("kind"), "code"), scratch).select("src", "dst"), scratch)
     known = nodes.join(of, nodes["code"] == of["node"], "left").select("code", "least", F.coalesce("component", "code").alias("root"))
-    known = scratch.keep(known, "known")
+    known = scratch.keep(known, "known", narrow=True)
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = known.join(roots, "root").select(F.col("code").alias("_code"), "component_id")
     out = rows.join(known, F.col("code") == F.col("_code"))
@@ -242,7 +242,7 @@ def profiles(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _by_code(nodes: DataFrame, first: int, last: int, limit: int, scratch: Scratch) -> DataFrame:
     """Edges that join nodes of which one of the codes first .. last is equal or linked, by way of a vertex for each such code."""
     own = nodes.select("node", F.posexplode("codes").alias("kind", "code")).where(F.col("kind").between(first, last))
-    codes = scratch.keep(own.groupBy("kind", "code").agg(F.count("*").alias("n")), f"codes_{first}")
+    codes = scratch.keep(own.groupBy("kind", "code").agg(F.count("*").alias("n")), f"codes_{first}", narrow=True)
     links = link_codes(codes.select("kind", "code"), scratch, limit, f"codes_{first}")
     vertex = lambda c: F.xxhash64("kind", c)
     met = codes.where("n > 1").select("kind", "code").union(links.select("kind", "src")).union(links.select("kind", "dst")).distinct()
@@ -297,10 +297,10 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     nodes = scratch.keep(grouped, "texts")
     found = _by_code(nodes, 1, SKETCHES, SKETCH_LIMIT, scratch)
     parts = connected_components(found, scratch).withColumnRenamed("node", "of")
-    parts = scratch.keep(nodes.select("node", "least").join(parts, F.col("node") == F.col("of")).select("node", "least", F.col("component").alias("part")), "parts")
+    parts = scratch.keep(nodes.select("node", "least").join(parts, F.col("node") == F.col("of")).select("node", "least", F.col("component").alias("part")), "parts", narrow=True)
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("n > 1")
     cut = parts.join(sizes.withColumnRenamed("part", "of"), F.col("part") == F.col("of")).select("node", "least", "part", "blocks")
-    cut = scratch.keep(cut, "cut")
+    cut = scratch.keep(cut, "cut", narrow=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +317,7 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("part", "low", "high", "block", "node", "shingles")
     edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, 0, 0, LIMIT, scratch)), "edges")
     of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
-    known = scratch.keep(nodes.select("node", "least").join(of, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")), "known")
+    known = scratch.keep(nodes.select("node", "least").join(of, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")), "known", narrow=True)
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = known.join(roots, "root").select(F.col("node").alias("of"), "component_id")
     return rows.join(known, F.col("node") == F.col("of")).select(F.col("id").alias(doc_id), "component_id")
@@ -326,7 +326,7 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
 def keep_first(df: DataFrame, found: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose doc_id is their component's smallest, by ``found`` (doc_id, component_id); of rows that repeat a doc_id, one (the smallest text)."""
     stays = F.col(doc_id).eqNullSafe(F.col("component_id"))
-    ids = scratch.keep(found.groupBy(F.col(doc_id).alias("__id")).agg(F.count_if(stays).alias("__rows")), "ids")
+    ids = scratch.keep(found.groupBy(F.col(doc_id).alias("__id")).agg(F.count_if(stays).alias("__rows")), "ids", narrow=True)
     rows = df.join(small_or_hashed(ids.where("__rows = 0").select("__id")), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
     if ids.where("__rows > 1").limit(1).count():
         names = [c for c in df.columns if c not in (doc_id, text)]
