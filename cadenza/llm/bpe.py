@@ -22,7 +22,7 @@ import regex  # noqa: E402
 from tokenizers import Tokenizer, models, pre_tokenizers  # noqa: E402
 
 #: Most pieces that a worker remembers (about 200 bytes each).
-MEMO = 800_000
+MEMO = 500_000
 #: Longest piece, in characters, that is remembered.
 MEMO_PIECE = 64
 #: Texts, and characters, whose pieces are looked up together; pieces of a longer text go in runs of so many.
