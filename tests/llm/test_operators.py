@@ -516,3 +516,19 @@ def test_grams():
     data = np.frombuffer(b"\0\0\0\0\0abcdefgh", np.uint8)
     assert op10_pst.grams(data).tolist() == [int.from_bytes(data[i : i + 6].tobytes(), "big") for i in range(len(data) - 5)]
     assert len(op10_pst.grams(data[:3])) == 0
+
+
+def test_lm_without_training_texts(spark):
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    got = rows(op10_pst.lm_scores(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string"), Scratch(spark, "t")))
+    assert [(r["n_known"], r["train_tokens"]) for r in got] == [(0, 0), (0, 0)] and all(r["base_score"] == 0 and r["score"] < 0 for r in got)
+
+
+def test_lm_blocks_give_the_same(spark, monkeypatch):
+    df = documents(spark)
+    whole = sorted((str(r["doc_id"]), round(r["base_score"], 9), round(r["score"], 9)) for r in rows(op10_pst.lm_scores(df, Scratch(spark, "t"))))
+    monkeypatch.setattr(op10_pst, "BLOCKS", 3)
+    monkeypatch.setattr(op10_pst, "HELD", 5)
+    monkeypatch.setattr(op10_pst, "MEMO_BITS", 3)
+    cut = sorted((str(r["doc_id"]), round(r["base_score"], 9), round(r["score"], 9)) for r in rows(op10_pst.lm_scores(df, Scratch(spark, "t"))))
+    assert whole == cut
