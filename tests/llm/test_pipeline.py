@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import documents, empty
-from test_operators import brute_fingerprint, encoding, labelled
+from test_ten_operators import brute_fingerprint, encoding, labelled
 
 from cadenza.llm import op04_quality, op07_simhash, op09_mixing
 from cadenza.llm.common import Scratch

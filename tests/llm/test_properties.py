@@ -3,7 +3,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from test_operators import PATTERN, RANKS, brute_fingerprint, encoding
+from test_ten_operators import PATTERN, RANKS, brute_fingerprint, encoding
 
 from cadenza.llm import bpe, html, op02_mpeg, op05_dac, op07_simhash, op08_bpe, op10_pst
 from cadenza.llm.groups import merge
