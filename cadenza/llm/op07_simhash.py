@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -34,8 +34,8 @@ GROUP_KEYS = ["kind", "cut", "value"]
 BROADCAST_ROWS = 100_000
 #: Codes that one search compares at most at a time.
 FRONTIER = 1_000_000
-#: Fingerprints by which candidates of the similarity of texts are found, and texts of a part that one task compares.
-SKETCHES, SKETCH_WORDS, SKETCH_LIMIT = 6, 2, 5
+#: Share of all shingles (by hash) that the first pass over the texts counts, and texts of a part that one task compares.
+FIRST = 1 / 3
 MEMBERS = 256
 
 
@@ -207,46 +207,121 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     return out.select(doc_id, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sketches(hashes: np.ndarray, count: int) -> list[np.ndarray]:
-    """``count`` independent hashes of each hash: the finaliser of SplitMix64 after as many steps of its counter."""
-    out = []
-    for k in range(1, count + 1):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(x ^ (x >> np.uint64(31)))
-    return out
-
-
 def _node(text: str) -> int:
     """A text's identity: the hash of its lower-cased words."""
     return xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63)
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A row's identity: the hash of its id and text, of which either may be null."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, text)
+
+
 def profiles(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, node, codes (the fingerprint, then the sketches) of every whole text."""
-    key = df.select(doc_id).schema[0].dataType.simpleString()
+    """id, key, node, code (the fingerprint) of every whole text."""
+    id_kind = df.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, codes = [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 t = x.as_py() or ""
                 nodes.append(_node(t))
-                codes.append(majority([shingle_hashes(t), *sketches(shingle_hashes(t, SKETCH_WORDS), SKETCHES)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["id", "node", "codes"])
+                codes.append(majority([shingle_hashes(t)]).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(codes, pa.int64())], names=["id", "key", "node", "code"])
+
+    return df.select(doc_id, row_key(doc_id, text).alias("key"), text).mapInArrow(run, f"id {id_kind}, key long, node long, code long")
+
+
+def _by_code(nodes: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Edges that join nodes whose codes are equal or linked, by way of a vertex for each such code."""
+    codes = scratch.keep(nodes.groupBy("code").agg(F.count("*").alias("n")), "codes", narrow=True)
+    links = link_codes(codes.select(F.lit(0).alias("kind"), "code"), scratch, limit)
+    vertex = lambda c: F.xxhash64(F.lit(0), c)
+    met = codes.where("n > 1").select("code").union(links.select("src")).union(links.select("dst")).distinct()
+    return nodes.select("node", "code").join(met, "code").select(F.col("node").alias("src"), vertex("code").alias("dst")).union(links.select(vertex("src"), vertex("dst")))
+
+
+def _room(size: int | np.ndarray, similarity: float):
+    """How many shingles of a set of ``size`` a similar set may lack."""
+    return np.floor((1 - similarity) * size + 1e-9)
+
 
-    return df.select(doc_id, text).mapInArrow(run, f"id {key}, node long, codes array<long>")
+def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(x.as_py() or "", words)) for x in texts]
 
 
-def _by_code(nodes: DataFrame, first: int, last: int, limit: int, scratch: Scratch) -> DataFrame:
-    """Edges that join nodes of which one of the codes first .. last is equal or linked, by way of a vertex for each such code."""
-    own = nodes.select("node", F.posexplode("codes").alias("kind", "code")).where(F.col("kind").between(first, last))
-    codes = scratch.keep(own.groupBy("kind", "code").agg(F.count("*").alias("n")), f"codes_{first}", narrow=True)
-    links = link_codes(codes.select("kind", "code"), scratch, limit, f"codes_{first}")
-    vertex = lambda c: F.xxhash64("kind", c)
-    met = codes.where("n > 1").select("kind", "code").union(links.select("kind", "src")).union(links.select("kind", "dst")).distinct()
-    return own.join(met, ["kind", "code"]).select(F.col("node").alias("src"), vertex("code").alias("dst")).union(links.select(vertex("src"), vertex("dst")))
+def _ends(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Rows by key, then by the first column: places of the first and last row of each key, all columns in that order, and where only one value is."""
+    order = np.lexsort((columns[0], keys))
+    keys, columns = keys[order], [c[order] for c in columns]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(keys)) - 1 if len(keys) else new
+    return np.stack([new, last]), [keys, *columns], columns[0][new] == columns[0][last]
+
+
+def _alone(df: DataFrame, text: str, similarity: float, words: int) -> DataFrame:
+    """node of each text that has more shingles to itself than a similar text may lack, by the shingles of the first ``FIRST`` of all hashes.
+
+    Of a shingle that many texts of a batch hold, two rows go on: no task reads very many rows of one shingle.
+    """
+    below = np.uint64(FIRST * (1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 500):
+                texts = b.column(0).slice(s, 500)
+                nodes = np.array([_node(x.as_py() or "") for x in texts], np.int64)
+                sets = _shingle_sets(texts, words)
+                room = np.array([_room(len(x), similarity) for x in sets], np.int32)
+                first = [x[: np.searchsorted(x, below)] for x in sets]
+                n = [len(x) for x in first]
+                at, columns, one = _ends(np.concatenate(first), np.repeat(nodes, n), np.repeat(room, n))
+                at = np.concatenate([at[0], at[1][~one]])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0][at].view(np.int64)), pa.array(columns[1][at]), pa.array(columns[2][at])], names=["shingle", "node", "room"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+        if not held:
+            return
+        at, columns, one = _ends(*map(np.concatenate, zip(*held, strict=True)))
+        at = at[0][one]
+        nodes, first, n = np.unique(columns[1][at], return_index=True, return_counts=True)
+        for i in range(0, len(nodes), 100_000):
+            own = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(columns[2][at][first[own]]), pa.array(n[own])], names=["node", "room", "n"])
+
+    each = df.select(text).mapInArrow(run, "shingle long, node long, room int").repartition("shingle")
+    own = each.mapInArrow(count, "node long, room int, n long")
+    return own.groupBy("node").agg(F.sum("n").alias("n"), F.min("room").alias("room")).where("n > room").select("node")
+
+
+def _candidates(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Edges whose components hold any two similar sets (node, shingles) together: each text meets the shingles of its prefix.
+
+    The prefix of a set is its rarest shingles (by count, then hash), one more than a similar set may lack; of two similar sets the rarest
+    common shingle is in both prefixes. Shingles of one set alone meet no other and are left out.
+    """
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    counts = scratch.keep(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
+        if not held:
+            return
+        node, size, n, shingle = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((shingle, n, node))
+        node, size, shingle = node[order], size[order], shingle[order]
+        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        met = np.diff(np.append(begins, len(node)))
+        rest = _room(size[begins], similarity) + 1 - (size[begins] - met)
+        keep = np.flatnonzero(np.arange(len(node)) - np.repeat(begins, met) < np.repeat(rest, met))
+        for i in range(0, len(keep), 100_000):
+            own = keep[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(shingle[own])], names=["node", "shingle"])
+
+    shared = each.join(counts, "shingle").select("node", "size", "n", "shingle").repartition("node")
+    return shared.mapInArrow(prefix, "node long, shingle long").select(F.col("node").alias("src"), F.xxhash64("shingle").alias("dst"))
 
 
 def _exact(rows: DataFrame, similarity: float) -> DataFrame:
@@ -257,8 +332,10 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
             node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
             low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
             raw, label = table.column("shingles").combine_chunks(), np.arange(len(node))
+            raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+            held, at = raw.values.to_numpy().view(np.uint64), raw.offsets.to_numpy()
             for a, z in zip(begins.tolist(), np.append(begins[1:], len(node)).tolist(), strict=True):
-                sets = [np.frombuffer(raw[i].as_py(), "<u8") for i in range(a, z)]
+                sets = [held[at[i] : at[i + 1]] for i in range(a, z)]
                 size = np.array([len(x) for x in sets])
                 _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
                 column = np.where(n[column] > 1, (np.cumsum(n > 1) - 1)[column], -1)  # the shingles that several share
@@ -286,36 +363,38 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     """doc_id, component_id of every row, where texts link that are similar or whose fingerprints link.
 
     Similar: the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more (the whole sequence is the
-    shingle of a shorter text). Candidates are found by further fingerprints, ``SKETCHES`` independent ones of ``SKETCH_WORDS``-word
-    shingles, searched at ``SKETCH_LIMIT`` bits by the same index; what they join is one part, and in a part every two texts are compared
+    shingle of a shorter text). Every such pair is found: texts with more shingles to themselves than a similar text may lack have none
+    and are left out, first by a share of the shingles of all texts, then by all shingles of those that remain; the remaining
+    ones meet by the rarest shingles of each. What these join is one part, and in a part every two texts are compared
     exactly. A part of over ``MEMBERS`` texts is cut into blocks, and each two blocks are one task's work; a task returns an edge
     for each linked text, never pairs. Fingerprints link at ``LIMIT`` bits as in ``near_duplicates``, and nulls, empty
     texts, repeats and empty tables give the same.
     """
     rows = scratch.keep(profiles(df, doc_id, text), "profiles")
-    grouped = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("codes").alias("codes"))
+    grouped = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.min("code").alias("code"))
     nodes = scratch.keep(grouped, "texts")
-    found = _by_code(nodes, 1, SKETCHES, SKETCH_LIMIT, scratch)
-    parts = connected_components(found, scratch).withColumnRenamed("node", "of")
-    parts = scratch.keep(nodes.select("node", "least").join(parts, F.col("node") == F.col("of")).select("node", "least", F.col("component").alias("part")), "parts", narrow=True)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("n > 1")
-    cut = parts.join(sizes.withColumnRenamed("part", "of"), F.col("part") == F.col("of")).select("node", "least", "part", "blocks")
-    cut = scratch.keep(cut, "cut", narrow=True)
+    alone = scratch.keep(_alone(df, text, similarity, words), "alone", narrow=True)
+    left = scratch.keep(nodes.join(alone, "node", "left_anti").select("node", "key"), "left", narrow=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                texts = [x.as_py() or "" for x in part.column(3)]
-                own = np.array([_node(t) for t in texts], np.int64) == part.column(0).to_numpy()  # not a repeated id's other text
-                raw = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(raw, pa.binary())], names=["node", "part", "blocks", "shingles"]).filter(pa.array(own))
-
-    whole = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(small_or_hashed(cut), F.col("id").eqNullSafe(F.col("least")))
-    sets = whole.select("node", "part", "blocks", "text").mapInArrow(run, "node long, part long, blocks int, shingles binary")
+                sets = _shingle_sets(part.column(1), words)
+                ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
+
+    whole = df.select(row_key(doc_id, text).alias("own"), F.col(text).alias("text")).join(small_or_hashed(left), F.col("own") == F.col("key"))
+    sets = whole.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])  # a row may be repeated
+    sets = scratch.keep(sets, "sets")
+    of = connected_components(_candidates(sets, similarity, scratch), scratch).withColumnRenamed("node", "of")
+    parts = scratch.keep(left.join(of, F.col("node") == F.col("of")).select("node", F.col("component").alias("part")), "parts", narrow=True)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("n > 1")
+    cut = scratch.keep(parts.join(sizes, "part").select("node", "part", "blocks"), "cut", narrow=True)
+    sets = sets.join(small_or_hashed(cut), "node")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("part", "low", "high", "block", "node", "shingles")
-    edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, 0, 0, LIMIT, scratch)), "edges")
+    edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, LIMIT, scratch)), "edges")
     of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
     known = scratch.keep(nodes.select("node", "least").join(of, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")), "known", narrow=True)
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -366,6 +366,32 @@ def test_similar_documents(spark, monkeypatch, members):
     assert op07_simhash.similar_documents(empty(spark), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("members", [256, 5])
+def test_similar_documents_finds_every_edit(spark, monkeypatch, members):
+    """Passages appended, passages replaced and lines repeated: each pair at 0.8 or more links, and no other."""
+    monkeypatch.setattr(op07_simhash, "MEMBERS", members)
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(3000)]
+    common, texts = rng.choices(words, k=40), []  # a passage of many texts
+    for f in range(150):
+        base = rng.choices(words, k=rng.randrange(60, 500)) + (common if f % 3 == 0 else [])
+        n = len(base)
+        new = rng.choices(words, k=round(n * rng.uniform(0.05, 0.3)))
+        at = rng.randrange(n - len(new) + 1)
+        part = base[10:30]
+        texts += [base, base + new, base[:at] + new + base[at + len(new) :], base + part * rng.randrange(1, 40)]
+    texts = [" ".join(t) for t in texts] + TEXTS
+    sets = [set(op07_simhash.shingle_hashes(t or "", 5).tolist()) for t in texts]
+    codes = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if label[a] != label[b] and ((codes[a] ^ codes[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in rows(op07_simhash.similar_documents(documents(spark, texts), Scratch(spark, "t")))}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 # 8: byte-level BPE
 
 
