@@ -360,7 +360,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id of every row, where texts link that are similar or whose fingerprints link.
+    """doc_id, component_id, key (of the row's id and text), kept (the component's key to keep) of every row, where texts link that are similar or whose fingerprints link.
 
     Similar: the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more (the whole sequence is the
     shingle of a shorter text). Every such pair is found: texts with more shingles to themselves than a similar text may lack have none
@@ -371,7 +371,7 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     texts, repeats and empty tables give the same.
     """
     rows = scratch.keep(profiles(df, doc_id, text), "profiles")
-    grouped = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.min("code").alias("code"))
+    grouped = rows.groupBy("node").agg(F.min("key").alias("key"), F.min("code").alias("code"))
     nodes = scratch.keep(grouped, "texts")
     alone = scratch.keep(_alone(df, text, similarity, words), "alone", narrow=True)
     left = scratch.keep(nodes.join(alone, "node", "left_anti").select("node", "key"), "left", narrow=True)
@@ -396,14 +396,30 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("part", "low", "high", "block", "node", "shingles")
     edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, LIMIT, scratch)), "edges")
     of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
-    known = scratch.keep(nodes.select("node", "least").join(of, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")), "known", narrow=True)
-    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(roots, "root").select(F.col("node").alias("of"), "component_id")
-    return rows.join(known, F.col("node") == F.col("of")).select(F.col("id").alias(doc_id), "component_id")
+    known = scratch.keep(nodes.select("node").join(of, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "node").alias("root")), "known", narrow=True)
+    rows = scratch.keep(rows.join(known, "node").select("id", "key", "root"), "rooted", narrow=True)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    roots = rows.groupBy("root").agg(first).select("root", F.col("first.id").alias("component_id"), F.col("first.key").alias("kept"))
+    return rows.join(roots, "root").select(F.col("id").alias(doc_id), "component_id", "key", "kept")
 
 
 def keep_first(df: DataFrame, found: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose doc_id is their component's smallest, by ``found`` (doc_id, component_id); of rows that repeat a doc_id, one (the smallest text)."""
+    """One row of ``df`` for each component of ``found``: that of the smallest doc_id (a null one last), and of its texts one; of equal rows of id and text, the smallest.
+
+    ``found`` is from ``similar_documents``, or has doc_id and component_id alone; the rows of an id are then all of one component, and the
+    smallest text stays.
+    """
+    if "kept" in found.columns:
+        keys = found.groupBy("key").agg(F.bool_or(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("n")).withColumnRenamed("key", "__key")
+        keys = scratch.keep(keys, "keys", narrow=True)
+        rows = df.withColumn("__key", row_key(doc_id, text)).join(small_or_hashed(keys.where("not stays").select("__key")), "__key", "left_anti")
+        many = keys.where("stays and n > 1").select("__key")
+        if many.limit(1).count():
+            names = [F.col(f"`{c}`") for c in df.columns]
+            many = small_or_hashed(many)
+            one = rows.join(many, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*")
+            return rows.join(many, "__key", "left_anti").select(*names).union(one)
+        return rows.select(*df.columns)
     stays = F.col(doc_id).eqNullSafe(F.col("component_id"))
     ids = scratch.keep(found.groupBy(F.col(doc_id).alias("__id")).agg(F.count_if(stays).alias("__rows")), "ids", narrow=True)
     rows = df.join(small_or_hashed(ids.where("__rows = 0").select("__id")), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
