@@ -109,10 +109,15 @@ def splitter(pattern: str) -> Callable[[str], re.Pattern]:
 
 
 class PieceEncoder:
-    """Texts to ids; ``pattern`` (without groups) cuts pieces, ``tokenizer`` encodes a piece."""
+    """Texts to ids; ``pattern`` (without groups) cuts pieces, ``tokenizer`` encodes a piece.
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str):
-        self.tokenizer, self.pattern = tokenizer, splitter(pattern)
+    Texts that hold an added token of ``whole``, a tokenizer as its file has it, are given to that whole; without it, added tokens are ordinary text.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, pattern: str, whole: Tokenizer | None = None):
+        self.tokenizer, self.pattern, self.whole = tokenizer, splitter(pattern), whole
+        added = [t.content for t in whole.get_added_tokens_decoder().values()] if whole else []
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.chars = dict(enumerate(byte_chars()))
         self.memo: dict[str, bytes] = {}
 
@@ -137,6 +142,14 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.added and (held := [i for i, t in enumerate(texts) if self.added.search(t)]):
+            out = self._encode_pieces(["" if self.added.search(t) else t for t in texts])
+            for i in held:
+                out[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
+            return out
+        return self._encode_pieces(texts)
+
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         i = 0
         while i < len(texts):

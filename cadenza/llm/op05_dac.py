@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .bpe import PieceEncoder, tokenizer_from_json
 from .common import Scratch
@@ -142,7 +143,7 @@ _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 def _encoder(path: str, pattern: str) -> PieceEncoder:
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = PieceEncoder(tokenizer_from_json(path), pattern)
+        _encoders[path, pattern] = PieceEncoder(tokenizer_from_json(path), pattern, Tokenizer.from_file(path))
     return _encoders[path, pattern]
 
 

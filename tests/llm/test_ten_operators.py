@@ -224,6 +224,20 @@ def test_codes_query(spark):
     assert op05_dac.read(op05_dac.write(empty(spark), Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), PATTERN, 2)).count() == 0
 
 
+def test_codes_of_added_tokens(spark):
+    """A text that holds an added token's string has that token's id, as the library gives it for whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = ["plain", *(x for a in added for x in (f"a{a}b", a, f" {a} {a}{a}\n x", f"{a[:-1]} {a[1:]}")), "plain again", "long word " * 60_000 + added[0] + " end"]
+    got = rows(op05_dac.read(op05_dac.write(documents(spark, texts, False), Scratch(spark, "t"), path, PATTERN, 2)))
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert added and 50256 in want[1]
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_segments_are_cut_and_joined(spark, monkeypatch):
     import struct
 
