@@ -156,12 +156,17 @@ def _protected(data: bytes, at: int) -> tuple[bytes, int] | None:
     return data[at + 2 : at + 4] + data[at + 6 : at + 6 + side], data[at + 4] << 8 | data[at + 5]
 
 
+def _closing(data: bytes, at: int, end: int) -> bool:
+    """Whether the 128 bytes of an ID3v1 tag are all that is left here."""
+    return end - at == 128 and data[at : at + 3] == b"TAG"
+
+
 def _frame(data: bytes, at: int, end: int) -> tuple[int, int] | None:
-    """Size and rate of a frame that begins here: one that fits, and that another or the end follows, or whose checksum holds."""
+    """Size and rate of a frame that begins here: one that fits, and that another, a closing tag or the end follows, or whose checksum holds."""
     found = _size(data, at)
     if not found or at + found[0] > end:
         return None
-    if at + found[0] == end or _size(data, at + found[0]):
+    if at + found[0] == end or _closing(data, at + found[0], end) or _size(data, at + found[0]):
         return found
     covered = _protected(data, at)
     return found if covered and crc16(covered[0]) == covered[1] else None
@@ -169,15 +174,19 @@ def _frame(data: bytes, at: int, end: int) -> tuple[int, int] | None:
 
 def _sync(data: bytes, at: int, end: int) -> int:
     """Where the next frame begins, or the end."""
-    while (at := data.find(b"\xff", at, end)) >= 0:
+    tag = end - 128 if end - 128 >= at and _closing(data, end - 128, end) else end
+    while (at := data.find(b"\xff", at, tag)) >= 0:
         if _frame(data, at, end):
             return at
         at += 1
-    return end
+    return tag
 
 
 def parse(data: bytes) -> Stream:
-    """Tags, table and frames of a stream; what is not a frame is passed over up to the next one."""
+    """Tags, table and frames of a stream; what is not a frame is passed over up to the next one.
+
+    Frames come before tags: "TAG" 128 bytes before the end begins a tag only where no frame covers that place, so it may stand in main data.
+    """
     at, end, tags, vbr, frames, skipped = 0, len(data), {}, None, [], 0
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         stop, i = min(end, at + 10 + from_syncsafe(data[at + 6 : at + 10])), at + 10
@@ -190,13 +199,13 @@ def parse(data: bytes) -> Stream:
                 tags[data[i : i + 4].decode("latin-1")] = name
             i += 10 + n
         at = stop
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, i, n in (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4)):
-            if value := data[end + i : end + i + n].split(b"\0")[0].decode("latin-1").strip():
-                tags.setdefault(name, value)
     crcs: dict[bytes, int] = {}
     while at < end:
+        if _closing(data, at, end):
+            for name, i, n in (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4)):
+                if value := data[at + i : at + i + n].split(b"\0")[0].decode("latin-1").strip():
+                    tags.setdefault(name, value)
+            break
         found = _frame(data, at, end)
         if not found:
             begins = _sync(data, at + 1, end)
@@ -243,7 +252,11 @@ def feature(stream: Stream) -> str:
 
 
 def store(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write each whole text as a stream: doc_id, media, in a Parquet table in the shared folder. Null texts count as empty; repeated rows stay."""
+    """Write each whole text as a stream: doc_id, media, in a Parquet table in the shared folder.
+
+    Null and empty texts are one unit of blanks. A text may be as long as a row: a task holds one stream and its payload. Repeated rows and null
+    doc_ids stay, an empty table gives an empty one, and other columns, whatever their names, are not read.
+    """
     key = df.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,22 @@ def test_media(data):
     assert op02_mpeg.payload_of(media, stream) == payload and int(stream.tags["n_bytes"]) == len(data)
 
 
+@few
+@given(st.integers(0, 1400), st.sampled_from([b"TAG", b"ID3\x04\x00\x00\x00\x00\x01\x00", b"Xing\x00\x00\x00\x0f", b"\xff\xfb\x90\xc4", b"\xff\xfa\xe4\xc4", b"\xff" * 5]), st.binary(max_size=1200))
+def test_media_that_looks_like_tags_or_headers(before, mark, after):
+    data = b"x" * before + mark * 3 + after
+    media = op02_mpeg.write(payload := op02_mpeg.pad(data), len(data))
+    stream = op02_mpeg.parse(media)
+    assert op02_mpeg.payload_of(media, stream) == payload and int(stream.tags["payload_bytes"]) == len(payload) and not stream.skipped
+
+
+def test_media_with_a_tag_at_every_offset():
+    for n in range(60, 130):
+        data = b"x" * n + b"TAG and more"
+        media = op02_mpeg.write(payload := op02_mpeg.pad(data), len(data))
+        assert op02_mpeg.payload_of(media, op02_mpeg.parse(media)) == payload
+
+
 @few
 @given(st.binary(max_size=600))
 def test_media_parser_takes_anything(data):
