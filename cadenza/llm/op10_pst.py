@@ -1,50 +1,49 @@
 """Language-model scores from a probabilistic suffix tree over bytes (operator 10).
 
-A text is read as its lower-cased words joined by one space, then an end byte, after ``DEPTH`` start
-bytes: every token is the bytes of a word with what follows it, so the probability of the bytes is that of
-the tokens. One pass over the training texts counts words and byte strings of DEPTH + 1; shorter
-strings are sums of those. The tree keeps a context if
+A text is read as its lower-cased words joined by one space, then an end byte, after ``DEPTH`` start bytes (which UTF-8
+doesn't hold): every token is the bytes of a word with what follows it, so the probability of the bytes is that of the
+tokens. The tree keeps a context of two bytes or more if
 
-- it is as frequent as ``CONTEXT_SHARE`` of all symbols (so there are at most DEPTH / CONTEXT_SHARE), and
+- it occurs ``CONTEXT_LEAST`` times in the training texts, and
 - its next-symbol distribution diverges from that of the context one byte shorter: the Kullback-Leibler
   divergence times the context's count reaches ``EVIDENCE`` nats per next symbol that it has met, or
 - it is the suffix of a kept context.
 
-A kept context's distribution is smoothed by that of its suffix: (n(s x) + STRENGTH p(x | suffix)) /
-(n(s) + STRENGTH), and the empty context's by equal shares. A next symbol is held for a context if it is
-as frequent as ``SYMBOL_SHARE`` of all symbols after it (at most DEPTH / SYMBOL_SHARE entries); the others
-follow from the suffix. The tree's size is thus bounded by these parameters, and it is broadcast; the word counts
-grow with the corpus and never leave the executors: each block of texts asks for the counts of its own words.
+These bounds are absolute, so that more text keeps more and longer contexts. The contexts of no byte and of one are always
+kept; they are a table of 65,536 counts at most, the only part of the model that every task has. A kept context's distribution is
+smoothed by that of its suffix: (n(s x) + STRENGTH p(x | suffix)) / (n(s) + STRENGTH), and the empty context's by equal shares.
+
+The texts are packed into blocks. A block's distinct grams (a symbol after DEPTH bytes), with their counts in its training texts,
+are dealt to shards by the last two bytes of the context: all longer contexts that end alike, their suffixes and their next symbols meet in one
+shard, which builds that subtree alone. The same messages are the block's questions: a shard answers each with the grams' log
+probabilities. Words go the same way, by their hash, and are answered with their counts. Messages are sorted integers in compressed
+byte planes. Those of a shard are merged and answered ``CHUNK`` blocks at a time, so that no task holds what all blocks send.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_remainder, utf8_size
+from .common import Scratch, id_remainder
 
-DEPTH = 5
+DEPTH = 6
 FOLDS = 10
-CONTEXT_SHARE = 2e-6
-SYMBOL_SHARE = 5e-7
+CONTEXT_LEAST = 16
 EVIDENCE = 2.0
 STRENGTH = 4.0
-#: Bytes of text that one block holds on average, and blocks at least.
-BLOCK_BYTES = 12_000_000
-BLOCKS = 8
-#: Distinct keys that a counting task holds before it hands them on, and places of a worker's memo of grams.
-HELD = 2_000_000
-MEMO_BITS = 20
-START, END = 0, 10
+START, END = 0xFF, 10
+#: Bytes of text of a block, positions that are looked at together, symbols for each shard, and blocks whose messages a task merges.
+BLOCK_BYTES, WINDOW, SHARD_SYMBOLS, CHUNK = 12_000_000, 2_000_000, 8_000_000, 256
 #: Base model: added to every count.
 ADDED = 0.1
+WORDS, GRAMS = 0, 1
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,9 +55,22 @@ def token_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, [*words, b"\n"]), np.uint64, len(words) + 1)
 
 
-def symbols_of(words: list[bytes]) -> bytes:
-    """A text's bytes; a zero byte inside a word would look like a start and is read as a space."""
-    return bytes([START]) * DEPTH + b" ".join(words).replace(b"\0", b" ") + bytes([END])
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes; sorted integers are best given as differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def expand(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def expand_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(expand(raw, np.uint64), dtype=np.uint64)
 
 
 def grams(data: np.ndarray, n: int = DEPTH + 1) -> np.ndarray:
@@ -75,170 +87,293 @@ def grams(data: np.ndarray, n: int = DEPTH + 1) -> np.ndarray:
     return out
 
 
-def _all_grams(texts: list[bytes]) -> np.ndarray:
-    """The grams of many texts, without those that reach over a border: a text begins with DEPTH start bytes and holds none later."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    found = grams(data)
-    return found[data[DEPTH:] != START] if len(data) else found
+class Block:
+    """Texts as symbols. joined: each text's words joined by one space; trains: which texts are learnt from."""
+
+    def __init__(self, joined: list[bytes], trains: np.ndarray):
+        begin = bytes([START]) * DEPTH
+        self.joined, self.trains = joined, trains
+        self.data = np.frombuffer(b"".join(x for t in joined for x in (begin, t, bytes([END]))), np.uint8)
+        self.ends = np.cumsum([len(t) + DEPTH + 1 for t in joined])
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Grams, and the text of each, of a bounded number of places at a time. Places of start bytes are left out."""
+        begins = np.append(0, self.ends[:-1])
+        for a in range(DEPTH, len(self.data), WINDOW):
+            z = min(a + WINDOW, len(self.data))
+            first, last = np.searchsorted(self.ends, (a, z - 1), side="right")
+            own = np.arange(first, last + 1)
+            text = np.repeat(own, np.minimum(self.ends[own], z) - np.maximum(begins[own], a))
+            real = self.data[a:z] != START
+            yield grams(self.data[a - DEPTH : z])[real], text[real]
+
+    def tokens(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Token hashes, and the text of each, of some texts at a time."""
+        for i in range(0, len(self.joined), 500):
+            found = [token_hashes(t.split()) for t in self.joined[i : i + 500]]
+            yield np.concatenate(found), np.repeat(np.arange(i, i + len(found)), [len(h) for h in found])
+
+    def messages(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of the block, sorted, and how often its training texts hold each."""
+        found, keys, counts = [], [], []
+        for key, text in self.tokens() if kind == WORDS else self.windows():
+            found.append(np.unique(key))
+            k, n = np.unique(key[self.trains[text]], return_counts=True)
+            keys.append(k)
+            counts.append(n)
+        every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        n = np.zeros(len(every), np.int64)
+        for k, m in zip(keys, counts, strict=True):
+            n[np.searchsorted(every, k)] += m
+        return every, n
+
+
+def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the hash of a word, or of the last two bytes of a gram's context."""
+    at = keys if kind == WORDS else (keys >> np.uint64(8) & np.uint64(0xFFFF)) + np.uint64(1)
+    return ((at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def pair_counts(block: Block) -> np.ndarray:
+    """How often each symbol comes after each, in the training texts: 65,536 counts."""
+    out = np.zeros(65_536, np.int64)
+    for g, text in block.windows():
+        out += np.bincount((g[block.trains[text]] & np.uint64(0xFFFF)).astype(np.int64), minlength=65_536)
+    return out
 
 
-class _Tally:
-    """Counts of integers, kept sorted and merged as they come."""
+class Pairs:
+    """The contexts of no byte and of one."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.reshape(256, 256).astype(np.float64)
+        self.of = self.counts.sum(axis=1)
+        single = self.counts.sum(axis=0)
+        empty = (single + STRENGTH / 256) / (single.sum() + STRENGTH)
+        self.p = (self.counts + STRENGTH * empty) / (self.of[:, None] + STRENGTH)
+
+
+class Subtree:
+    """Kept contexts of two bytes or more, and their next symbols: for each depth sorted contexts with counts, sorted context + symbol with counts."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.levels = levels
+
+    @classmethod
+    def build(cls, keys: np.ndarray, n: np.ndarray, pairs: Pairs) -> Subtree:
+        """keys: sorted grams that share a shard; n: their counts."""
+        found = []
+        for d in range(2, DEPTH + 1):
+            e, m = _sums(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)
+            c, first = np.unique(e >> np.uint64(8), return_index=True)
+            of = np.add.reduceat(m, first) if len(first) else np.zeros(0, np.int64)
+            found.append((c, of, e, m))
+        good = []
+        for k, (c, of, e, m) in enumerate(found):
+            size = np.diff(np.append(np.searchsorted(e >> np.uint64(8), c), len(e)))
+            if k:
+                c0, of0, e0, m0 = found[k - 1]
+                up = e & np.uint64((1 << 8 * (k + 2)) - 1)
+                before = m0[np.searchsorted(e0, up)] / of0[np.searchsorted(c0, up >> np.uint64(8))]
+            else:
+                b, x = (e >> np.uint64(8) & np.uint64(255)).astype(np.int64), (e & np.uint64(255)).astype(np.int64)
+                before = pairs.counts[b, x] / pairs.of[b]
+            gain = np.bincount(np.repeat(np.arange(len(c)), size), m * np.log(m / np.repeat(of, size) / before), len(c))
+            good.append((of >= CONTEXT_LEAST) & (gain >= EVIDENCE * size))
+        for k in range(len(found) - 1, 0, -1):
+            up = found[k][0][good[k]] & np.uint64((1 << 8 * (k + 1)) - 1)
+            good[k - 1][np.searchsorted(found[k - 1][0], up)] = True
+        levels = []
+        for (c, of, e, m), g in zip(found, good, strict=True):
+            mine = g[np.searchsorted(c, e >> np.uint64(8))]
+            levels.append((c[g], of[g], e[mine], m[mine]))
+        return cls(levels)
+
+    def pack(self) -> list[bytes]:
+        return [x for c, of, e, m in self.levels for x in (squeeze_sorted(c), squeeze(of), squeeze_sorted(e), squeeze(m))]
+
+    @classmethod
+    def unpack(cls, raw: list[bytes]) -> Subtree:
+        return cls([(expand_sorted(c), expand(of, np.int64), expand_sorted(e), expand(m, np.int64)) for c, of, e, m in zip(*[raw[i::4] for i in range(4)], strict=True)])
+
+    def log_probabilities(self, keys: np.ndarray, pairs: Pairs) -> np.ndarray:
+        """log10 of each gram's last symbol after the longest kept suffix of what stands before it."""
+        b, x = (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+        p, alive = pairs.p[b, x], np.arange(len(keys))
+        for k, (c, of, e, m) in enumerate(self.levels):
+            g = keys[alive] & np.uint64((1 << 8 * (k + 3)) - 1)
+            at, has = _find(c, g >> np.uint64(8))
+            alive, g, at = alive[has], g[has], at[has]
+            if not len(alive):
+                break
+            where, seen = _find(e, g)
+            count = np.zeros(len(g))
+            count[seen] = m[where[seen]]
+            p[alive] = (count + STRENGTH * p[alive]) / (of[at] + STRENGTH)
+        return np.log10(p)
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of ``n`` over each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
-    def __init__(self) -> None:
-        self.key, self.n, self.new, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.new.append(np.unique(keys, return_counts=True))
-        self.waiting += len(self.new[-1][0])
-        if self.waiting > HELD // 4:
-            self.merge()
+def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``what`` in the sorted ``among``, and which are there."""
+    at = np.searchsorted(among, what)
+    inside = at < len(among)
+    has = np.zeros(len(what), bool)
+    has[inside] = among[at[inside]] == what[inside]
+    return at, has
 
-    def merge(self) -> None:
-        key, where = np.unique(np.concatenate([self.key, *[k for k, _ in self.new]]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([self.n, *[n for _, n in self.new]]), len(key)).astype(np.int64)
-        self.key, self.n, self.new, self.waiting = key, n, [], 0
 
-    def take(self, kind: int) -> pa.RecordBatch:
-        self.merge()
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.key), kind, np.int8)), pa.array(self.key.view(np.int64)), pa.array(self.n)], names=["kind", "key", "n"])
-        self.__init__()
-        return out
+class Lookup:
+    """Values of sorted keys by a direct-mapped table, frequent keys first; what the table lacks is searched."""
 
+    def __init__(self, keys: np.ndarray, values: np.ndarray, n: np.ndarray):
+        self.keys, self.values, self.shift = keys, values, np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
+        self.table = np.zeros(1 << int(np.uint64(64) - self.shift), np.int32)
+        order = np.argsort(n, kind="stable")
+        self.table[self._slot(keys[order])] = order
 
-def count(df: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
-    """kind (0: word hash, 1: gram), key, n over the rows of ``df``; each task adds up what it meets, in bounded memory."""
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.values[at]
+
+
+def pack(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df: id, text, held_out. Blocks: block, texts (an Arrow stream of id, held_out, joined words), pairs, symbols, tokens (of training texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = (_Tally(), _Tally())
+        from pyspark import TaskContext
+
+        part, sequence, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.concat_tables(pa.Table.from_batches([b]) for b in held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            joined = table.column("joined").to_pylist()
+            trains = ~table.column("held_out").to_numpy(zero_copy_only=False)
+            tokens = sum(len(t.split()) + 1 for t, y in zip(joined, trains, strict=True) if y)
+            block = Block(joined, trains)
+            row = [(part << 24) + sequence, sink.getvalue().to_pybytes(), squeeze(pair_counts(block)), len(block.data), tokens]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["block", "texts", "pairs", "symbols", "tokens"])
+
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                words = [words_of(x.as_py() or "") for x in b.column(0).slice(i, 1000)]
-                tallies[0].add(np.concatenate([token_hashes(w) for w in words]))
-                tallies[1].add(_all_grams([symbols_of(w) for w in words]))
-                for kind, t in enumerate(tallies):
-                    if len(t.key) > HELD:
-                        yield t.take(kind)
-        for kind, t in enumerate(tallies):
-            yield t.take(kind)
-
-    found = df.select(text).mapInArrow(run, "kind byte, key long, n long")
-    return scratch.keep(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-
-
-class Tree(NamedTuple):
-    """Contexts and entries by depth: sorted packed contexts with their weight on the suffix, sorted packed context + symbol with their own part."""
-
-    contexts: list[np.ndarray]
-    shares: list[np.ndarray]
-    entries: list[np.ndarray]
-    parts: list[np.ndarray]
-
-
-def build(counts: DataFrame) -> Tree:
-    """The tree from the counted grams. Reads only what passes the shares, which bounds it whatever the corpus."""
-    rows = counts.where("kind = 1").select(F.col("key").alias("g"), "n")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    contexts, shares, entries, parts = [], [], [], []
-    masks = [(1 << 8 * (d + 1)) - 1 for d in range(DEPTH + 1)]
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for d in range(DEPTH + 1):
-        by = rows.groupBy(F.col("g").bitwiseAND(F.lit(masks[d])).alias("e")).agg(F.sum("n").alias("n"))
-        by = by.where(F.col("n") >= max(1, SYMBOL_SHARE * total)) if d else by
-        got = by.orderBy("e").toArrow() if total else pa.table({"e": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        e, n = got.column("e").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(np.float64)
-        kept.append((e, n, e >> np.uint64(8), e & np.uint64(255)))
-    context_n = [np.array([float(total)])] + [None] * DEPTH
-    known = [np.zeros(1, np.uint64)] + [None] * DEPTH
-    for d in range(1, DEPTH + 1):
-        by = rows.groupBy(F.shiftright("g", 8).bitwiseAND(F.lit(masks[d - 1])).alias("c")).agg(F.sum("n").alias("n"))
-        got = by.where(F.col("n") >= max(2, CONTEXT_SHARE * total)).orderBy("c").toArrow() if total else None
-        known[d] = got.column("c").to_numpy().astype(np.uint64) if got else np.zeros(0, np.uint64)
-        context_n[d] = got.column("n").to_numpy().astype(np.float64) if got else np.zeros(0)
-    good = [np.ones(len(k), bool) for k in known]
-    for d in range(1, DEPTH + 1):
-        e, n, c, x = kept[d]
-        at, has = _find(known[d], c)
-        e, n, x, at = e[has], n[has], x[has], at[has]
-        up_at, up_has = _find(kept[d - 1][0], e & np.uint64(masks[d - 1]))
-        up_c, _ = _find(known[d - 1], (e & np.uint64(masks[d - 1])) >> np.uint64(8))
-        up = np.where(up_has, kept[d - 1][1][np.minimum(up_at, len(kept[d - 1][1]) - 1)] if len(kept[d - 1][1]) else 1, 1)
-        up = up / context_n[d - 1][np.minimum(up_c, len(context_n[d - 1]) - 1)]
-        gain = np.bincount(at, n * np.log(n / context_n[d][at] / up), len(known[d]))
-        good[d] = gain >= EVIDENCE * np.maximum(1, np.bincount(at, minlength=len(known[d])))
-    for d in range(DEPTH, 1, -1):
-        up_at, up_has = _find(known[d - 1], known[d][good[d]] & np.uint64(masks[d - 2]))
-        good[d - 1][up_at[up_has]] = True
-    for d in range(DEPTH + 1):
-        known[d], context_n[d] = known[d][good[d]], context_n[d][good[d]]
-        e, n, c, _ = kept[d]
-        at, has = _find(known[d], c) if d else (np.zeros(len(c), np.int64), np.ones(len(c), bool))
-        contexts.append(known[d])
-        shares.append(STRENGTH / (context_n[d] + STRENGTH))
-        entries.append(e[has])
-        parts.append(n[has] / (context_n[d][at[has]] + STRENGTH))
-    return Tree(contexts, shares, entries, parts)
+            for i in range(0, b.num_rows, 500):
+                part_of = b.slice(i, 500)
+                joined = [b" ".join(words_of(x.as_py() or "")) for x in part_of.column(1)]
+                held.append(pa.RecordBatch.from_arrays([part_of.column(0), part_of.column(2), pa.array(joined, pa.large_binary())], names=["id", "held_out", "joined"]))
+                size += sum(map(len, joined))
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    sequence, held, size = sequence + 1, [], 0
+        if held:
+            yield flush()
 
+    return scratch.keep(df.select("id", "text", "held_out").mapInArrow(run, "block long, texts binary, pairs binary, symbols long, tokens long"), "blocks")
 
-def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``what`` in the sorted ``among``, and which are there."""
-    at = np.searchsorted(among, what)
-    inside = at < len(among)
-    has = np.zeros(len(what), bool)
-    has[inside] = among[at[inside]] == what[inside]
-    return at, has
 
+def _opened(texts: bytes) -> tuple[pa.Table, Block]:
+    table = pa.ipc.open_stream(texts).read_all()
+    return table, Block(table.column("joined").to_pylist(), ~table.column("held_out").to_numpy(zero_copy_only=False))
 
-def log_probabilities(tree: Tree, found: np.ndarray) -> np.ndarray:
-    """log10 of each gram's last symbol after the longest kept suffix of what stands before it."""
-    p = np.full(len(found), 1 / 256)
-    alive = np.arange(len(found))
-    for d in range(len(tree.contexts)):
-        g = found[alive] & np.uint64((1 << 8 * (d + 1)) - 1)
-        at, has = _find(tree.contexts[d], g >> np.uint64(8))
-        alive, g, at = alive[has], g[has], at[has]
-        if not len(alive):
-            break
-        e, seen = _find(tree.entries[d], g)
-        p[alive] *= tree.shares[d][at]
-        p[alive[seen]] += tree.parts[d][e[seen]]
-    return np.log10(p)
-
-
-class Scorer:
-    """A tree with a memo: a direct-mapped table of grams that a worker has looked up, each in the place of its hash."""
-
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.keys: np.ndarray | None = None
-
-    def __getstate__(self) -> Tree:
-        return self.tree
-
-    def __setstate__(self, tree: Tree) -> None:
-        self.tree, self.keys = tree, None
-
-    def look_up(self, found: np.ndarray) -> np.ndarray:
-        if self.keys is None:
-            self.keys, self.values = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS)
-            self.values[0] = log_probabilities(self.tree, np.zeros(1, np.uint64))[0]
-        place = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO_BITS)
-        value = self.values[place]
-        missed = np.flatnonzero(self.keys[place] != found)
-        if len(missed):
-            distinct, where = np.unique(found[missed], return_inverse=True)
-            known = log_probabilities(self.tree, distinct)
-            value[missed] = known[where]
-            place = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO_BITS)
-            self.keys[place], self.values[place] = distinct, known
-        return value
-
-    def scores(self, words: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        texts = [symbols_of(w) for w in words]
-        value = self.look_up(_all_grams(texts))
-        ends = np.cumsum([len(t) - DEPTH for t in texts])
-        return np.add.reduceat(value, np.append(0, ends[:-1])) if len(texts) else np.zeros(0)
+
+def sum_pairs(blocks: DataFrame) -> np.ndarray:
+    """The pair counts of all blocks: 65,536 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(65_536, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += expand(x.as_py(), np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["pair", "n"])
+
+    out = np.zeros(65_536, np.int64)
+    for r in blocks.select("pairs").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out
+
+
+def ask(blocks: DataFrame, shards: int) -> DataFrame:
+    """Each block's messages: block, kind, shard, keys, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, texts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, own = _opened(texts.as_py())
+                for kind in (WORDS, GRAMS):
+                    keys, n = own.messages(kind)
+                    shard = shard_of(kind, keys, shards)
+                    order = np.argsort(shard, kind="stable")
+                    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                    rows = [(s, squeeze_sorted(keys[order[a:z]]), squeeze(n[order[a:z]])) for s, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+                    columns = [pa.array([block] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "kind", "shard", "keys", "n"])
+
+    return blocks.select("block", "texts").mapInArrow(run, "block long, kind int, shard int, keys binary, n binary")
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of messages with their counts added up; keys that no training text holds are left out."""
+    keys = np.concatenate([expand_sorted(x.as_py()) for x in table.column("keys")])
+    n = np.concatenate([expand(x.as_py(), np.int64) for x in table.column("n")])
+    return _sums(keys[n > 0], n[n > 0])
+
+
+def learn(asked: DataFrame, pairs: np.ndarray, tasks: int) -> DataFrame:
+    """kind, shard, model (a subtree, or words and their counts), distinct (words), from all messages."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, n = _merged(table)
+        return pa.table({"kind": table.column("kind")[:1].cast(pa.int32()), "shard": table.column("shard")[:1].cast(pa.int32()), "keys": pa.array([squeeze_sorted(keys)], pa.binary()), "n": pa.array([squeeze(n)], pa.binary())})
+
+    def build(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        keys, n = _merged(table)
+        model = [squeeze_sorted(keys), squeeze(n)] if kind == WORDS else Subtree.build(keys, n, Pairs(pairs)).pack()
+        return pa.table({"kind": pa.array([kind], pa.int32()), "shard": table.column("shard")[:1].cast(pa.int32()), "model": pa.array([model], pa.list_(pa.binary())), "words": pa.array([len(keys) if kind == WORDS else 0], pa.int64())})
+
+    parts = asked.repartition(tasks, "kind", "shard", "chunk").groupBy("kind", "shard", "chunk").applyInArrow(merge, "kind int, shard int, keys binary, n binary")
+    return parts.repartition(tasks, "kind", "shard").groupBy("kind", "shard").applyInArrow(build, "kind int, shard int, model array<binary>, words long")
+
+
+def answer(asked: DataFrame, models: DataFrame, pairs: np.ndarray, chunks: int, tasks: int) -> DataFrame:
+    """block, kind, shard, answers: for each key of a message, in its order, the log probability (single precision) or the count."""
+
+    def run(messages: pa.Table, models: pa.Table) -> pa.Table:
+        if not messages.num_rows:  # no block of this chunk holds a key of the shard
+            return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "answers": pa.array([], pa.binary())})
+        keys = [expand_sorted(x.as_py()) for x in messages.column("keys")]
+        ends = np.append(0, np.cumsum([len(k) for k in keys]))
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        model = models.column("model")[0].as_py()
+        if messages.column("kind")[0].as_py() == WORDS:
+            known, count = expand_sorted(model[0]), expand(model[1], np.int64)
+            at, has = _find(known, distinct)
+            value = np.zeros(len(distinct), np.int64)
+            value[has] = count[at[has]]
+        else:
+            value = Subtree.unpack(model).log_probabilities(distinct, Pairs(pairs)).astype(np.float32)
+        value = value[where]
+        out = pa.array([squeeze(value[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"block": messages.column("block"), "kind": messages.column("kind"), "shard": messages.column("shard"), "answers": out})
+
+    keys = ["kind", "shard", "chunk"]
+    copies = models.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "model")
+    left = asked.repartition(tasks, *keys).groupBy(*keys)
+    return left.cogroup(copies.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, "block long, kind int, shard int, answers binary")
 
 
 def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,51 +381,50 @@ def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
 
     Learns from the rows outside the held-out tenth. A null or empty text is its end alone; a null doc_id counts as
     the id '' (held out). Without training texts every count is 0, base_score is that of an empty count and
-    score of equal shares. Repeated rows are counted and scored one by one; an empty table gives an empty one.
+    score of equal shares. Repeated rows are counted and scored one by one; an empty table gives an empty one; other columns,
+    whatever their names, are not read. A text may be as long as a row: its places are looked at ``WINDOW`` at a time.
     """
-    spark = df.sparkSession
+    key = df.select(doc_id).schema[0].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (id_remainder(doc_id, FOLDS) == 0).alias("held_out"))
-    counts = count(rows.where("not held_out"), scratch, "id", "text")
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    n_train, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scorer = spark.sparkContext.broadcast(Scorer(build(counts)))
-    size = df.agg(F.sum(utf8_size(text))).first()[0] or 0
-    blocks = max(BLOCKS, int(size // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = b.column(0).to_numpy()
-            for k in np.unique(of):
-                texts = b.column(1).filter(pa.array(of == k))
-                own = np.unique(np.concatenate([token_hashes(words_of(x.as_py())) for x in texts]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64))], names=["block", "word"])
-
-    wanted = dealt.select("block", "text").mapInArrow(ask, "block int, word long")
-    told = wanted.join(words, "word").select("block", "word", "c")
+    blocks = pack(rows, scratch)
+    n_blocks, symbols, n_train = blocks.agg(F.count("*"), F.coalesce(F.sum("symbols"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    shards = min(65_536, max(8, -(-symbols // SHARD_SYMBOLS)))
+    chunks = max(1, -(-n_blocks // CHUNK))
+    pairs = sum_pairs(blocks)
+    asked = ask(blocks, shards).withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int"))
+    asked = scratch.keep(asked, "asked")
+    models = scratch.keep(learn(asked, pairs, shards), "models")
+    n_words = models.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    answers = scratch.keep(answer(asked, models, pairs, chunks, shards), "answers")
+    scratch.drop("asked")
     most = float(n_train) + ADDED * (n_words + 1)
-    key = df.select(doc_id).schema[0]
-
-    def answer(texts: pa.Table, known: pa.Table) -> pa.Table:
-        word, c = known.column("word").to_numpy().view(np.uint64), known.column("c").to_numpy()
-        order = np.argsort(word, kind="stable")
-        word, c = word[order], c[order]
-        n, n_known, base, model = [], [], [], []
-        column = texts.column("text")
-        for i in range(0, len(column), 500):
-            part = [words_of(x.as_py()) for x in column.slice(i, 500)]
-            model.append(scorer.value.scores(part))
-            for w in part:
-                h = token_hashes(w)
-                at, has = _find(word, h)
-                own = np.zeros(len(h))
-                own[has] = c[at[has]]
-                n.append(len(h))
-                n_known.append(int(has.sum()))
-                base.append(float(np.log10((own + ADDED) / most).sum()) if most else 0.0)
-        columns = [texts.column("id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_train] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(model) if model else np.zeros(0))]
-        return pa.Table.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    kind = f"id {key.dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, kind)
-    return out.withColumnRenamed("id", doc_id)
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        table, own = _opened(texts.column("texts")[0].as_py())
+        n = len(own.joined)
+        kinds, places = told.column("kind").to_numpy(), told.column("shard").to_numpy()
+        looked = {}
+        for kind, form in ((WORDS, np.int64), (GRAMS, np.float32)):
+            keys, count = own.messages(kind)
+            order = np.argsort(shard_of(kind, keys, shards), kind="stable")
+            mine = np.flatnonzero(kinds == kind)
+            mine = mine[np.argsort(places[mine])]
+            values = np.zeros(len(keys), form)
+            values[order] = np.concatenate([expand(told.column("answers")[int(i)].as_py(), form) for i in mine])
+            looked[kind] = Lookup(keys, values.astype(np.float64), count)
+        n_tokens, n_known, base, model = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for h, at in own.tokens():
+            c = looked[WORDS](h)
+            n_tokens += np.bincount(at, minlength=n)
+            n_known += np.bincount(at, c > 0, n).astype(np.int64)
+            base += np.bincount(at, np.log10((c + ADDED) / most), n)
+        for g, at in own.windows():
+            model += np.bincount(at, looked[GRAMS](g), n)
+        columns = {"id": table.column("id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(n, n_train, np.int64), "base_score": base, "score": model}
+        return pa.table(columns)
+
+    schema = f"id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    tasks = max(1, n_blocks)
+    whole = blocks.select("block", "texts").repartition(tasks, "block").groupBy("block")
+    told = answers.repartition(tasks, "block").groupBy("block")
+    return whole.cogroup(told).applyInArrow(score, schema).withColumnRenamed("id", doc_id)

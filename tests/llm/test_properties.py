@@ -95,11 +95,24 @@ def test_merge(pairs):
 
 
 @few
-@given(st.lists(st.text(alphabet="ab \x00\n", max_size=30), min_size=1, max_size=5))
-def test_scores_are_sums_over_places(texts):
-    tree = op10_pst.Tree([np.zeros(1, np.uint64)], [np.array([0.5])], [np.array([10, 32, 97], np.uint64)], [np.array([0.1, 0.1, 0.3])])
-    words = [op10_pst.words_of(t) for t in texts]
-    got = op10_pst.Scorer(tree).scores(words)
-    for w, s in zip(words, got, strict=True):
-        own = [float(op10_pst.log_probabilities(tree, np.array([x], np.uint64))[0]) for x in op10_pst.symbols_of(w)[op10_pst.DEPTH :]]
-        assert abs(s - sum(own)) < 1e-9
+@given(st.lists(st.text(alphabet="ab \x00\n", max_size=30), min_size=1, max_size=5), st.integers(1, 40))
+def test_windows_hold_every_place_once(texts, window):
+    joined, before = [b" ".join(op10_pst.words_of(t)) for t in texts], op10_pst.WINDOW
+    op10_pst.WINDOW = window
+    try:
+        got = [pair for g, at in op10_pst.Block(joined, np.ones(len(texts), bool)).windows() for pair in zip(g.tolist(), at.tolist(), strict=True)]
+    finally:
+        op10_pst.WINDOW = before
+    size = op10_pst.DEPTH
+    whole = [b"\xff" * size + t + b"\n" for t in joined]
+    assert got == [(int.from_bytes(t[i - size : i + 1], "big"), k) for k, t in enumerate(whole) for i in range(size, len(t))]
+
+
+@few
+@given(st.lists(st.integers(0, 2**63), max_size=200), st.integers(0, 2**63))
+def test_packed_numbers(values, other):
+    keys = np.unique(np.array(values, np.uint64))
+    assert op10_pst.expand_sorted(op10_pst.squeeze_sorted(keys)).tolist() == keys.tolist()
+    if len(keys):
+        table = op10_pst.Lookup(keys, np.arange(len(keys), dtype=np.float64), np.ones(len(keys), np.int64))
+        assert table(keys[::-1]).tolist() == list(range(len(keys)))[::-1]

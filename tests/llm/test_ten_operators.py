@@ -556,20 +556,65 @@ def test_lm_base_and_tree(spark):
     assert op10_pst.lm_scores(empty(spark), Scratch(spark, "t")).count() == 0
 
 
-def test_tree_is_a_distribution(spark):
-    df = documents(spark, ["abab abba " * 30, "baba cab " * 20], False)
-    tree = op10_pst.build(op10_pst.count(df, Scratch(spark, "t"), "doc_id", "text"))
-    for d in range(1, op10_pst.DEPTH + 1):
-        suffixes = set((tree.contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)).tolist())
-        assert d == 1 or suffixes <= set(tree.contexts[d - 1].tolist())
-        for context in tree.contexts[d][:20]:
-            p = 10 ** op10_pst.log_probabilities(tree, (context << np.uint64(8)) + np.arange(256, dtype=np.uint64))
-            assert p.sum() == pytest.approx(1, abs=1e-6)
+def brute_lm(train, texts):
+    """log10 probabilities from contexts in dictionaries, by the definition of the tree."""
+    depth, symbols = op10_pst.DEPTH, lambda t: b"\xff" * op10_pst.DEPTH + b" ".join(op10_pst.words_of(t or "")) + b"\n"
+    follow = [{} for _ in range(depth + 1)]
+    for t in map(symbols, train):
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                own = follow[d].setdefault(t[i - d : i], Counter())
+                own[t[i]] += 1
+    kept = {b""} | set(follow[1])
+    for d in range(2, depth + 1):
+        for s, own in follow[d].items():
+            n, up = sum(own.values()), follow[d - 1][s[1:]]
+            gain = sum(m * math.log(m / n / (up[x] / sum(up.values()))) for x, m in own.items())
+            if n >= op10_pst.CONTEXT_LEAST and gain >= op10_pst.EVIDENCE * len(own):
+                kept |= {s[k:] for k in range(len(s))}
+
+    def probability(s, x):
+        if not s:
+            n = sum(follow[0].get(b"", {}).values())
+            return (follow[0].get(b"", {}).get(x, 0) + op10_pst.STRENGTH / 256) / (n + op10_pst.STRENGTH)
+        if s not in kept:
+            return probability(s[1:], x)
+        own = follow[len(s)][s]
+        return (own[x] + op10_pst.STRENGTH * probability(s[1:], x)) / (sum(own.values()) + op10_pst.STRENGTH)
+
+    return [sum(math.log10(probability(t[i - depth : i], t[i])) for i in range(depth, len(t))) for t in map(symbols, texts)]
+
+
+def test_lm_scores_match_brute_force(spark):
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(40)]
+    texts = [" ".join(rng.choices(stems, k=rng.randint(0, 90))) for _ in range(120)] + [None, "", "nul\0byte x", "nul byte x", "Ünï\u0085cödé"]
+    df = spark.createDataFrame([(i, t, -1.0, "w", 7) for i, t in enumerate(texts)], "doc_id long, text string, score double, word string, block int").repartition(3)
+    got = {r["doc_id"]: r for r in rows(op10_pst.lm_scores(df, Scratch(spark, "t")))}
+    want = brute_lm([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10], texts)
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+    assert got[122]["score"] != got[123]["score"]
+
+
+def test_tree_is_a_distribution():
+    block = op10_pst.Block([b"abab abba " * 30 + b"x", b"baba cab " * 20], np.array([True, True]))
+    keys, n = block.messages(op10_pst.GRAMS)
+    pairs = op10_pst.Pairs(op10_pst.pair_counts(block))
+    tree = op10_pst.Subtree.build(keys, n, pairs)
+    assert any(len(c) for c, _, _, _ in tree.levels)
+    again = op10_pst.Subtree.unpack(tree.pack())
+    for d, (contexts, _, _, _) in enumerate(tree.levels, 2):
+        suffixes = set((contexts & np.uint64((1 << 8 * (d - 1)) - 1)).tolist())
+        assert d == 2 or suffixes <= set(tree.levels[d - 3][0].tolist())
+        for context in contexts[:20]:
+            p = 10 ** again.log_probabilities((context << np.uint64(8)) + np.arange(256, dtype=np.uint64), pairs)
+            assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_grams():
     data = np.frombuffer(b"\0\0\0\0\0abcdefgh", np.uint8)
-    assert op10_pst.grams(data).tolist() == [int.from_bytes(data[i : i + 6].tobytes(), "big") for i in range(len(data) - 5)]
+    size = op10_pst.DEPTH + 1
+    assert op10_pst.grams(data).tolist() == [int.from_bytes(data[i : i + size].tobytes(), "big") for i in range(len(data) - size + 1)]
     assert len(op10_pst.grams(data[:3])) == 0
 
 
@@ -582,8 +627,9 @@ def test_lm_without_training_texts(spark):
 def test_lm_blocks_give_the_same(spark, monkeypatch):
     df = documents(spark)
     whole = sorted((str(r["doc_id"]), round(r["base_score"], 9), round(r["score"], 9)) for r in rows(op10_pst.lm_scores(df, Scratch(spark, "t"))))
-    monkeypatch.setattr(op10_pst, "BLOCKS", 3)
-    monkeypatch.setattr(op10_pst, "HELD", 5)
-    monkeypatch.setattr(op10_pst, "MEMO_BITS", 3)
+    for name, value in (("BLOCK_BYTES", 100), ("WINDOW", 1000), ("SHARD_SYMBOLS", 5000), ("CHUNK", 1)):
+        monkeypatch.setattr(op10_pst, name, value)
+    blocks, pairs = op10_pst.pack(df.selectExpr("doc_id id", "coalesce(text, '') text", "false held_out"), Scratch(spark, "t")), np.zeros(65_536, np.int64)
+    assert blocks.count() > 3 and op10_pst.sum_pairs(blocks).sum() > pairs.sum()
     cut = sorted((str(r["doc_id"]), round(r["base_score"], 9), round(r["score"], 9)) for r in rows(op10_pst.lm_scores(df, Scratch(spark, "t"))))
     assert whole == cut
