@@ -15,12 +15,16 @@ BLOCK = frozenset(
     "blockquote pre figure figcaption form fieldset address details summary dialog hr title script style noscript template textarea select option button iframe".split()
 )
 #: Elements whose text is never main text.
-APART = frozenset("head title script style noscript template nav header footer aside form fieldset button select option textarea iframe dialog menu svg canvas object audio video map xmp noembed noframes".split())
-#: Words of a class or id that mark what is around an article.
+NO_TEXT = frozenset("head title script style noscript template nav header footer aside form fieldset button select option textarea iframe dialog menu svg canvas object audio video map xmp noembed noframes".split())
+#: Words of a class or id that name what is around an article, and words that may stand beside them in one name.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets "
-    "footer header masthead comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social related recommended recommendations pagination pager toolbar skip login copyright disclaimer".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
+    "footer header masthead comment comments commentlist disqus respond replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "share sharing social related recommended recommendations pagination pager toolbar login copyright disclaimer".split()
+)
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons column container content first footer group header holder inner item items last left link links list main module outer page panel pane post posts article articles "
+    "right row section site slot small story stories thread top unit user reader widget widgets wrap wrapper".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that a start tag closes if they are open and innermost.
@@ -36,34 +40,41 @@ _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def marked(attributes: str) -> bool:
-    """Whether attributes say that an element is around the article, or hidden."""
-    if not attributes:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
-            for part in value.split():
-                words = _WORD.findall(_CAMEL.sub("-", part).lower())
-                if AROUND.intersection(words) and words[0] not in ("has", "no", "with", "without"):
-                    return True
-        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+#: Marks of a role: none; no main text by HTML's rules; named as around an article; an article or main element; a heading; the page as a whole.
+PLAIN, APART, NAMED, ARTICLE, HEADING, ROOT = range(6)
+_MARKS = dict.fromkeys(("article", "main"), ARTICLE) | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), HEADING) | dict.fromkeys(("html", "body"), ROOT)
+
 
+def mark_of(name: str, attributes: str) -> int:
+    """What an element's name and attributes say of its text."""
+    if name in NO_TEXT:
+        return APART
+    mark = _MARKS.get(name, PLAIN)
+    if not attributes or mark == ROOT:
+        return mark
+    named = False
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), a or b or c
+        if key in ("class", "id"):
+            named = named or mark != ARTICLE and any(_named(part) for part in value.split())
+        elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return APART
+        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return APART
+    return NAMED if named else mark
 
-class Block(NamedTuple):
-    path: str  # names and classes of the open block elements
-    text: str  # decoded, white space as one space, trimmed
-    kind: int  # 2: in the article, 1: elsewhere, 0: around it
-    linked: float  # share of its characters that stand in links
+
+def _named(part: str) -> bool:
+    """Whether a class or id consists of words for what is around an article."""
+    words = _WORD.findall(_CAMEL.sub("-", part).lower())
+    return any(w in AROUND for w in words) and all(w in AROUND or w in BESIDE or w.isdigit() for w in words)
 
 
 class Page(NamedTuple):
-    roles: list[str]  # one for every start and end of a block element, and every block of text, in order
-    blocks: list[tuple[int, Block]]  # with the place of the block's role
+    roles: list[str]  # one for every start and end of an element that is a block or marked, and every block of text, in order
+    up: list[int]  # for each role the place of the start that it stands in, or -1
+    marks: list[int]
+    blocks: list[tuple[int, str, float]]  # place of the role, text (decoded, white space as one space, trimmed), share of it that stands in links
 
 
 def _key(attributes: str) -> str:
@@ -98,20 +109,32 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
 
 def read(source: str) -> Page:
     """Roles and blocks of a page. Unclosed and wrongly nested tags are read as browsers roughly do."""
-    stack: list[tuple[str, str, int]] = []  # name, path, kind within
-    roles: list[str] = []
-    blocks: list[tuple[int, Block]] = []
+    stack: list[tuple[str, str, int]] = []  # name, path, place of the start
+    page = Page([], [], [], [])
     parts: list[str] = []
     links = in_link = 0
 
+    def add(role: str, up: int, mark: int) -> int:
+        page.roles.append(role)
+        page.up.append(up)
+        page.marks.append(mark)
+        return len(page.roles) - 1
+
+    def top() -> tuple[str, str, int]:
+        return stack[-1] if stack else ("", "", -1)
+
+    def start(name: str, attributes: str, mark: int) -> None:
+        _, path, place = top()
+        path = f"{path}/{name}{_key(attributes)}"
+        stack.append((name, path, add(path, place, mark)))
+
     def close() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, path, kind = stack[-1] if stack else ("", "", 1)
-                blocks.append((len(roles), Block(path, text, kind, min(1.0, links / len(text)))))
-                roles.append(f"{path}|{text}")
+                _, path, place = top()
+                page.blocks.append((add(f"{path}|{text}", place, PLAIN), text, min(1.0, links / len(text))))
             parts.clear()
         links = 0
 
@@ -124,10 +147,10 @@ def read(source: str) -> Page:
             in_link = 1 if what == "start" else 0
         elif name == "br":
             parts.append("\n")
-        elif name not in BLOCK and name not in APART:
-            if what == "start" and name not in VOID and marked(more):
+        elif name not in BLOCK and name not in NO_TEXT:
+            if what == "start" and name not in VOID and (mark := mark_of(name, more)) in (APART, NAMED):
                 close()  # an inline element that is marked is a block of its own
-                stack.append((name, f"{stack[-1][1] if stack else ''}/{name}{_key(more)}", 0))
+                start(name, more, mark)
             elif what == "end" and stack and stack[-1][0] == name:
                 close()
                 stack.pop()
@@ -142,22 +165,14 @@ def read(source: str) -> Page:
             if name == "body":
                 while stack and stack[-1][0] == "head":
                     stack.pop()
-            if name in VOID:
-                continue
-            _, path, kind = stack[-1] if stack else ("", "", 1)
-            path = f"{path}/{name}{_key(more)}"
-            if name in APART or name not in ("html", "body", "main") and not (name == "article" and kind < 2) and marked(more):
-                kind = 0
-            elif kind and name in ("article", "main"):
-                kind = 2
-            stack.append((name, path, kind))
-            roles.append(path)
+            if name not in VOID:
+                start(name, more, mark_of(name, more))
         else:
             close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    roles.append(f"{stack[i][1]}/")
+                    add(f"{stack[i][1]}/", stack[i][2], PLAIN)
                     del stack[i:]
                     break
     close()
-    return Page(roles, blocks)
+    return page

@@ -73,7 +73,7 @@ def encode(text):
 @given(st.text(alphabet="<>/!-ap \"'=&;#x1divscript\n", max_size=120))
 def test_html(source):
     page = html.read(source)
-    assert all(b.text == " ".join(b.text.split()) and b.text for _, b in page.blocks)
+    assert all(t == " ".join(t.split()) and t for _, t, _ in page.blocks) and all(-1 <= u < k for k, u in enumerate(page.up))
 
 
 @few

@@ -52,8 +52,19 @@ PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body class="ha
  line<p>Second &lt;{i}&gt;<script>var a="</p>";</script><div class="comments"><p>nice</p></div></article><footer>f</footer></body></html>"""
 
 
+def alone(source):
+    """A page's text without a template."""
+    return op01_template.main_text(html.read(source), op01_template.Template(None), op01_template.choose(None))
+
+
 def test_html_article():
-    assert op01_template.main_text(html.read(PAGE.format(i=3, ad="")), set()) == "T3 & co\nFirst bold3, line\nSecond <3>"
+    assert alone(PAGE.format(i=3, ad="")) == "T3 & co\nFirst bold3, line\nSecond <3>"
+
+
+@pytest.mark.parametrize("name", ["share-price", "related-work", "comment-analysis", "ad-hoc"])
+def test_html_names_that_only_hold_a_word(name):
+    assert alone(f"<body><article><p>One.<p class='{name}'>Two.<div id='{name}'>Three.</div></article></body>") == "One.\nTwo.\nThree."
+    assert alone("<body><article><p>One.<div class='ad-banner'>Buy.</div><section id=relatedPosts>More.</section></article></body>") == "One."
 
 
 @pytest.mark.parametrize("source", ["", "<", "<<p", "a<b", "<p", "</p></p>", "<!--", "<script>", "<p class='x>y", "&#xZZ;&", "<a" * 50, "x" * 100_000])
@@ -61,10 +72,12 @@ def test_html_never_fails(source):
     html.read(source)
 
 
+BODY = "<html><body><div class=top>Shared head</div><div><p>Own text number {i} of the page</p></div><div><p>All rights here</p></div></body></html>"
+
+
 def test_template_takes_what_pages_share(spark):
-    body = "<html><body><div class=top>Shared head</div><div><p>Own text number {i} of the page</p></div><div><p>All rights here</p></div></body></html>"
-    data = [(i, f"http://h.example/{i}", body.format(i=i)) for i in range(8)] + [(100, "http://one.example/", body.format(i=100)), (101, None, None), (102, "x", ""), (100, "http://one.example/", body.format(i=100))]
-    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({})
+    data = [(i, f"http://h.example/{i}", BODY.format(i=i)) for i in range(8)] + [(100, "http://one.example/", BODY.format(i=100)), (101, None, None), (102, "x", ""), (100, "http://one.example/", BODY.format(i=100))]
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in data], "page_id long, url string, html string, host string, classes int, _h int")
     got = rows(op01_template.extract(df, Scratch(spark, "t")))
     assert len(got) == len(data)
     by = {r["page_id"]: r for r in got}
@@ -74,18 +87,72 @@ def test_template_takes_what_pages_share(spark):
     assert op01_template.extract(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_repeated_rows_change_no_template(spark):
+    data = [(i, f"http://h.example/{i}", BODY.format(i=i)) for i in range(8)]
+    want = {r["page_id"]: (r["text"], r["n_classes"]) for r in rows(op01_template.extract(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")))}
+    for more in (data[:1], data[:1] * 2, [(50, "http://h.example/else", data[0][2])], data):
+        got = rows(op01_template.extract(spark.createDataFrame([*data, *more], "page_id long, url string, html string"), Scratch(spark, "t")))
+        assert len(got) == len(data) + len(more) and all((r["text"], r["n_classes"]) == want.get(r["page_id"], want[0]) for r in got)
+
+
+def site(i, rng):
+    """A page whose article is no article element: only the host's pages together tell it from what stands around it."""
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    own = [words(6), *[words(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]]
+    links = "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(4))
+    page = f"""<html><head><title>{own[0]}</title></head><body><div id=bar><ul>{links}</ul></div><div class=c7><h2>{own[0]}</h2><div class=x1>{"".join(f"<p>{t}</p>" for t in own[1:])}
+    <div class=q2><p>{words(5)}</p></div><div class=share-box>{words(4)}</div><p>Subscribe to our letter</p></div></div><div class=z9><p>{words(8)}</p></div><div>{"<p>Sometimes</p>" * (i % 2)}&copy; us</div></body></html>"""
+    return page, own
+
+
+def brute_template(pages):
+    """Templates, article and texts from explicit occurrence vectors over all pages of one host."""
+    read = [html.read(p) for p in pages]
+    count = [Counter(p.roles) for p in read]
+    texts = {p.roles[k] for p in read for k, _, _ in p.blocks}
+    vectors = {}
+    for role in set().union(*count):
+        v = tuple(c[role] for c in count)
+        on = sum(x > 0 for x in v)
+        if on >= max(op01_template.PAGES, len(pages) * (op01_template.CONSTANT if role in texts else op01_template.SUPPORT)):
+            vectors.setdefault(v, set()).add(role)
+    valid = {}
+    for v, members in vectors.items():
+        orders = {tuple(r for r in dict.fromkeys(p.roles) if r in members) for p, n in zip(read, v, strict=True) if n}
+        if len(orders) == 1:
+            valid[v] = members
+    nodes = {r for v, m in valid.items() if max(v) == 1 for r in m if r not in texts}
+    constant = {r for m in valid.values() for r in m if r in texts}
+    return read, nodes, constant
+
+
+def test_slots_decide_the_text(spark):
+    rng = random.Random(9)
+    made = [site(i, rng) for i in range(30)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in rows(op01_template.extract(df, Scratch(spark, "t")))}
+    read, nodes, constant = brute_template([p for p, _ in made])
+    whole = "/html/body/div.c7"
+    left_out = "div.share-box"
+    for i, page in enumerate(read):
+        inside = [t for k, t, _ in page.blocks if page.roles[k].startswith(whole) and left_out not in page.roles[k] and page.roles[k] not in constant]
+        assert got[i] == inside
+        assert got[i][: len(made[i][1])] == made[i][1]
+    assert {whole, f"{whole}/h2", f"{whole}/div.x1"} <= nodes and any("Subscribe" in r for r in constant)
+
+
 def test_equivalence_classes_against_vectors(spark):
     pages = [f"<html><body><div class=a>x{i}</div>" + "<p>r</p>" * (i % 3) + ("<div class=b>y</div>" if i % 2 else "") + "</body></html>" for i in range(12)]
     df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    found = op01_template.roles(df, "page_id", "url", "html")
+    found = op01_template.roles(df, "url", "html")
     got = {frozenset(c["members"]) for r in op01_template.templates(found).collect() for c in r["classes"]}
     vectors = {}
     for i, p in enumerate(pages):
-        for role, n in Counter(html.read(p).roles).items():
-            vectors.setdefault(op01_template._hash(role), {})[i] = n
+        for token, n in Counter(op01_template.tokens_of(html.read(p))).items():
+            vectors.setdefault(token, {})[i] = n
     classes = {}
     for token, v in vectors.items():
-        if len(v) >= 6:
+        if len(v) >= (10 if token & 1 else 6):  # blocks of text need more
             classes.setdefault(tuple(sorted(v.items())), set()).add(token)
     assert got == {frozenset(c) for c in classes.values()}
 
