@@ -187,17 +187,17 @@ def choose(nodes: list[dict] | None) -> Article:
     below: dict[int, list[dict]] = {}
     for n in nodes or []:
         below.setdefault(n["parent"], []).append(n)
+    order, todo = [], [0]
+    while todo:  # parents before what is below them
+        at = todo.pop()
+        order.append(at)
+        todo += [n["node"] for n in below.get(at, [])]
+    own = {0: (0, 0)} | {n["node"]: (n["chars"], n["links"]) for n in nodes or []}
     total: dict[int, tuple[int, int]] = {}
-
-    def add(node: int) -> tuple[int, int]:
-        chars = links = 0
-        for n in below.get(node, []):
-            more = add(n["node"])
-            total[n["node"]] = n["chars"] + more[0], n["links"] + more[1]
-            chars, links = chars + total[n["node"]][0], links + total[n["node"]][1]
-        return chars, links
-
-    whole = add(0)[0]
+    for at in reversed(order):
+        more = [total[n["node"]] for n in below.get(at, [])]
+        total[at] = own[at][0] + sum(m[0] for m in more), own[at][1] + sum(m[1] for m in more)
+    whole = total[0][0]
     if not whole:
         return Article(None, False, set())
     path: list[dict] = []
