@@ -113,33 +113,34 @@ class Block:
             found = [token_hashes(t.split()) for t in self.joined[i : i + 500]]
             yield np.concatenate(found), np.repeat(np.arange(i, i + len(found)), [len(h) for h in found])
 
+    def keys(self, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return self.tokens() if kind == WORDS else self.windows()
+
+    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of the block, sorted, and how often it holds each."""
+        return _gathered([_counted(key) for key, _ in self.keys(kind)])
+
     def messages(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys of the block, sorted, and how often its training texts hold each."""
-        found, keys, counts = [], [], []
-        for key, text in self.tokens() if kind == WORDS else self.windows():
-            found.append(np.unique(key))
-            k, n = np.unique(key[self.trains[text]], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        n = np.zeros(len(every), np.int64)
-        for k, m in zip(keys, counts, strict=True):
-            n[np.searchsorted(every, k)] += m
-        return every, n
+        found = [(_counted(key), _counted(key[~self.trains[text]])) for key, text in self.keys(kind)]
+        (keys, n), (apart, m) = _gathered([x for x, _ in found]), _gathered([x for _, x in found])
+        n[np.searchsorted(keys, apart)] -= m
+        return keys, n
 
 
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
     """By the hash of a word, or of the last two bytes of a gram's context."""
     at = keys if kind == WORDS else (keys >> np.uint64(8) & np.uint64(0xFFFF)) + np.uint64(1)
-    return ((at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+    return ((at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)).astype(np.uint16)
 
 
 def pair_counts(block: Block) -> np.ndarray:
     """How often each symbol comes after each, in the training texts: 65,536 counts."""
-    out = np.zeros(65_536, np.int64)
-    for g, text in block.windows():
-        out += np.bincount((g[block.trains[text]] & np.uint64(0xFFFF)).astype(np.int64), minlength=65_536)
-    return out
+    data = Block([t for t, y in zip(block.joined, block.trains, strict=True) if y], np.zeros(0, bool)).data
+    if not len(data):
+        return np.zeros(65_536, np.int64)
+    both = (data[:-1].astype(np.uint16) << np.uint16(8) | data[1:])[data[1:] != START]
+    return np.bincount(both, minlength=65_536)
 
 
 class Pairs:
@@ -213,14 +214,25 @@ class Subtree:
         return np.log10(p)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each comes."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and the sum of ``n`` over each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _gathered(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _sums(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``what`` in the sorted ``among``, and which are there."""
     at = np.searchsorted(among, what)
@@ -236,7 +248,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray, n: np.ndarray):
         self.keys, self.values, self.shift = keys, values, np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
         self.table = np.zeros(1 << int(np.uint64(64) - self.shift), np.int32)
-        order = np.argsort(n, kind="stable")
+        order = np.argsort(n)
         self.table[self._slot(keys[order])] = order
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -405,7 +417,7 @@ def lm_scores(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
         kinds, places = told.column("kind").to_numpy(), told.column("shard").to_numpy()
         looked = {}
         for kind, form in ((WORDS, np.int64), (GRAMS, np.float32)):
-            keys, count = own.messages(kind)
+            keys, count = own.distinct(kind)
             order = np.argsort(shard_of(kind, keys, shards), kind="stable")
             mine = np.flatnonzero(kinds == kind)
             mine = mine[np.argsort(places[mine])]
