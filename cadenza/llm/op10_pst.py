@@ -40,10 +40,12 @@ EVIDENCE = 2.0
 STRENGTH = 4.0
 START, END = 0xFF, 10
 #: Bytes of text of a block, positions that are looked at together, symbols for each shard, and blocks whose messages a task merges.
-BLOCK_BYTES, WINDOW, SHARD_SYMBOLS, CHUNK = 12_000_000, 2_000_000, 8_000_000, 256
+BLOCK_BYTES, WINDOW, SHARD_SYMBOLS, CHUNK = 8_000_000, 1_000_000, 8_000_000, 256
 #: Base model: added to every count.
 ADDED = 0.1
 WORDS, GRAMS = 0, 1
+#: Counts of one block's messages, and of several merged.
+COUNT = (np.int32, np.int64)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -122,10 +124,14 @@ class Block:
 
     def messages(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys of the block, sorted, and how often its training texts hold each."""
-        found = [(_counted(key), _counted(key[~self.trains[text]])) for key, text in self.keys(kind)]
-        (keys, n), (apart, m) = _gathered([x for x, _ in found]), _gathered([x for _, x in found])
+        whole, held_out = [], []
+        for key, text in self.keys(kind):
+            whole.append(_counted(key))
+            held_out.append(_counted(key[~self.trains[text]]))
+        apart, m = _gathered(held_out)
+        keys, n = _gathered(whole)
         n[np.searchsorted(keys, apart)] -= m
-        return keys, n
+        return keys, n.astype(COUNT[False])
 
 
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
@@ -218,7 +224,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and how often each comes."""
     keys = np.sort(keys)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32)
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +236,12 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gathered(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return _sums(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """The distinct keys of some passes, sorted, and the sums of their counts. Empties the list."""
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+    found.clear()
+    return _sums(keys, n)
 
 
 def _find(among: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,10 +348,10 @@ def ask(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.select("block", "texts").mapInArrow(run, "block long, kind int, shard int, keys binary, n binary")
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of messages with their counts added up; keys that no training text holds are left out."""
+def _merged(table: pa.Table, merged: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of messages with their counts (of a block each, or of several) added up; keys that no training text holds are left out."""
     keys = np.concatenate([expand_sorted(x.as_py()) for x in table.column("keys")])
-    n = np.concatenate([expand(x.as_py(), np.int64) for x in table.column("n")])
+    n = np.concatenate([expand(x.as_py(), COUNT[merged]) for x in table.column("n")]).astype(np.int64)
     return _sums(keys[n > 0], n[n > 0])
 
 
@@ -348,12 +359,12 @@ def learn(asked: DataFrame, pairs: np.ndarray, tasks: int) -> DataFrame:
     """kind, shard, model (a subtree, or words and their counts), distinct (words), from all messages."""
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, n = _merged(table)
+        keys, n = _merged(table, False)
         return pa.table({"kind": table.column("kind")[:1].cast(pa.int32()), "shard": table.column("shard")[:1].cast(pa.int32()), "keys": pa.array([squeeze_sorted(keys)], pa.binary()), "n": pa.array([squeeze(n)], pa.binary())})
 
     def build(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        keys, n = _merged(table)
+        keys, n = _merged(table, True)
         model = [squeeze_sorted(keys), squeeze(n)] if kind == WORDS else Subtree.build(keys, n, Pairs(pairs)).pack()
         return pa.table({"kind": pa.array([kind], pa.int32()), "shard": table.column("shard")[:1].cast(pa.int32()), "model": pa.array([model], pa.list_(pa.binary())), "words": pa.array([len(keys) if kind == WORDS else 0], pa.int64())})
 
