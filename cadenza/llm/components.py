@@ -15,8 +15,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     own component and is left to the caller. Each round links every node to the smallest node of its
     neighbourhood; the number of rounds grows with the logarithm of the longest path. Every round is
     written to the shared folder. Null ends and self loops are ignored; an empty table gives an empty
-    one. A node with very many edges is pre-aggregated by the minimum before the shuffle, and the join
-    that hands the minimum back can be split by adaptive execution.
+    one. A node with very many edges is pre-aggregated by the minimum before the shuffle; minima are written before they
+    are joined, as adaptive execution splits a very common node only in a join of two tables.
     """
     pairs = edges.where("src is not null and dst is not null and src <> dst").select(
         F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")
@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     last = None
     for step in range(1, max_rounds + 1):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_least", narrow=True)
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        floor = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        large = scratch.keep(large, f"{name}_large", narrow=True)
+        floor = scratch.keep(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), f"{name}_floor", narrow=True)
         small = large.withColumnRenamed("hi", "u").join(floor, "u").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = scratch.keep(small.union(floor.select("u", "m")).distinct(), f"{name}_{step}", narrow=True)
         mark = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -34,9 +34,11 @@ GROUP_KEYS = ["kind", "cut", "value"]
 BROADCAST_ROWS = 100_000
 #: Codes that one search compares at most at a time.
 FRONTIER = 1_000_000
-#: Share of all shingles (by hash) that the first pass over the texts counts, and texts of a part that one task compares.
+#: Share of all shingles (by hash) that the first pass over the texts counts.
 FIRST = 1 / 3
-MEMBERS = 256
+#: Shingles of a part's texts that one task holds at most, and texts of a larger part that every task of it has.
+CELL = 1_000_000
+PIVOTS = 16
 
 
 def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -280,20 +282,9 @@ def _alone(df: DataFrame, text: str, similarity: float, words: int) -> DataFrame
                 at = np.concatenate([at[0], at[1][~one]])
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0][at].view(np.int64)), pa.array(columns[1][at]), pa.array(columns[2][at])], names=["shingle", "node", "room"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        if not held:
-            return
-        at, columns, one = _ends(*map(np.concatenate, zip(*held, strict=True)))
-        at = at[0][one]
-        nodes, first, n = np.unique(columns[1][at], return_index=True, return_counts=True)
-        for i in range(0, len(nodes), 100_000):
-            own = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(columns[2][at][first[own]]), pa.array(n[own])], names=["node", "room", "n"])
-
-    each = df.select(text).mapInArrow(run, "shingle long, node long, room int").repartition("shingle")
-    own = each.mapInArrow(count, "node long, room int, n long")
-    return own.groupBy("node").agg(F.sum("n").alias("n"), F.min("room").alias("room")).where("n > room").select("node")
+    each = df.select(text).mapInArrow(run, "shingle long, node long, room int")
+    own = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("room").alias("room")).where("node = other")
+    return own.groupBy("node").agg(F.count("*").alias("n"), F.min("room").alias("room")).where("n > room").select("node")
 
 
 def _candidates(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -304,59 +295,127 @@ def _candidates(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFra
     """
     each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     counts = scratch.keep(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    shared = each.join(counts, "shingle")
+    own = Window.partitionBy("node")
+    ranked = shared.withColumns({"place": F.row_number().over(own.orderBy("n", "shingle")), "met": F.count("*").over(own)})
+    rest = F.floor((1 - similarity) * F.col("size") + 1e-9) + 1 - (F.col("size") - F.col("met"))
+    return ranked.where(F.col("place") <= rest).select(F.col("node").alias("src"), F.xxhash64("shingle").alias("dst"))
+
+
+def link_sets(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> np.ndarray:
+    """Components of the links between similar sets: ``label`` (each set's component so far, by its first member) with them joined.
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
-        if not held:
-            return
-        node, size, n, shingle = map(np.concatenate, zip(*held, strict=True))
-        order = np.lexsort((shingle, n, node))
-        node, size, shingle = node[order], size[order], shingle[order]
-        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        met = np.diff(np.append(begins, len(node)))
-        rest = _room(size[begins], similarity) + 1 - (size[begins] - met)
-        keep = np.flatnonzero(np.arange(len(node)) - np.repeat(begins, met) < np.repeat(rest, met))
-        for i in range(0, len(keep), 100_000):
-            own = keep[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(shingle[own])], names=["node", "shingle"])
-
-    shared = each.join(counts, "shingle").select("node", "size", "n", "shingle").repartition("node")
-    return shared.mapInArrow(prefix, "node long, shingle long").select(F.col("node").alias("src"), F.xxhash64("shingle").alias("dst"))
+    Sets meet by the prefixes of their shingles, rarest first, as in ``_candidates``. Two sets of one component are not compared again, so that a large
+    group of near copies costs a few comparisons for each.
+    """
+    label, n, size = label.copy(), len(sets), np.array([len(x) for x in sets], np.int64)
+    if not size.sum():
+        return label
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    alone = int((count == 1).sum())  # their ranks come first
+    column = rank[column]
+    doc = np.repeat(np.arange(n), size)
+    column = column[np.lexsort((column, doc))]
+    begin = np.cumsum(size) - size
+    first = (np.arange(len(column)) - begin[doc] <= _room(size, similarity)[doc]) & (column >= alone)
+    prefix, owner = column[first] - alone, doc[first]
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    room = np.bincount(prefix, minlength=len(count) - alone)
+    start, fill = np.cumsum(room) - room, np.zeros(len(room), np.int64)
+    posting, mixed, mark = np.zeros(len(prefix), np.int64), np.zeros(len(room), bool), np.zeros(len(count), bool)
+
+    def try_all(i: int, others: np.ndarray) -> None:
+        for k in range(0, len(others), 256):
+            js = others[k : k + 256]
+            js = js[(label[js] != label[i]) & (np.minimum(size[js], size[i]) >= similarity * np.maximum(size[js], size[i]) - 1e-9)]
+            if not len(js):
+                continue
+            ends = np.cumsum(size[js])
+            places = np.repeat(begin[js] - ends + size[js], size[js]) + np.arange(ends[-1])
+            mark[column[begin[i] : begin[i] + size[i]]] = True
+            both = np.add.reduceat(mark[column[places]].astype(np.int64), ends - size[js])
+            mark[column[begin[i] : begin[i] + size[i]]] = False
+            for j in js[both >= similarity * (size[i] + size[js] - both) - 1e-9]:
+                a, b = sorted((label[i], label[j]))
+                if a != b:
+                    label[label == b] = a
+
+    for i in range(n):
+        own = prefix[cuts[i] : cuts[i + 1]]
+        for every in (False, True):  # the last member of each posting first; all members of those that still hold others
+            open_ = own[fill[own] > 0]
+            open_ = open_[mixed[open_] | (label[posting[start[open_]]] != label[i])]
+            if not len(open_):
+                break
+            met = np.concatenate([posting[start[r] : start[r] + fill[r]] for r in open_]) if every else posting[start[open_] + fill[open_] - 1]
+            try_all(i, np.unique(met))
+        mixed[own] |= (fill[own] > 0) & (label[posting[start[own]]] != label[i])
+        posting[start[own] + fill[own]] = i
+        fill[own] += 1
+    return label
 
 
 def _exact(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows: part, low, high, block, node, shingles. Edges between the nodes of a part that are similar."""
+    """rows: part, cell, pivot, node, known, shingles. Edges (part, src, dst) between similar nodes of a cell; ``known``: nodes with one value are linked.
+
+    A component's edges go to its first pivot, or its smallest node if it has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["part", "low", "high"]):
-            node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-            low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-            raw, label = table.column("shingles").combine_chunks(), np.arange(len(node))
+        for table, begins in whole_groups(batches, ["part", "cell"]):
+            part, node, known, other = table.column("part").to_numpy(), table.column("node").to_numpy(), table.column("known").to_numpy(), ~table.column("pivot").to_numpy(zero_copy_only=False)
+            raw = table.column("shingles").combine_chunks()
             raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
             held, at = raw.values.to_numpy().view(np.uint64), raw.offsets.to_numpy()
             for a, z in zip(begins.tolist(), np.append(begins[1:], len(node)).tolist(), strict=True):
-                sets = [held[at[i] : at[i + 1]] for i in range(a, z)]
-                size = np.array([len(x) for x in sets])
-                _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-                column = np.where(n[column] > 1, (np.cumsum(n > 1) - 1)[column], -1)  # the shingles that several share
-                doc = np.repeat(np.arange(z - a), size)
-                both = np.zeros((z - a, z - a))
-                for first in range(0, int((n > 1).sum()), 8192):
-                    own = (column >= first) & (column < first + 8192)
-                    has = np.zeros((z - a, 8192), np.float32)
-                    has[doc[own], column[own] - first] = 1
-                    both += has @ has.T
-                near = both >= similarity * (size[:, None] + size[None] - both) - 1e-9
-                i, j = np.nonzero(np.triu(near, 1))
-                if low[a] != high[a]:
-                    across = block[a + i] != block[a + j]
-                    i, j = i[across], j[across]
-                label = merge(label, a + i, a + j)
-            linked = np.flatnonzero(label != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["src", "dst"])
-
-    keys = ["part", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+                order = a + np.lexsort((node[a:z], other[a:z]))
+                _, first, of = np.unique(known[order], return_index=True, return_inverse=True)
+                label = link_sets([held[at[i] : at[i + 1]] for i in order], first[of], similarity)
+                src, dst = node[order], node[order][label]
+                linked = np.flatnonzero(src != dst)
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][linked]), pa.array(src[linked]), pa.array(dst[linked])], names=["part", "src", "dst"])
+
+    keys = ["part", "cell"]
+    return rows.select("part", "cell", "pivot", "node", "known", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "part long, src long, dst long")
+
+
+def _within_parts(sets: DataFrame, of: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """sets: node, shingles; of: node, part. Edges (src, dst) whose components are those of the links within parts.
+
+    A part of over ``CELL`` shingles is cut into cells. Each cell has the part's ``PIVOTS`` besides, so that most of a large group of near copies is
+    found to be one component at once; only what isn't in it is then compared with all of the part, each cell with each cell of such texts.
+    """
+    sizes = of.groupBy("part").agg(F.sum("size").alias("all"), F.count("*").alias("n")).where("n > 1").select("part", F.ceil(F.col("all") / CELL).cast("int").alias("cells"))
+    cut = scratch.keep(of.join(sizes, "part").select("node", "part", "cells", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("own")), "cut", narrow=True)
+    kept = scratch.keep(sets.join(small_or_hashed(cut), "node"), "cut_sets")
+    plain = kept.select("part", F.col("own").cast("long").alias("cell"), F.lit(False).alias("pivot"), "node", F.col("node").alias("known"), "shingles")
+    large = cut.where("cells > 1")
+    if not large.limit(1).count():
+        return _exact(plain, similarity).select("src", "dst")
+    few = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(3), "node").alias("h"), "node"))), 1, PIVOTS)
+    # Of each cell the first ones by hash: a list is bounded by its cell.
+    first = large.groupBy("part", "cells", "own").agg(few.alias("p")).groupBy("part", "cells").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, PIVOTS).alias("p"))
+    first = scratch.keep(first.select("part", "cells", F.explode("p.node").alias("node")), "pivots", narrow=True)
+    copies = kept.select("node", "shingles").join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "node")
+    copies = copies.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)).alias("cell"), F.lit(True).alias("pivot"), "node", F.col("node").alias("known"), "shingles")
+    found = scratch.keep(_exact(plain.unionByName(copies), similarity), "edges_1")
+    main = found.join(first.select("part", F.col("node").alias("dst")), ["part", "dst"], "left_semi").select("part", "src", "dst").distinct()
+    main = main.groupBy("part", "dst").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("dst", F.struct("n", "dst")).alias("main"))
+    inside = found.join(main, "part").where("dst = main").select("part", F.col("src").alias("node")).union(main.select("part", F.col("main").alias("node"))).distinct()
+    state = large.join(inside.withColumn("_in", F.lit(True)), ["part", "node"], "left").join(main, "part", "left")
+    state = scratch.keep(state.select("part", "node", "cells", "own", F.col("_in").isNull().alias("outside"), F.when(F.col("_in"), F.col("main")).otherwise(F.col("node")).alias("known")), "state", narrow=True)
+    outside = state.where("outside")
+    rounds = outside.join(kept.select("node", F.size("shingles").alias("size")), "node").groupBy("part").agg(F.ceil(F.sum("size") / CELL).cast("int").alias("rounds"))
+    rounds = scratch.keep(rounds, "rounds", narrow=True)
+    again = kept.select("node", "shingles").join(state, "node").join(rounds, "part")
+    held = again.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("cell", F.col("own").cast("long") * F.col("rounds") + F.col("k"))
+    asks = again.where("outside").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    asks = asks.withColumn("cell", F.col("c").cast("long") * F.col("rounds") + F.pmod(F.xxhash64(F.lit(5), "node"), F.col("rounds")))
+    columns = ["part", "cell", F.lit(False).alias("pivot"), "node", "known", "shingles"]
+    more = _exact(held.select(*columns).union(asks.select(*columns)), similarity)
+    return found.select("src", "dst").union(more.select("src", "dst"))
 
 
 def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,9 +424,8 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     Similar: the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more (the whole sequence is the
     shingle of a shorter text). Every such pair is found: texts with more shingles to themselves than a similar text may lack have none
     and are left out, first by a share of the shingles of all texts, then by all shingles of those that remain; the remaining
-    ones meet by the rarest shingles of each. What these join is one part, and in a part every two texts are compared
-    exactly. A part of over ``MEMBERS`` texts is cut into blocks, and each two blocks are one task's work; a task returns an edge
-    for each linked text, never pairs. Fingerprints link at ``LIMIT`` bits as in ``near_duplicates``, and nulls, empty
+    ones meet by the rarest shingles of each. What these join is one part, whose texts lie together; within it again only texts that share one of
+    their rarest shingles are compared, exactly (``link_sets``). A task returns an edge for each linked text, never pairs. Fingerprints link at ``LIMIT`` bits as in ``near_duplicates``, and nulls, empty
     texts, repeats and empty tables give the same.
     """
     rows = scratch.keep(profiles(df, doc_id, text), "profiles")
@@ -388,13 +446,9 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     sets = whole.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])  # a row may be repeated
     sets = scratch.keep(sets, "sets")
     of = connected_components(_candidates(sets, similarity, scratch), scratch).withColumnRenamed("node", "of")
-    parts = scratch.keep(left.join(of, F.col("node") == F.col("of")).select("node", F.col("component").alias("part")), "parts", narrow=True)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("n > 1")
-    cut = scratch.keep(parts.join(sizes, "part").select("node", "part", "blocks"), "cut", narrow=True)
-    sets = sets.join(small_or_hashed(cut), "node")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("part", "low", "high", "block", "node", "shingles")
-    edges = scratch.keep(_exact(sets, similarity).union(_by_code(nodes, LIMIT, scratch)), "edges")
+    parts = sets.select("node", F.size("shingles").alias("size")).join(of, F.col("node") == F.col("of")).select("node", "size", F.col("component").alias("part"))
+    parts = scratch.keep(parts, "parts", narrow=True)
+    edges = scratch.keep(_within_parts(sets, parts, similarity, scratch).union(_by_code(nodes, LIMIT, scratch)), "edges")
     of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
     known = scratch.keep(nodes.select("node").join(of, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "node").alias("root")), "known", narrow=True)
     rows = scratch.keep(rows.join(known, "node").select("id", "key", "root"), "rooted", narrow=True)
