@@ -29,14 +29,23 @@ def offsets(channels: Column) -> Column:
     return F.transform(channels, lambda c: mean(c.cast("array<double>")))
 
 
+def centred(channels: Column) -> Column:
+    """Each channel without its mean."""
+    return F.zip_with(channels, offsets(channels), lambda c, o: F.transform(c.cast("array<double>"), lambda x: x - o))
+
+
 def gain(channels: Column) -> Column:
-    """The factor that brings active samples to the target loudness, limited by the peak and by a boost; 1 if nothing is active."""
-    centred = F.flatten(F.transform(channels, lambda c: F.transform(c.cast("array<double>"), lambda x: x - mean(c.cast("array<double>")))))
-    size = F.transform(centred, F.abs)
-    active = F.filter(size, lambda x: x >= fixed.GAIN_ACTIVE)
-    rms = F.sqrt(_sum(F.transform(active, lambda x: x * x)) / F.size(active))
-    limited = F.least(F.lit(fixed.GAIN_RMS) / rms, F.lit(fixed.GAIN_PEAK) / F.array_max(size), F.lit(fixed.GAIN_MOST))
-    return F.when(F.size(active) > 0, limited).otherwise(F.lit(1.0))
+    """The factor that brings active samples to the target loudness, limited by the peak and by a boost; 1 if nothing is active. One pass for means, one for the rest."""
+    first = F.struct(F.lit(0.0).alias("energy"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("peak"))
+
+    def add(s: Column, x: Column) -> Column:
+        active = F.abs(x) >= fixed.GAIN_ACTIVE
+        return F.struct((s["energy"] + F.when(active, x * x).otherwise(0.0)).alias("energy"), (s["n"] + active.cast("long")).alias("n"), F.greatest(s["peak"], F.abs(x)).alias("peak"))
+
+    def limited(s: Column) -> Column:
+        return F.when(s["n"] > 0, F.least(F.lit(fixed.GAIN_RMS) / F.sqrt(s["energy"] / s["n"]), F.lit(fixed.GAIN_PEAK) / s["peak"], F.lit(fixed.GAIN_MOST))).otherwise(F.lit(1.0))
+
+    return F.aggregate(F.flatten(centred(channels)), first, add, limited)
 
 
 def payload_hash(content: Column) -> Column:
@@ -187,9 +196,22 @@ def similarity_column(lags: int = 80):
     return run
 
 
-def assemble(clips: Column, rate: int) -> Column:
-    """One channel: lead, then clips (centred and scaled) with gaps between, then tail. clips: array of sample arrays."""
-    quiet = lambda s: F.array_repeat(F.lit(0.0), round(s * rate))
-    loud = F.transform(clips, lambda c: F.transform(c.cast("array<double>"), lambda x: (x - mean(c.cast("array<double>"))) * gain(F.array(c))))
-    body = F.aggregate(loud, F.array().cast("array<double>"), lambda s, c: F.when(F.size(s) > 0, F.concat(s, quiet(fixed.GAP_SECONDS), c)).otherwise(c))
-    return F.concat(quiet(fixed.LEAD_SECONDS), body, quiet(fixed.TAIL_SECONDS))
+def assemble(clips: Column, rate: int, rates: Column | None = None) -> Column:
+    """Channels of one sound: lead, then clips (centred and scaled) with gaps between, then tail.
+
+    clips: array of clips, each an array of channels, each an array of samples. A clip with fewer channels than another gives its last one
+    for those it lacks. Rates that differ are an error.
+    """
+    quiet = lambda s: F.array_repeat(F.lit(0.0), int(s * rate + 0.5))
+    none = F.array().cast("array<double>")
+    ready = F.transform(clips, lambda c: F.struct(centred(c).alias("channels"), gain(c).alias("gain")))
+    loud = F.transform(ready, lambda s: F.transform(s["channels"], lambda c: F.transform(c, lambda x: x * s["gain"])))
+
+    def channel(k: Column) -> Column:
+        own = F.transform(loud, lambda c, i: F.concat(F.when(i > 0, quiet(fixed.GAP_SECONDS)).otherwise(none), F.get(c, F.least(k, F.size(c) - 1))))
+        return F.concat(quiet(fixed.LEAD_SECONDS), F.flatten(own), quiet(fixed.TAIL_SECONDS))
+
+    sound = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(clips, F.size)) - 1), channel)
+    if rates is None:
+        return sound
+    return F.when(F.exists(rates, lambda r: r != F.get(rates, F.lit(0))), F.raise_error(F.lit("sample rates do not match")).cast("array<array<double>>")).otherwise(sound)

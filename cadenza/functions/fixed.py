@@ -49,6 +49,8 @@ BOUNDARY_MARKS = " -'’·"
 #: Keys for which the first corpus has no recording, and the one key that it names differently.
 UNAVAILABLE_KEYS = ("r1", "r2", "r3", "r4")
 RENAMED_KEYS = {"ju4": "jv4"}
+#: Keys for which no corpus has a usable recording.
+UNAVAILABLE = ("r1", "r2", "r3", "r4", "rang1", "rui1")
 
 #: First bytes of MPEG audio, and file endings of audio.
 MP3_MAGIC = ("494433", "FFFB", "FFF3", "FFF2")

@@ -94,6 +94,12 @@ def source_name(x: Column) -> Column:
     return F.when(x == "audio_cmn", "audio-cmn").when(x == "mp3_chinese_pinyin_sound", "public pinyin").otherwise(x)
 
 
+def audio_url(path: Column) -> Column:
+    """Where a page one folder down finds a recording; '' without a path."""
+    known = F.coalesce(path, F.lit(""))
+    return F.when(known.startswith("audio/"), F.concat(F.lit("../"), known)).otherwise(known)
+
+
 def escape_html(x: Column) -> Column:
     out = F.coalesce(x.cast("string"), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, pinyin
+from ..sources.shared import Scratch
 from .selection import bad
 
+#: Keys of a group that are listed.
+LISTED = 1000
+
 
 def duplicate_groups(files: DataFrame, quality: DataFrame, payload: str = "payload") -> DataFrame:
-    """files: source, key, payload (hash). Groups of several keys with one payload: source, payload, keys, healthy, status.
+    """files: source, key, payload (hash). Groups of several keys with one payload: source, payload, keys, n_keys, healthy, status.
 
-    A group is quarantined if at most one of its keys is not reviewed as bad.
+    A group is quarantined if at most one of its keys is not reviewed as bad. ``keys`` are the first ``LISTED`` in order; counts are of all.
     """
-    several = files.groupBy("source", payload).agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = files.join(several, ["source", payload], "left_semi")
-    rows = rows.join(quality.select("source", "key", "status"), ["source", "key"], "left")
-    out = rows.groupBy("source", payload).agg(F.array_sort(F.collect_list("key")).alias("keys"), F.count_if(~bad(F.col("status"))).alias("healthy"))
+    rows = files.join(quality.select("source", "key", "status"), ["source", "key"], "left")
+    groups = rows.groupBy("source", payload).agg(F.count("*").alias("n_keys"), F.count_if(~bad(F.col("status"))).alias("healthy")).where("n_keys > 1")
+    first = files.withColumn("_n", F.row_number().over(Window.partitionBy("source", payload).orderBy("key"))).where(F.col("_n") <= LISTED)
+    listed = first.groupBy("source", payload).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    out = listed.join(groups, ["source", payload]).select("source", payload, "keys", "n_keys", "healthy")
     return out.withColumn("status", F.when(F.col("healthy") <= 1, "quarantined").otherwise("unquarantined"))
 
 
@@ -78,9 +83,11 @@ def family_paths(files: DataFrame) -> DataFrame:
 
 
 def expected_readings(words: DataFrame) -> DataFrame:
-    """word, expected: the distinct readings of its entries."""
+    """word, expected: the distinct readings of its entries with as many syllables as tones; of an entry with neither the empty reading."""
     reading = pinyin.expected_reading(F.col("pinyin_syllables"), F.col("lexical_tones"))
-    return words.select("word", reading.alias("r")).where(F.size("r") > 0).groupBy("word").agg(F.array_sort(F.collect_set("r")).alias("expected"))
+    many = [F.coalesce(F.size(c), F.lit(0)) for c in ("pinyin_syllables", "lexical_tones")]
+    even = F.greatest(many[0], F.lit(0)) == F.greatest(many[1], F.lit(0))
+    return words.where(even).select("word", reading.alias("r")).groupBy("word").agg(F.array_sort(F.collect_set("r")).alias("expected"))
 
 
 def native_status(recognized: Column, expected: Column, transcript: Column, word: Column) -> Column:
@@ -103,9 +110,8 @@ def identity_status(base: Column, recognized: Column) -> Column:
 
 
 def native_candidates(recordings: DataFrame, words: DataFrame) -> DataFrame:
-    """Isolated-word recordings of the first corpus whose word is known, with the readings that are expected."""
-    kind = F.coalesce(pinyin.falls_through(F.col("recording_type")), F.lit("isolated_word"))
-    rows = recordings.where((F.col("source") == "audio_cmn") & (kind == "isolated_word"))
+    """Recordings of the first corpus that are said to be isolated words and whose word is known, with the readings that are expected."""
+    rows = recordings.where((F.col("source") == "audio_cmn") & (F.col("recording_type") == "isolated_word"))
     return rows.join(expected_readings(words), "word")
 
 
@@ -127,24 +133,19 @@ def take_shard(df: DataFrame, index: int, count: int, order: list[str]) -> DataF
     return numbered(df, order).where(F.col("_place") % count == index).drop("_place")
 
 
-def numbered(df: DataFrame, order: list[str], cuts: int = 255) -> DataFrame:
-    """Append _place: the row's number from 0 in the order, without a window over all rows.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Append _place: the row's number from 0 in the order, without a window over all rows. Nulls come first.
 
-    Some values of the first column (those of the smallest hashes, at most ``cuts``) cut the order into ranges; a range's first
-    place is the sum of the sizes of those before it, and rows are numbered within their range. Nulls come first.
+    Rows are dealt by ranges of the whole order and sorted within a range, and written once, so that both the sizes of the ranges and the rows are read of
+    the same ranges. The offsets are a row for each range.
     """
-    first = F.col(order[0])
-    drawn = df.select(first.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(cuts).collect()
-    values = sorted(r["k"] for r in drawn)
-    part = F.lit(0)
-    if values:
-        known = F.array(*[F.lit(v) for v in values])
-        part = F.when(first.isNull(), -1).otherwise(F.size(F.filter(known, lambda c: c <= first)))
-    rows = df.withColumn("_part", part)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # at most cuts + 2 rows
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the range, then the row's number in it
+    rows = Scratch(df.sparkSession, "numbered").keep(ranged.withColumn("_id", place), "rows")
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_inside": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_part", "_p", "_before", "_inside")
+    return rows.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn("_place", F.col("_before") + F.col("_inside")).drop("_id", "_part", "_p", "_before", "_inside")
 
 
 def confirm(reviews: DataFrame, second: DataFrame) -> DataFrame:

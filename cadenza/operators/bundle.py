@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import audio
-from .selection import required_keys, select_recording
+from ..functions import audio, fixed
+from .selection import HUMAN, PUBLIC, required_keys, select_recording
 
 
 def referenced_paths(recordings: DataFrame, syllable_files: DataFrame, words: DataFrame, quality: DataFrame, public: DataFrame) -> DataFrame:
@@ -61,22 +61,36 @@ def checks(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def setup_checks(recordings: DataFrame, public: DataFrame, files: DataFrame, counts: dict[str, int], samples: DataFrame) -> DataFrame:
-    """The checks of a finished set-up. files: audio_path, length, content; samples: audio_path, sha256; counts: recordings, public."""
+def selected_checks(keys: DataFrame, files: DataFrame, quality: DataFrame, public: DataFrame, unavailable: tuple[str, ...] = fixed.UNAVAILABLE) -> DataFrame:
+    """For both modes: what is chosen for every key has a file, and no recording is chosen for exactly the keys in ``unavailable``. files: audio_path, length."""
+    parts, known = [], keys.sparkSession.createDataFrame([(k,) for k in unavailable], "key string")
+    for mode in (PUBLIC, HUMAN):
+        chosen = select_recording(keys, quality, public, mode)
+        parts.append(check(f"{mode}: selected exist", missing(chosen.where("audio_path is not null").select("audio_path"), files), "audio_path"))
+        parts.append(check(f"{mode}: unavailable", differing(chosen.where("audio_path is null").select("key"), known), "key"))
+    return checks(*parts)
+
+
+def setup_checks(recordings: DataFrame, public: DataFrame, files: DataFrame, counts: dict[str, int], samples: DataFrame, words: DataFrame, quality: DataFrame, syllable_files: DataFrame, unavailable: tuple[str, ...] = fixed.UNAVAILABLE) -> DataFrame:
+    """The checks of a finished set-up. files: audio_path, length, content; samples: audio_path, sha256; counts: recordings, syllables, public; syllable_files: audio_path."""
     names = files.select("audio_path", "length")
     bad = files.where(~audio.valid_mp3(F.col("content"))).select("audio_path")
-    own = recordings.where(F.col("source") == "audio_cmn").select("audio_path")
+    own = recordings.where(F.col("source") == HUMAN)
+    isolated, own = own.where(F.col("recording_type") == "isolated_word"), own.select("audio_path")
     hashes = samples.join(files.select("audio_path", F.sha2("content", 256).alias("found")), "audio_path", "left").where(~F.col("found").eqNullSafe(F.col("sha256")))
 
     def sized(name: str, df: DataFrame, n: int) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), (F.col("n") == n).alias("ok"), F.col("n").cast("string").alias("detail"))
 
     return checks(
-        sized("recordings", own, counts["recordings"]),
+        sized("recordings", isolated, counts["recordings"]),
         check("recordings exist", missing(own, names), "audio_path"),
         check("recordings are MPEG audio", own.join(bad, "audio_path", "left_semi"), "audio_path"),
+        sized("syllables", syllable_files, counts["syllables"]),
+        check("syllables are MPEG audio", syllable_files.select("audio_path").join(bad, "audio_path", "left_semi"), "audio_path"),
         sized("public", public, counts["public"]),
         check("public exist", missing(public.select("audio_path"), names), "audio_path"),
         check("public are MPEG audio", public.select("audio_path").join(bad, "audio_path", "left_semi"), "audio_path"),
         check("samples", hashes.select("audio_path"), "audio_path"),
+        selected_checks(required_keys(words), names, quality, public, unavailable),
     )

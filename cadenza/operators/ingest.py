@@ -51,22 +51,42 @@ def index_recordings(tree: DataFrame, known: DataFrame, audio_root: str = "audio
     return insert_absent(recordings_of(tree, audio_root), known, IDENTITY, [F.col("audio_path")])
 
 
-def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, shortest: int) -> DataFrame:
+def _met(grams: DataFrame, known: DataFrame, texts: DataFrame, text: str, needle: str) -> DataFrame:
+    """Texts with the needles that they contain, of candidates that share a gram. grams: _text (hash), _gram; known: needles with _needle_gram.
+
+    Grams meet without their texts; each candidate meets its text once, and is then checked.
+    """
+    pairs = grams.join(known, F.col("_gram") == F.col("_needle_gram")).drop("_gram", "_needle_gram").distinct()
+    return texts.join(pairs, F.xxhash64(F.col(text)) == F.col("_text")).where(F.contains(F.col(text), F.col(needle))).drop("_text")
+
+
+def _windows(text: str, size: int) -> Column:
+    """Hashes of the distinct windows of so many characters."""
+    places = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(size)))))
+
+
+def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, sizes: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     """Pairs of texts and the needles that they contain, as an equi-join and not a loop over all pairs.
 
-    Every needle has ``shortest`` characters or more; it is looked up by the hash of its first ``shortest`` characters, which
-    must be those of some window of the text. Candidates are then checked. A needle that is shorter, null or empty finds nothing here.
+    A needle is looked up by the hash of its first characters, as many as the largest of ``sizes`` that it has, which
+    must be those of some window of the text: only needles of one character are looked up by one. Candidates are then checked. A needle that is shorter
+    than all sizes, null or empty finds nothing here. Equal needles, and equal texts, stay apart if their other columns differ.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - shortest + 1), lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(shortest)))))
-    windows = texts.where(F.char_length(text) >= shortest).withColumn("_gram", F.explode(grams))
-    known = needles.where(F.char_length(needle) >= shortest).withColumn("_needle_gram", F.xxhash64(F.substr(F.col(needle), F.lit(1), F.lit(shortest))))
-    return windows.join(known, F.col("_gram") == F.col("_needle_gram")).where(F.contains(F.col(text), F.col(needle))).drop("_gram", "_needle_gram")
+    out = None
+    for size, above in zip(sizes, (*sizes[1:], None), strict=True):
+        of_size = F.char_length(needle) >= size if above is None else F.char_length(needle).between(size, above - 1)
+        known = needles.where(of_size).withColumn("_needle_gram", F.xxhash64(F.substr(F.col(needle), F.lit(1), F.lit(size))))
+        windows = texts.where(F.char_length(text) >= size).select(F.xxhash64(F.col(text)).alias("_text"), F.explode(_windows(text, size)).alias("_gram"))
+        found = _met(windows, known, texts, text, needle)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def context_clips(sentences: DataFrame, words: DataFrame, clips: str) -> DataFrame:
     """Sentences by the words that they contain (schemas.CONTEXT). Words of one character are found as windows of one."""
     known = words.where("word <> ''").select(F.col("word").alias("hit")).distinct()
-    rows = contained(sentences, "sentence", known, "hit", 1)
+    rows = contained(sentences, "sentence", known, "hit")
     return rows.select(
         F.col("hit").alias("word"), F.lit("common_voice").alias("source"), F.lit("context").alias("kind"),
         F.concat(F.lit(clips.rstrip("/") + "/"), F.coalesce("path", F.lit(""))).alias("audio_path"), "sentence", F.col("client_id").alias("speaker"), "age", "gender",
@@ -74,10 +94,10 @@ def context_clips(sentences: DataFrame, words: DataFrame, clips: str) -> DataFra
     )
 
 
-def longest_first(words: DataFrame) -> DataFrame:
-    """Distinct words with their rank: longer ones first, ties by the word."""
-    rows = words.where("word <> ''").select("word").distinct()
-    return rows.orderBy(F.char_length("word").desc(), "word")
+def longest_first(words: DataFrame, order: str = "word") -> DataFrame:
+    """Distinct words: longer ones first, ties by where they come first in ``order`` (a column that holds the order of the input)."""
+    rows = words.where("word <> ''").groupBy("word").agg(F.min(order).alias("_at"))
+    return rows.orderBy(F.char_length("word").desc(), "_at").select("word")
 
 
 def inventory(words: DataFrame, responses: DataFrame) -> DataFrame:
@@ -102,16 +122,16 @@ def contained_passages(texts: DataFrame, text: str, needles: DataFrame, needle:
     """As ``contained``, for passages of many words: looked up by the hash of their second and following words.
 
     Inside a passage those words are bounded by white space, so they are whole words of any text that holds it, and a text
-    is looked up by its shingles of ``words`` words. Passages of fewer than words + 2 words, if there are any, go the way of single
-    characters. Null and empty passages find nothing.
+    is looked up by its shingles of ``words`` words. Passages of fewer than words + 2 words, if there are any, go the way of
+    ``contained``. Null and empty passages find nothing.
     """
     cut = lambda c: F.split(F.col(c), r"\s+")
     shingles = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, words), " ")))
-    windows = texts.withColumn("_w", cut(text)).where(F.size("_w") >= words).withColumn("_gram", F.explode(F.array_distinct(shingles))).drop("_w")
+    windows = texts.withColumn("_w", cut(text)).where(F.size("_w") >= words).select(F.xxhash64(F.col(text)).alias("_text"), F.explode(F.array_distinct(shingles)).alias("_gram"))
     known = needles.where(F.coalesce(F.col(needle), F.lit("")) != "").withColumn("_n", cut(needle))
     long = known.where(F.size("_n") >= words + 2).withColumn("_needle_gram", F.xxhash64(F.array_join(F.slice("_n", 2, words), " "))).drop("_n")
-    out = windows.join(long, F.col("_gram") == F.col("_needle_gram")).where(F.contains(F.col(text), F.col(needle))).drop("_gram", "_needle_gram")
+    out = _met(windows, long, texts, text, needle)
     short = known.where(F.size("_n") < words + 2).drop("_n")
     if short.limit(1).count():
-        out = out.unionByName(contained(texts, text, short, needle, 1))
+        out = out.unionByName(contained(texts, text, short, needle))
     return out

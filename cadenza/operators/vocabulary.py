@@ -63,13 +63,15 @@ def counts(words: DataFrame) -> DataFrame:
     return words.agg(F.count("*").alias("entries"), F.count_if(F.size("sandhi_tags") > 0).alias("tagged"), F.count_if("surface_label_needs_clip_review").alias("review"))
 
 
-def syllable_vocabulary(names: DataFrame, at_least: int = 400) -> list[str]:
+def syllable_vocabulary(names: DataFrame, at_least: int = 400, at_most: int = 10_000) -> list[str]:
     """Syllables of file names like cmn-ma1.mp3 (column ``name``), and r; jv is ju. A few hundred, by the language: gathered to the driver.
 
-    Fewer than ``at_least`` is an error.
+    Fewer than ``at_least`` is an error, and so are more than ``at_most``: then these are no syllables of a language.
     """
     form = r"^cmn-_?([a-zv]+)[1-5]\.mp3$"
-    found = names.where(F.col("name").rlike(form)).select(F.regexp_extract("name", form, 1).alias("s")).distinct().limit(10_000).collect()
+    found = names.where(F.col("name").rlike(form)).select(F.regexp_extract("name", form, 1).alias("s")).distinct().limit(at_most + 1).collect()
+    if len(found) > at_most:
+        raise ValueError(f"more than {at_most} syllables")
     out = {"r"} | {"ju" if r["s"] == "jv" else r["s"] for r in found}
     if len(out) < at_least:
         raise ValueError(f"{len(out)} syllables where {at_least} are expected")

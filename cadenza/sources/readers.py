@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +70,7 @@ def read_quality(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """A log of one object a line. Lenient: bad lines and rows without an audio_path are left out; strict: a bad line is an error."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     return rows if strict else rows.where("audio_path is not null")
 
 
@@ -96,36 +97,44 @@ def tree_paths(listing: DataFrame, prefix: str, suffix: str) -> DataFrame:
     return rows.select(F.expr(f"substring(path, {len(prefix) + 1}, length(path) - {len(prefix) + len(suffix)})").alias("name"), "path", "size")
 
 
+def archive_entries(archives: DataFrame) -> DataFrame:
+    """archive, place, member, sound, content of every file in ZIP archives (binaryFile rows). sound: its checksum holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path, content in ((p, c) for b in batches for p, c in zip(b["path"], b["content"], strict=True)):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for place, entry in enumerate(z.infolist()):
+                    if entry.is_dir():
+                        continue
+                    try:
+                        data, sound = z.read(entry), True
+                    except zipfile.BadZipFile:
+                        data, sound = b"", False
+                    yield pd.DataFrame({"archive": [path], "place": [place], "member": [entry.filename], "sound": [sound], "content": [data]})
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, place int, member string, sound boolean, content binary")
+
+
 def archive_members(archives: DataFrame, form: str = r"([a-zv]+[1-4])\.mp3", folder: str = "mp3", at_least: int = 0) -> DataFrame:
-    """key, member, content of the files in ZIP archives (binaryFile rows) that lie in a folder of that name and have that form.
+    """key, member, content of the files in ZIP archives that lie in a folder of that name, itself in a folder, and have that form.
 
-    A damaged archive, a member that is no MPEG audio, or under ``at_least`` members is an error. Of two members with one key
+    A damaged archive, a member that is no MPEG audio, or under ``at_least`` members of an archive is an error. Of two members with one key
     the later one counts.
     """
-    magic = tuple(bytes.fromhex(m) for m in fixed.MP3_MAGIC)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    if z.testzip():
-                        raise ValueError(f"{path} is damaged")
-                    found = {}
-                    for name in z.namelist():
-                        parts = name.split("/")
-                        if len(parts) >= 3 and parts[-2] == folder and (m := re.fullmatch(form, parts[-1])):
-                            found[m[1]] = name
-                    if len(found) < at_least:
-                        raise ValueError(f"{path} has {len(found)} members of {at_least}")
-                    for key in sorted(found):
-                        data = z.read(found[key])
-                        if not data.startswith(magic):
-                            raise ValueError(f"{found[key]} is no MPEG audio")
-                        yield pd.DataFrame({"key": [key], "member": [found[key]], "content": [data]})
-
-    return archives.select("path", "content").mapInPandas(run, "key string, member string, content binary")
+    entries = archive_entries(archives)
+    damaged = F.col("archive").isNotNull() & ~F.col("sound")
+    checked = entries.withColumn("member", F.when(damaged, F.raise_error(F.concat("archive", F.lit(" is damaged"))).cast("string")).otherwise(F.col("member")))
+    name = F.element_at(F.split("member", "/"), -1)
+    rows = checked.where((F.size(F.split("member", "/")) >= 3) & (F.try_element_at(F.split("member", "/"), F.lit(-2)) == folder) & name.rlike(f"^(?:{form})$"))
+    rows = rows.withColumn("key", F.regexp_extract(name, f"^(?:{form})$", 1))
+    last = rows.groupBy("archive", "key").agg(F.max_by(F.struct("member", "content"), "place").alias("m"))
+    counts = archives.select(F.col("path").alias("archive")).join(rows.groupBy("archive").agg(F.count_distinct("key").alias("n")), "archive", "left")
+    short = counts.where(F.coalesce("n", F.lit(0)) < at_least) if at_least else None
+    if short is not None and (found := short.limit(1).collect()):
+        raise ValueError(f"{found[0]['archive']} has {found[0]['n'] or 0} members of {at_least}")
+    audio = reduce(lambda a, m: a | F.startswith(F.col("m.content"), F.unhex(F.lit(m))), fixed.MP3_MAGIC, F.lit(False))
+    content = F.when(audio, F.col("m.content")).otherwise(F.raise_error(F.concat("m.member", F.lit(" is no MPEG audio"))).cast("binary"))
+    return last.select("key", "m.member", content.alias("content"))
 
 
 def constants(spark: SparkSession, rows: dict[str, object], schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,5 +151,24 @@ def test_similarity():
 
 
 def test_assembly(spark):
-    got = one(spark, [([[0.1, -0.1], [0.2, -0.2]],)], "c array<array<double>>", a=audio.assemble(F.col("c"), 100))
-    assert len(got[0]["a"]) == 12 + 2 + 6 + 2 + 20 and got[0]["a"][12] == pytest.approx(0.16)
+    clips = [[[0.1, -0.1]], [[0.2, -0.2], [0.0, 0.0]]]
+    left, right = one(spark, [(clips,)], "c array<array<array<double>>>", a=audio.assemble(F.col("c"), 100))[0]["a"]
+    assert len(left) == len(right) == 12 + 2 + 6 + 2 + 20 and left[12] == right[12] == pytest.approx(0.16) and right[20] == 0 < left[20]
+    assert one(spark, [(clips,)], "c array<array<array<double>>>", a=audio.assemble(F.col("c"), 100, F.array(F.lit(1), F.lit(1))))[0]["a"][0] == left
+    with pytest.raises(Exception, match="rates do not match"):
+        one(spark, [(clips,)], "c array<array<array<double>>>", a=audio.assemble(F.col("c"), 100, F.array(F.lit(1), F.lit(2))))
+
+
+def test_long_clips(spark):
+    """Half a minute at 16 kHz: the kernels take time in proportion to the samples."""
+    wave = F.transform(F.sequence(F.lit(1), F.lit(480_000)), lambda i: F.sin(i * 0.05) * 0.3 + 0.1)
+    df = spark.range(1).select(F.array(wave).alias("c"))
+    began = time.perf_counter()
+    got = df.select(audio.gain(F.col("c")).alias("g"), audio.offsets(F.col("c"))[0].alias("o"), F.size(audio.assemble(F.array(F.col("c")), 16_000)[0]).alias("n")).first()
+    assert got["o"] == pytest.approx(0.1, abs=1e-3) and got["g"] == pytest.approx(0.16 / math.sqrt(0.3**2 / 2), rel=2e-2) and got["n"] == 480_000 + 1920 + 3200
+    assert time.perf_counter() - began < 20
+
+
+def test_audio_url(spark):
+    got = one(spark, [("audio/a.mp3",), ("http://x",), ("",), (None,)], "p string", u=pinyin.audio_url(F.col("p")))
+    assert [r["u"] for r in got] == ["../audio/a.mp3", "http://x", "", ""]

@@ -66,12 +66,26 @@ def test_json_sources_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
         readers.read_log(spark, log, schemas.NATIVE_AUDIT, strict=True).collect()
     df = spark.createDataFrame([("b", ["x", "y"], True, None), ("a", [], False, "é")], "id string, tags array<string>, ok boolean, n string")
-    assert json.loads(sinks.as_document(df, ["id"]).first()["value"]) == [{"id": "a", "tags": [], "ok": False, "n": "é"}, {"id": "b", "tags": ["x", "y"], "ok": True, "n": None}]
+    sinks.write_document(df, str(tmp_path / "doc"), ["id"])
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "doc").glob("part-*"))) == [{"id": "a", "tags": [], "ok": False, "n": "é"}, {"id": "b", "tags": ["x", "y"], "ok": True, "n": None}]
     assert rows(sinks.delimited(df))[0] == {"id": "b", "tags": "x;y", "ok": "True", "n": None}
     sinks.write_json(df, str(tmp_path / "out"))
     sinks.append_log(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 4
-    sinks.write_csv(df, str(tmp_path / "csv"))
+    sinks.write_json(spark.read.json(str(tmp_path / "out")).where("ok"), str(tmp_path / "out"))  # a table may replace itself
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    with pytest.raises(Exception, match="no luck"):
+        sinks.write_json(df.select(F.raise_error(F.lit("no luck")).alias("x")), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2 and [p.name for p in tmp_path.iterdir() if p.name.startswith("out")] == ["out"]
+    sinks.write_csv(df, str(tmp_path / "csv"), ("tags", "id"))
+    assert next(iter((tmp_path / "csv").glob("part-*"))).read_bytes().startswith(b"\xef\xbb\xbftags,id\n")
+    assert {r["tags"] for r in rows(readers.read_csv(spark, str(tmp_path / "csv")))} == {"x;y", None}
+    write(tmp_path / "audio/s/a.mp3", "abc")
+    plan = sinks.copy_plan(spark.createDataFrame([("audio/s/a.mp3",)], "audio_path string"), spark.createDataFrame([("audio/s/a.mp3", 3)], "path string, length long"), str(tmp_path / "www"))
+    assert [r["copied"] for r in rows(sinks.copy_files(plan, str(tmp_path)))] == [3] and (tmp_path / "www/audio/s/a.mp3").read_text() == "abc"
+    recordings = spark.createDataFrame([("p", "w", "s", None, True)], "audio_path string, word string, source string, license string, quiz_eligible boolean")
+    sinks.write_sidecars(recordings, str(tmp_path / "meta"))
+    assert rows(spark.read.parquet(str(tmp_path / "meta"))) == [{"audio_path": "p", "sidecar": '{"source":"s","license":null}'}]
     sinks.gate(df.limit(0), "none")
     with pytest.raises(ValueError):
         sinks.gate(df, "some")
@@ -117,7 +131,8 @@ def test_context(spark):
     words = spark.createDataFrame([("公司",), ("公",), ("工作",), ("",), ("没",), ("公司",)], "word string")
     got = sorted((r["word"], r["audio_path"], r["accent"]) for r in rows(ingest.context_clips(sentences, words, "clips/")))
     assert got == [("公", "clips/p1", "north"), ("公司", "clips/p1", "north"), ("工作", "clips/p1", "north"), ("没", "clips/", "x")]
-    assert [r["word"] for r in rows(ingest.longest_first(words))][:2] in (["公司", "工作"], ["工作", "公司"])
+    ordered = spark.createDataFrame([("工作", 3), ("公", 1), ("公司", 4), ("", 0), ("没", 0), ("工作", 9)], "word string, n int")
+    assert [r["word"] for r in rows(ingest.longest_first(ordered, "n"))] == ["工作", "公司", "没", "公"]
 
 
 def test_contained_passages(spark):
@@ -185,7 +200,7 @@ def test_transcripts(spark):
 
 def test_shards_cover_all_rows_in_order(spark):
     df = spark.createDataFrame([(f"k{i % 700:04d}", i) for i in range(1000)] + [(None, -1)], "k string, i int")
-    places = sorted((r["_place"], r["k"] or "", r["i"]) for r in rows(audits.numbered(df, ["k", "i"], 7)))
+    places = sorted((r["_place"], r["k"] or "", r["i"]) for r in rows(audits.numbered(df, ["k", "i"])))
     assert [p[0] for p in places] == list(range(1001)) and [p[1:] for p in places] == sorted(p[1:] for p in places)
     parts = [rows(audits.take_shard(df, i, 3, ["k", "i"])) for i in range(3)]
     assert sum(map(len, parts)) == 1001
@@ -195,7 +210,7 @@ def test_shards_cover_all_rows_in_order(spark):
 
 def test_native_audit(spark):
     words = spark.createDataFrame([("壳", ["ke"], [2]), ("壳", ["qiao"], [4])], "word string, pinyin_syllables array<string>, lexical_tones array<int>")
-    recordings = spark.createDataFrame([(p, "壳", "audio_cmn", None) for p in ("a", "b", "c")] + [("d", "无", "audio_cmn", None), ("e", "壳", "other", None)], "audio_path string, word string, source string, recording_type string")
+    recordings = spark.createDataFrame([(p, "壳", "audio_cmn", "isolated_word") for p in ("a", "b", "c")] + [("d", "无", "audio_cmn", "isolated_word"), ("e", "壳", "other", "isolated_word"), ("f", "壳", "audio_cmn", None)], "audio_path string, word string, source string, recording_type string")
     transcripts = spark.createDataFrame([(p, "", ["qiao4"]) for p in "abcde"], "audio_path string, transcript string, recognized_pinyin array<string>")
     done = spark.createDataFrame([("a",)], "audio_path string")
     got = rows(pipelines.native_audit(recordings, words, transcripts, done, "m"))
@@ -225,12 +240,14 @@ def test_bundle(spark):
     assert rows(bundle.totals(paths, files)) == [{"files": 2, "bytes": 3}]
     left, right = (spark.createDataFrame([(x,) for x in v], "k int") for v in ([1, 2, 2], [2, 3]))
     assert sorted((r["k"], r["side"]) for r in rows(bundle.differing(left, right))) == [(1, "left"), (3, "right")]
-    recordings = spark.createDataFrame([("audio_cmn", "a", None), ("audio_cmn", "b", False)], "source string, audio_path string, quiz_eligible boolean")
+    recordings = spark.createDataFrame([("audio_cmn", "a", "isolated_word"), ("audio_cmn", "b", None)], "source string, audio_path string, recording_type string")
     content = spark.createDataFrame([("a", 4, bytearray(b"ID3x")), ("p", 1, bytearray(b"x"))], "audio_path string, length long, content binary")
-    public = spark.createDataFrame([("p",)], "audio_path string")
+    public = spark.createDataFrame([("ma1", "p", "x")], "key string, audio_path string, source string")
+    words, quality = spark.createDataFrame([(["r", "ma"],)], "pinyin_syllables array<string>"), spark.createDataFrame([], policy.QUALITY)
     samples = spark.createDataFrame([("a", "wrong")], "audio_path string, sha256 string")
-    got = {r["check"]: r["ok"] for r in rows(bundle.setup_checks(recordings, public, content, {"recordings": 2, "public": 1}, samples))}
-    assert got == {"recordings": True, "recordings exist": False, "recordings are MPEG audio": True, "public": True, "public exist": True, "public are MPEG audio": False, "samples": False}
+    got = {r["check"]: r["ok"] for r in rows(bundle.setup_checks(recordings, public, content, {"recordings": 1, "syllables": 2, "public": 1}, samples, words, quality, content.select("audio_path"), ("r1", "r2", "r3", "r4")))}
+    assert got.pop("pinyin_public: unavailable") and got.pop("audio_cmn: unavailable")
+    assert got == {"recordings": True, "recordings exist": False, "recordings are MPEG audio": True, "syllables": True, "syllables are MPEG audio": False, "public": True, "public exist": True, "public are MPEG audio": False, "samples": False, "pinyin_public: selected exist": False, "audio_cmn: selected exist": False}
 
 
 def test_history(spark):
@@ -249,7 +266,7 @@ def test_streams(spark, tmp_path):
     def run():
         source = jobs.read_stream(spark, str(tmp_path / "in"), "audio_path string")
         jobs.resumable(source, lambda d: d.withColumn("status", F.lit("exact")), log, checkpoint, done).awaitTermination()
-        return sorted(r["audio_path"] for r in rows(spark.read.json(log)))
+        return sorted(r["audio_path"] for r in rows(readers.read_log(spark, log, "audio_path string")))
 
     assert run() == ["b"]
     write(tmp_path / "in/2.json", '{"audio_path": "b"}\n{"audio_path": "c"}\n')
