@@ -1,80 +1,37 @@
-"""The reviewed recordings of both corpora, and small fixtures that show each rule."""
+"""Reviews that show each rule of the choice between recordings. Invented; real ones are read by ``readers.read_quality``."""
 
 from __future__ import annotations
 
-#: Reviewed keys, all bad, by what replaces them.
-HUMAN_TO_PUBLIC = (
-    "jiao1 ma2 tian3 jiang4 pin1 xian3 ming4 gai1 gai2 gai3 gai4 gei1 gei2 gei3 gei4 cang2 zeng2 pao1 jie4 zhen4 zan1 ran4 re1 ren4 rong2 rou1 ruan1 "
-    "wa1 wang1 zhen2 nin2 niu2 pin2 pou2 tie2 zhuan2 ceng4 pou4 shu4"
-).split()
-HUMAN_TO_NOTHING = ["rang1", "rui1"]
-HUMAN_TO_WORD = {"mou3": "audio/audio_cmn/某/cmn-某.mp3"}
-PUBLIC_TO_HUMAN = "ao4 lian4 tou3 cuo3 miao1 shen4 sheng4 xiang1".split()
-PUBLIC_TO_NOTHING = ["rang1"]
-
-
-def quality_rows() -> list[tuple]:
-    """source, key, status, replacement, replacement_audio_path, replacement_source of the 51 reviews."""
-    rows = [("audio_cmn", k, "bad", "pinyin_public", None, None) for k in HUMAN_TO_PUBLIC]
-    rows += [("audio_cmn", k, "bad", None, None, None) for k in HUMAN_TO_NOTHING]
-    rows += [("audio_cmn", k, "bad", "isolated_word", p, "audio_cmn") for k, p in HUMAN_TO_WORD.items()]
-    rows += [("pinyin_public", k, "bad", "audio_cmn", None, None) for k in PUBLIC_TO_HUMAN]
-    return rows + [("pinyin_public", k, "bad", None, None, None) for k in PUBLIC_TO_NOTHING]
-
-
 QUALITY = "source string, key string, status string, replacement string, replacement_audio_path string, replacement_source string"
 
-#: Ours: keys without a review, of which ju4 is renamed and r1 to r4 have no human recording.
-PLAIN_KEYS = ["ju4", "r1", "r2", "r3", "r4", "hao3", "lv4"]
-#: Ours: keys that the public corpus lacks.
-NOT_PUBLIC = ["mou3", "rui1", "r1", "r2", "r3", "r4", "lv4", "pou4"]
+#: What becomes of a key, by the number at the end of its syllable.
+RULES = {
+    "plain": [],
+    "human bad, public instead": [("audio_cmn", "bad", "pinyin_public", None, None)],
+    "human bad, nothing instead": [("audio_cmn", "bad", None, None, None)],
+    "human bad, a file instead": [("audio_cmn", "bad", "isolated_word", "audio/audio_cmn/words/{key}.mp3", "audio_cmn")],
+    "public bad": [("pinyin_public", "bad", "audio_cmn", None, None)],
+    "both bad": [("audio_cmn", "bad", "pinyin_public", None, None), ("pinyin_public", "bad", None, None, None)],
+    "human good": [("audio_cmn", "good", None, None, None)],
+}
+SYLLABLES = ("ba", "pu", "mi")
 
 
 def keys() -> list[str]:
-    return sorted({r[1] for r in quality_rows()} | set(PLAIN_KEYS))
+    """Every rule with every syllable, in two public states, and the keys that the human corpus lacks or names otherwise."""
+    return sorted([f"{s}{n}" for s in SYLLABLES for n in range(2 * len(RULES))] + ["ju4", "r1", "r2", "r3", "r4"])
 
 
-def public_rows() -> list[tuple]:
-    return [(k, f"audio/pinyin_public/{k}.mp3", "mp3_chinese_pinyin_sound") for k in keys() if k not in NOT_PUBLIC]
+def quality_rows() -> list[tuple]:
+    """source, key, status, replacement, replacement_audio_path, replacement_source."""
+    out = []
+    for s in SYLLABLES:
+        for n in range(2 * len(RULES)):
+            for source, status, replacement, path, of in list(RULES.values())[n // 2]:
+                out.append((source, f"{s}{n}", status, replacement, path and path.format(key=f"{s}{n}"), of))
+    return out
 
 
-#: Words, lexical tones, and what follows from the rules: surface pattern, tags, aligned. The first two are known cases, the others ours.
-SANDHI = [
-    ("不一会儿", [4, 1, 4, 0], "4-2-4-N", "neutral_tone;yi_before_t4", True),
-    ("妈妈", [1], "1", "", False),
-    ("好不好", [3, 4, 3], "3-N-3", "bu_a_not_a", True),
-    ("看一看", [4, 1, 4], "4-N-4", "yi_reduplication", True),
-    ("不是", [4, 4], "2-4", "bu_before_t4", True),
-    ("一天", [1, 1], "4-1", "yi_before_non_t4", True),
-    ("第一次", [4, 1, 4], "4-1-4", "", True),
-    ("统一", [3, 1], "3-1", "", True),
-    ("你好", [3, 3], "2-3", "third_tone_sandhi", True),
-    ("水产品", [3, 3, 3], "2-2-3", "third_tone_grouping_ambiguous;third_tone_sandhi", True),
-    ("你好", [3, 3, 3, 1], "2-2-3-1", "third_tone_grouping_ambiguous;third_tone_sandhi", False),
-    ("", [], "", "", True),
-]
-#: Pinyin, number of tones, syllables joined by spaces ('' where undecided). The first four are known cases, the others ours.
-SEGMENTS = [
-    ("kěnéng", 2, "ke neng"),
-    ("fāng'àn", 2, "fang an"),
-    ("hǎowánr", 3, "hao wan r"),
-    ("yǒu(yī)xiē", 2, "you xie"),
-    ("xī'ān", 2, "xi an"),
-    ("", 1, ""),
-    ("zzz", 1, ""),
-    ("hǎo", 0, ""),
-]
-VOCABULARY = ["neng", "eng", "ken", "ke", "fang", "gan", "an", "fan", "hao", "wan", "r", "you", "yi", "xie", "xi", "xian"]
-#: Dictionary text, marked pinyin, pattern. Ours.
-TONES = [
-    ("行 行 [xing2] /to walk/", "xíng", "2"),
-    ("媽媽 妈妈 [ma1 ma5] /mum/", "", "1-N"),
-    ("", "kěnéng", "3-2"),
-    ("", "de", "N"),
-    ("X [A a1]", "", "1"),
-    ("", "Bà ba", "4-N"),
-    ("", "", ""),
-]
-#: Dictionary lines and words with what they get. The first two words are known cases, the third is ours.
-ENTRIES = ["新 新 [xin1] /new/newly/", "新 新 [Xin1] /abbr. for Xinjiang/surname Xin/", "行 行 [hang2] /row/line/", "# a comment", "", "龍 龙 [long2] / /CL:條|条[tiao2]/dragon/", "bad line"]
-DEFINED = [("a", "新", "新", ["xin"], [1], "new; newly"), ("b", "行", "行", ["xing"], [2], None), ("c", "龙", "龙", None, [2], "dragon")]
+def public_rows() -> list[tuple]:
+    """key, audio_path, source: every second key has a public recording."""
+    return [(k, f"audio/pinyin_public/{k}.mp3", "mp3_chinese_pinyin_sound") for k in keys() if k[-1] in "02468"]

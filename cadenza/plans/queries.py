@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio, pinyin
-from ..operators import audits, bundle, history, ingest, selection, vocabulary
-from ..sources import readers
+from ..operators import audits, bundle, history, ingest, selection
 from ..sources.shared import Scratch
 from ..streaming import jobs
 from . import policy
@@ -47,23 +46,6 @@ def values(rows: list[tuple], columns: str) -> str:
 # Fixtures
 
 
-@query(f"SELECT i::INTEGER AS i, pattern FROM {values([(i, p) for i, (_, _, p) in enumerate(policy.TONES)], 'i, pattern')}")
-def fx_tone_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tones of dictionary readings, else of marks, as a pattern."""
-    rows = spark.createDataFrame([(i, d, m) for i, (d, m, _) in enumerate(policy.TONES)], "i int, d string, m string")
-    return rows.select("i", pinyin.pattern(vocabulary.tones_of(F.col("d"), F.col("m"))).alias("pattern"))
-
-
-@query(f"SELECT i::INTEGER AS i, surface, tags, aligned, review FROM {values([(i, s, t, a, not a or 'ambiguous' in t) for i, (_, _, s, t, a) in enumerate(policy.SANDHI)], 'i, surface, tags, aligned, review')}")
-def fx_sandhi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface tones, tags, alignment and need of review."""
-    from ..functions.sandhi import sandhi_surface
-
-    rows = spark.createDataFrame([(i, w, t) for i, (w, t, *_) in enumerate(policy.SANDHI)], "i int, word string, lexical_tones array<int>")
-    rows = vocabulary.with_surface(rows.withColumn("id", F.lit(""))).withColumn("aligned", sandhi_surface(F.col("word"), F.col("lexical_tones"))["aligned"])
-    return rows.select("i", pinyin.pattern(F.col("default_surface_tones")).alias("surface"), F.array_join("sandhi_tags", ";").alias("tags"), "aligned", F.col("surface_label_needs_clip_review").alias("review"))
-
-
 _CHOICE = """
 SELECT m.mode, k.key,
   CASE WHEN choice = 'public' THEN p.audio_path WHEN choice = 'replacement' THEN h.replacement_audio_path
@@ -104,58 +86,6 @@ def fx_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_recording(keys, quality, public, F.col("mode")).select("mode", "key", "audio_path", "enhanced")
 
 
-@query(f"SELECT i::INTEGER AS i, syllables FROM {values([(i, s) for i, (_, _, s) in enumerate(policy.SEGMENTS)], 'i, syllables')}")
-def fx_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Syllables of concatenated pinyin."""
-    rows = spark.createDataFrame([(i, p, [0] * n) for i, (p, n, _) in enumerate(policy.SEGMENTS)], "i int, pinyin string, lexical_tones array<int>")
-    return vocabulary.add_syllables(rows, policy.VOCABULARY).select("i", F.array_join("pinyin_syllables", " ").alias("syllables"))
-
-
-@query(f"SELECT id, definition FROM {values([(r[0], r[5]) for r in policy.DEFINED if r[5]], 'id, definition')}")
-def fx_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The definition of each word."""
-    words = spark.createDataFrame([r[:5] for r in policy.DEFINED], "id string, word string, traditional string, pinyin_syllables array<string>, lexical_tones array<int>")
-    return vocabulary.add_definitions(words, readers.dictionary_entries(spark.createDataFrame([(e,) for e in policy.ENTRIES], "value string")))
-
-
-#: Words: id, word, pinyin, lexical tones, surface, review, syllables; recordings: path, word, hsk_id, pattern, eligible, language; and the pool. Ours.
-_ELIGIBLE = (
-    [
-        ("w1", "妈", "mā", [1], "1", False, ["ma"]),
-        ("w2", "行", "xíng", [2], "2", False, ["xing"]),
-        ("w3", "行", "háng", [2], "2", False, ["hang"]),
-        ("w4", "水产品", "x", [3, 3, 3], "2-2-3", True, ["shui", "chan", "pin"]),
-        ("w5", "你好", "nǐhǎo", [3, 3], "2-3", False, ["ni"]),
-        ("w6", "二", "èr", [4], "4", False, ["r"]),
-        ("w7", "爸爸", "bàba", [4, 0], "4-N", False, ["ba", "ba"]),
-    ],
-    [
-        ("a1", "妈", None, None, None, None),
-        ("a2", "妈", None, "2", None, "zh"),
-        ("a3", "妈", None, "1", False, "zh"),
-        ("a4", "行", "w2", "4", True, "zh"),
-        ("a5", "行", None, None, None, ""),
-        ("a6", "水产品", "w4", None, None, "zh"),
-        ("a7", "水产品", None, "2-2-3", None, "zh"),
-        ("a8", "你好", None, "2-3", None, "zh"),
-        ("a9", "二", None, "4", None, "zh"),
-        ("b1", "爸爸", None, "4-N", None, "zh"),
-        ("b2", "爸爸", None, "4-N", None, "yue"),
-    ],
-    [("w1",), ("w2",), ("w4",), ("w7",)],
-)
-
-
-@query(f"SELECT id FROM {values(_ELIGIBLE[2], 'id')}")
-def fx_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that can be practised."""
-    words = spark.createDataFrame(_ELIGIBLE[0], "id string, word string, pinyin string, lexical_tones array<int>, default_surface_pattern string, surface_label_needs_clip_review boolean, pinyin_syllables array<string>")
-    words = words.withColumns({"lexical_pattern": pinyin.pattern(F.col("lexical_tones")), "sandhi_tags": F.array().cast("array<string>")})
-    recordings = spark.createDataFrame(_ELIGIBLE[1], "audio_path string, word string, hsk_id string, surface_pattern string, quiz_eligible boolean, language_code string").withColumn("source", F.lit("audio_cmn"))
-    public = spark.createDataFrame([], "key string, audio_path string, source string")
-    return selection.practice_pool(words, recordings, spark.createDataFrame([], policy.QUALITY), public).select("id")
-
-
 # At the size of the tables
 
 
@@ -166,7 +96,7 @@ SELECT payload, count(*) AS n_keys, min(doc_id) AS first_key, count(*) FILTER (W
 FROM d GROUP BY payload HAVING count(*) > 1
 """)
 def sc_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal payloads; labels are the reviews."""
+    """Groups of equal payloads of any size; labels are the reviews."""
     docs = table(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("payload"), F.col("doc_id").alias("key"))
     reviews = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 0, "bad").otherwise("good").alias("status"))
     return audits.duplicate_counts(docs, reviews)
@@ -229,20 +159,19 @@ def sc_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_nationkey, s_name, s_acctbal FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_name) = 1")
 def sc_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: the least (balance, name) of each nation."""
-    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min(F.struct("s_acctbal", "s_name")).alias("m"))
-    return rows.select("s_nationkey", "m.s_name", "m.s_acctbal")
+    """The first supplier of each nation by (balance, name); the best definition of a word is in sc_definition."""
+    return ingest.first_of_each(table(spark, sf_dir, "supplier").select("s_nationkey", "s_name", "s_acctbal"), ["s_nationkey"], ["s_acctbal", "s_name"])
 
 
 @query("""
 SELECT o_custkey, string_agg(o_orderpriority, '; ' ORDER BY o_orderkey) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 4 GROUP BY o_custkey
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderpriority NOT LIKE '5%' AND o_orderkey % 7 <> 0) WHERE n <= 4 GROUP BY o_custkey
 """)
 def sc_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's first four priorities as one text."""
-    first = history.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], [F.col("o_orderkey")], 4)
-    rows = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("o"))
-    return rows.select("o_custkey", F.array_join(pinyin.clean_definitions(F.col("o.o_orderpriority")), "; ").alias("text"))
+    """A customer's first four priorities that are not blank and name no classifier, as one text."""
+    p = F.when(F.col("o_orderkey") % 7 == 0, "  ").when(F.col("o_orderpriority").startswith("5"), F.concat(F.lit("CL:"), "o_orderpriority")).otherwise(F.concat(F.lit(" "), "o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", p.alias("p")))).alias("o"))
+    return rows.select("o_custkey", F.array_join(pinyin.clean_definitions(F.col("o.p")), "; ").alias("text")).where("text <> ''")
 
 
 @query("""
@@ -425,10 +354,10 @@ def sc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
 def sc_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as a stream in two runs, of which the second finds nothing new."""
+    """Events read as a stream in two runs, of which the second finds nothing new."""
     scratch = Scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     for _ in range(2):
         rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
         jobs.resumable(rows, lambda r: r.select("event_id", "event_type"), f"{scratch.root}/log", f"{scratch.root}/checkpoint", key="event_id").awaitTermination()
-    return audits.status_counts(spark.read.schema("event_id long, event_type string").json(f"{scratch.root}/log"), "event_type")
+    return audits.status_counts(spark.read.option("recursiveFileLookup", True).schema("event_id long, event_type string").json(f"{scratch.root}/log"), "event_type")

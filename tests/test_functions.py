@@ -5,22 +5,22 @@ import math
 import random
 import time
 
+import cases
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, fixed, pinyin, segment
 from cadenza.functions.sandhi import sandhi_surface
-from cadenza.plans import policy
 
 
 def one(spark, rows, schema, **columns):
     return [r.asDict(True) for r in spark.createDataFrame(rows, schema).select(*[c.alias(k) for k, c in columns.items()]).collect()]
 
 
-@pytest.mark.parametrize("text, n, want", policy.SEGMENTS)
+@pytest.mark.parametrize("text, n, want", cases.SEGMENTS)
 def test_segment(text, n, want):
-    assert segment.segment(text, n, segment.ordered_vocabulary(policy.VOCABULARY)) == (want.split() or None)
+    assert segment.segment(text, n, segment.ordered_vocabulary(cases.VOCABULARY)) == (want.split() or None)
 
 
 def test_segment_rules():

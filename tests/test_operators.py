@@ -4,9 +4,11 @@ import io
 import json
 import zipfile
 
+import cases
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import pinyin
 from cadenza.operators import audits, bundle, history, ingest, selection, vocabulary
 from cadenza.plans import pipelines, policy
 from cadenza.sources import readers, schemas, sinks
@@ -153,14 +155,26 @@ def test_resolver_cases(spark):
     assert own == {"ju4": human + "jv4.mp3", "r2": None, "gai1": human + "gai1.mp3", "ma2": "p/ma2.mp3", "test3": None, "mou3": "w.mp3", "ao4": human + "ao4.mp3", "no1": human + "no1.mp3", "old1": None}
 
 
-def test_unavailable_keys_of_the_whole_policy(spark):
-    """With every reviewed key public but those that the corpus lacks, exactly the six known keys can't be played in either mode."""
+def test_what_no_review_lets_through(spark):
+    """A key without a usable recording is unavailable in both modes; one whose human recording is bad has no other but what the review names."""
     quality = spark.createDataFrame(policy.quality_rows(), policy.QUALITY)
     keys = spark.createDataFrame([(k,) for k in policy.keys()], "key string")
-    public = spark.createDataFrame([(k, k, "p") for k in policy.keys() if k not in ("rui1", "r1", "r2", "r3", "r4")], "key string, audio_path string, source string")
-    for mode in ("audio_cmn", "pinyin_public"):
-        assert {r["key"] for r in rows(selection.select_recording(keys, quality, public, mode)) if r["audio_path"] is None} == {"r1", "r2", "r3", "r4", "rang1", "rui1"}
-    assert quality.count() == 51
+    public = spark.createDataFrame(policy.public_rows(), "key string, audio_path string, source string")
+    gone = {m: {r["key"] for r in rows(selection.select_recording(keys, quality, public, m)) if r["audio_path"] is None} for m in ("audio_cmn", "pinyin_public")}
+    assert {"ba3", "ba5", "ba11", "r1", "r3"} <= gone["pinyin_public"] and "ba4" not in gone["pinyin_public"] and "ba4" in gone["audio_cmn"] and "r2" not in gone["audio_cmn"]
+
+
+def test_known_words(spark):
+    tones = spark.createDataFrame([(i, d, m) for i, (d, m, _) in enumerate(cases.TONES)], "i int, d string, m string")
+    assert [r["p"] for r in rows(tones.orderBy("i").select(pinyin.pattern(vocabulary.tones_of(F.col("d"), F.col("m"))).alias("p")))] == [t[2] for t in cases.TONES]
+    words = spark.createDataFrame([(i, "", w, t) for i, (w, t, *_) in enumerate(cases.SANDHI)], "i int, id string, word string, lexical_tones array<int>")
+    got = rows(vocabulary.with_surface(words).orderBy("i").select(pinyin.pattern(F.col("default_surface_tones")).alias("s"), F.array_join("sandhi_tags", ";").alias("t"), "surface_label_needs_clip_review"))
+    assert [(r["s"], r["t"], r["surface_label_needs_clip_review"]) for r in got] == [(s, t, not a or "ambiguous" in t) for _, _, s, t, a in cases.SANDHI]
+    own = spark.createDataFrame([("L1-0170", "妈妈", [1, 1])], "id string, word string, lexical_tones array<int>")
+    assert [(r["default_surface_tones"], r["sandhi_tags"]) for r in rows(vocabulary.with_surface(own))] == [([1, 0], ["neutral_tone"])]
+    words = spark.createDataFrame([r[:5] for r in cases.DEFINED], "id string, word string, traditional string, pinyin_syllables array<string>, lexical_tones array<int>")
+    got = {r["id"]: r["definition"] for r in rows(vocabulary.add_definitions(words, readers.dictionary_entries(spark.createDataFrame([(e,) for e in cases.ENTRIES], "value string"))))}
+    assert got == {r[0]: r[5] for r in cases.DEFINED if r[5]}
 
 
 def test_grading_and_choice(spark):
