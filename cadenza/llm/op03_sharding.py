@@ -1,10 +1,10 @@
 """Sharding by balanced label propagation (operator 3), in DataFrame operations only.
 
 Documents of equal texts are one group; two groups are linked if they share a line of ``LINE`` characters
-or more. A group of more than 1 / HOT of all rows is placed first, in as few shards as hold it, and stays.
-The others start in the shard of their hash, in proportion to the room. In each of ``ROUNDS`` rounds every line counts the
+or more. A group of more than 1 / HOT of all rows is placed first, in as few shards as hold it, and stays; its documents count for its neighbours like others.
+The others start in the shard of their hash, in proportion to the room. In each round every line counts the
 documents that it has in each shard, every group adds up the counts of its lines, and asks to move to
-the shard where most of its neighbours are. A shard admits movers by falling gain while it has room: its quota
+the shard where most of its neighbours are. Rounds end when under 1 / SETTLED of the linked groups move, or after ``ROUNDS``. A shard admits movers by falling gain while it has room: its quota
 less the large groups and the linked documents that stay. Documents without links are then spread over what room is left. Lines and groups meet by joins on their hash, never as pairs.
 
 The law is ``rows``: in the end each shard holds its exact quota. A shard's documents are ranked (large groups
@@ -23,8 +23,9 @@ from .common import Scratch, text_or_empty, utf8_size
 from .ranks import running_sum
 
 SHARDS = 8
-LINE = 30
-ROUNDS = 3
+LINE = 12
+ROUNDS = 6
+SETTLED = 100
 #: Buckets that a shard's ranks are summed by; groups of over 1 / HOT of all rows get SALTS buckets of their own.
 BUCKETS = 1024
 HOT = 1024
@@ -85,20 +86,35 @@ def place_large(groups: list[tuple[int, int]], quota: list[int]) -> tuple[list[t
     return out, room
 
 
-def propagate(links: DataFrame, groups: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
-    """g, n, label of the linked groups after ``ROUNDS`` rounds. groups: g, n (documents), label; quota: each shard's room for them."""
-    state = scratch.keep(groups, "labels_0")
-    names = [f"v{s}" for s in range(SHARDS)]
+VOTES = [f"v{s}" for s in range(SHARDS)]
+
+
+def settled_votes(links: DataFrame, pieces: DataFrame) -> DataFrame:
+    """line, and for each shard the documents that large groups have of it there. pieces: g, ends, shards of the large groups."""
+    of = links.join(F.broadcast(pieces), "g")  # under HOT rows
+    step = lambda i: F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+    share = lambda s: F.aggregate(F.transform("shards", lambda x, i: F.when(x == s, step(i)).otherwise(0)), F.lit(0), lambda a, x: a + x) / STEPS
+    return of.groupBy("line").agg(*[F.sum(F.col("w") * share(s)).alias(v) for s, v in enumerate(VOTES)])
+
+
+def wishes(links: DataFrame, state: DataFrame, settled: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """g, n, label, to (where most neighbours are, if more than here) and gain of every linked group. state: g, n, label."""
+    placed = links.join(state.select("g", "label"), "g")
+    votes = placed.select("line", *[F.when(F.col("label") == s, F.col("w")).otherwise(0).cast("double").alias(v) for s, v in enumerate(VOTES)]).unionByName(settled)
+    votes = scratch.keep(votes.groupBy("line").agg(*[F.sum(v).alias(v) for v in VOTES]), f"votes_{k}")
+    # A group's own documents on the line are no neighbours.
+    near = placed.join(votes, "line").groupBy("g").agg(*[F.sum(F.col(v) - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(VOTES)])
+    wish = state.join(near, "g").withColumn("to", _largest([F.col(v) for v in VOTES]))
+    here = reduce(lambda a, s: F.when(F.col("label") == s, F.col(VOTES[s])).otherwise(a), range(SHARDS), F.lit(0))
+    wish = wish.withColumn("gain", F.greatest(*[F.col(v) for v in VOTES]) - here)
+    return wish.select("g", "n", "label", F.when(F.col("gain") > 0, F.col("to")).otherwise(F.col("label")).alias("to"), "gain")
+
+
+def propagate(links: DataFrame, groups: DataFrame, settled: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
+    """g, n, label of the linked groups after the rounds. groups: g, n (documents), label; settled: what large groups have of each line; quota: each shard's room for the others."""
+    state, linked = scratch.keep(groups, "labels_0"), groups.count()
     for k in range(1, ROUNDS + 1):
-        placed = links.join(state.select("g", "label"), "g")
-        votes = placed.groupBy("line").agg(*[F.sum(F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(names)])
-        votes = scratch.keep(votes, f"votes_{k}")
-        # A group's own documents on the line are no neighbours.
-        near = placed.join(votes, "line").groupBy("g").agg(*[F.sum(F.col(v) - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(names)])
-        wish = state.join(near, "g").withColumn("to", _largest([F.col(v) for v in names]))
-        here = reduce(lambda a, s: F.when(F.col("label") == s, F.col(names[s])).otherwise(a), range(SHARDS), F.lit(0))
-        there = F.greatest(*[F.col(v) for v in names])
-        wish = wish.withColumn("gain", there - here).select("g", "n", "label", F.when(F.col("gain") > 0, F.col("to")).otherwise(F.col("label")).alias("to"), "gain")
+        wish = wishes(links, state, settled, scratch, k)
         step = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.greatest(F.col("gain"), F.lit(1))))).cast("int")
         wish = wish.withColumn("turn", (F.lit(GAINS - 1) - step) * SLICES + F.pmod(F.xxhash64("g", F.lit(k)), F.lit(SLICES)))
         wish = scratch.keep(wish, f"wish_{k}")
@@ -108,11 +124,14 @@ def propagate(links: DataFrame, groups: DataFrame, quota: list[int], scratch: Sc
         room = upto.join(F.broadcast(stay), F.col("to") == F.col("s"), "left").where(F.col("upto") + F.coalesce("stays", F.lit(0)) <= _each(quota, "to"))
         room = room.groupBy(F.col("to").alias("into")).agg(F.max("turn").alias("last"))  # at most SHARDS rows
         moved = wish.join(F.broadcast(room), F.col("to") == F.col("into"), "left")
-        moved = moved.select("g", "n", F.when((F.col("to") == F.col("label")) | (F.col("turn") <= F.col("last")), F.col("to")).otherwise(F.col("label")).alias("label"))
-        state = scratch.keep(moved, f"labels_{k}")
+        into = F.when((F.col("to") == F.col("label")) | (F.col("turn") <= F.col("last")), F.col("to")).otherwise(F.col("label"))
+        state = scratch.keep(moved.select("g", "n", into.alias("label"), (into != F.col("label")).alias("moved")), f"labels_{k}")
+        movers, state = state.where("moved").count(), state.drop("moved")
         scratch.drop(f"labels_{k - 1}")
         scratch.drop(f"wish_{k}")
         scratch.drop(f"votes_{k}")
+        if movers * SETTLED < linked:
+            break
     return state
 
 
@@ -136,7 +155,8 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     pieces = spark.createDataFrame([(i, g, ends, shards) for i, (g, ends, shards) in enumerate(pieces)], "own int, _l long, ends array<int>, shards array<int>")
     step = F.pmod(F.xxhash64("g", F.lit(0)), F.lit(STEPS))
     linked = links.select("g").distinct().join(groups.where(~hot), "g").select("g", "n", spread(room, step).alias("label"))
-    labels = propagate(links, linked, room, scratch)
+    settled = scratch.keep(settled_votes(links, pieces.select(F.col("_l").alias("g"), "ends", "shards")), "settled")
+    labels = propagate(links, linked, settled, room, scratch)
     taken = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most SHARDS rows
     room = [r - taken.get(s, 0) for s, r in enumerate(room)]
     labelled = groups.join(labels.select("g", "label"), "g", "left").join(F.broadcast(pieces), F.col("g") == F.col("_l"), "left")
