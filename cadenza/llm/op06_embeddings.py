@@ -6,8 +6,9 @@ table; two vectors at the threshold's angle share a bucket of one table with pro
 some table with probability ``RECALL`` at least; closer pairs do more surely. ``bits`` grows with the
 logarithm of the number of nodes, so that buckets keep their mean size.
 
-All vectors of a bucket are compared by exact cosine in double precision. A bucket of more than ``TILE``
-vectors is cut into blocks, and each pair of blocks is one task's work. A pair that meets in several
+What is dealt to the buckets is not the vectors but 128-bit sketches, of more hyperplanes: a node goes on, with its vector, only in those buckets where some sketch is
+near its own. What goes on is compared by exact cosine in double precision. A bucket of more than ``TILE``
+nodes is cut into blocks, and each pair of blocks is one task's work. A pair that meets in several
 tables is counted in the first of them alone. Each task returns a row per linked node, never pairs.
 """
 
@@ -27,7 +28,7 @@ from .groups import merge, whole_groups
 
 THRESHOLD = 0.9
 RECALL = 0.996
-BUCKET = 256
+BUCKET = 1024
 TILE = 4096
 SEED = 20_240_607
 
@@ -66,51 +67,105 @@ def _usable(vector: str) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def link(nodes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
-    """nodes: node (long), n_rows (long), vector (array<double>). Returns node, root, added: a row for each task in which a node has a link.
+def _sketches(units: np.ndarray) -> np.ndarray:
+    """128 more sides of each vector, as two words."""
+    planes = np.random.default_rng(SEED + 1).standard_normal((units.shape[1], 128))
+    return np.packbits(units @ planes > 0, axis=1, bitorder="little").view(np.uint64)
 
-    ``root`` is a node of its component, ``added`` the rows linked to it whose link is counted there.
-    """
-    bits, tables = plan(n)
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        for b in batches:
-            sizes = np.array([len(x) for x in b.column("vector")], np.int64)
-            for size in np.unique(sizes):
-                part = b.filter(pa.array(sizes == size))
-                vectors = np.asarray(part.column("vector").flatten(), np.float64).reshape(-1, size)
-                yield part, vectors, _codes(_unit(vectors), bits, tables)
+def apart(threshold: float = THRESHOLD) -> int:
+    """Sketch bits in which two vectors at the threshold may differ: the mean and five standard deviations (one such pair in 3 million differs in more)."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(128 * p + 5 * math.sqrt(128 * p * (1 - p)))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of vectors of one length."""
+    for b in batches:
+        sizes = np.array([len(x) for x in b.column("vector")], np.int64)
+        for size in np.unique(sizes):
+            part = b.filter(pa.array(sizes == size))
+            yield part, np.asarray(part.column("vector").flatten(), np.float64).reshape(-1, size)
+
+
+CELL = ["size", "bucket", "low", "high"]
+
+
+def _cells(dealt: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of a bucket with block, low, high: all zero, or for a hot bucket once for each cell (pair of blocks) that the row's block is in."""
+    dealt = dealt.join(hot, (F.col("size") == F.col("s")) & (F.col("bucket") == F.col("b")), "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("s", "b", "blocks", "other")
+
 
-    def buckets(codes: np.ndarray) -> np.ndarray:
-        return (np.arange(tables, dtype=np.int64) << np.int64(bits)) + codes
+def candidates(nodes: DataFrame, scratch: Scratch, bits: int, tables: int) -> DataFrame:
+    """size, bucket, low, high, block, node: the nodes of each cell that have a sketch near another's there. Vectors are not shuffled for it."""
+    most = apart()
+
+    def buckets(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units = _unit(vectors)
+        return (np.arange(tables, dtype=np.int64) << np.int64(bits)) + _codes(units, bits, tables), _sketches(units)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, vectors, codes in arrays(batches):
-            bucket, n = np.unique(buckets(codes), return_counts=True)
+        for _, vectors in _arrays(batches):
+            bucket, n = np.unique(buckets(vectors)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), vectors.shape[1], np.int32)), pa.array(bucket), pa.array(n)], names=["size", "bucket", "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, vectors, codes in arrays(batches):
-            raw = pa.array([_pack(x) for x in vectors], pa.binary())
-            own = pa.array([x.tobytes() for x in codes], pa.binary())
-            size, bucket = pa.array(np.full(len(codes), vectors.shape[1], np.int32)), buckets(codes)
+        for part, vectors in _arrays(batches):
+            bucket, sketch = buckets(vectors)
+            size, words = pa.array(np.full(len(vectors), vectors.shape[1], np.int32)), [pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in (0, 1)]
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([size, pa.array(bucket[:, t]), part.column("node"), part.column("n_rows"), raw, own], names=["size", "bucket", "node", "n_rows", "raw", "codes"])
+                yield pa.RecordBatch.from_arrays([size, pa.array(bucket[:, t]), part.column("node"), *words], names=["size", "bucket", "node", "s0", "s1"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in whole_groups(batches, CELL):
+            block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
+            sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")])
+            met = np.zeros(table.num_rows, bool)
+            for a, z in zip(begins.tolist(), np.append(begins[1:], table.num_rows).tolist(), strict=True):
+                for s in range(a, z, 256):
+                    e = min(z, s + 256)
+                    differ = sum(np.bitwise_count(w[s:e, None] ^ w[None, a:z]) for w in sketch) <= most
+                    differ[np.arange(e - s), np.arange(s - a, e - a)] = False
+                    if low[a] != high[a]:
+                        differ &= block[s:e, None] != block[None, a:z]
+                    met[s:e] |= differ.any(axis=1)
+            out = table.select([*CELL, "block", "node"]).filter(pa.array(met))
+            yield from out.combine_chunks().to_batches()
+
+    vectors = nodes.select("node", "vector")
+    hot = vectors.mapInArrow(count, "size int, bucket long, n long").groupBy("size", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
+    hot = scratch.keep(hot.select(F.col("size").alias("s"), F.col("bucket").alias("b"), F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "hot")
+    dealt = _cells(vectors.mapInArrow(emit, "size int, bucket long, node long, s0 long, s1 long"), hot).select(*CELL, "block", "node", "s0", "s1")
+    found = dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(near, "size int, bucket long, low int, high int, block int, node long")
+    return scratch.keep(found, "candidates")
+
+
+def link(nodes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """nodes: node (long), n_rows (long), vector (array<double>). Returns node, root, added: a row for each task in which a node has a link.
+
+    ``root`` is a node of its component, ``added`` the rows linked to it whose link is counted there.
+    """
+    bits, tables = plan(n)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, vectors in _arrays(batches):
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_rows"), pa.array([_pack(x) for x in vectors], pa.binary())], names=["_node", "n_rows", "raw"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["size", "bucket", "low", "high"]):
+        for table, begins in whole_groups(batches, CELL):
             node, n_rows = table.column("node").to_numpy(), table.column("n_rows").to_numpy()
             block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
             first = table.column("bucket").to_numpy() >> bits
             raws, sizes = table.column("raw").combine_chunks(), table.column("size").to_numpy()
-            codes = table.column("codes").combine_chunks()
-            ends = np.append(begins[1:], len(node))
             label, added = np.arange(len(node)), np.zeros(len(node), np.int64)
-            for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
+            for a, z in zip(begins.tolist(), np.append(begins[1:], len(node)).tolist(), strict=True):
                 if z - a < 2:
                     continue
                 x = _unit(np.stack([_unpack(v.as_py(), sizes[a]) for v in raws[a:z]]))
-                c = np.frombuffer(b"".join(codes[a:z].to_pylist()), np.int32).reshape(z - a, -1)[:, : int(first[a])]
+                c = _codes(x, bits, tables)[:, : int(first[a])]
                 across = low[a] != high[a]
                 for s in range(0, z - a, 512):
                     i, j = np.nonzero(x[s : s + 512] @ x.T >= THRESHOLD)
@@ -125,19 +180,9 @@ def link(nodes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
             linked = np.flatnonzero((label != np.arange(len(node))) | (added > 0))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]]), pa.array(added[linked])], names=["node", "root", "added"])
 
-    vectors = nodes.select("node", "n_rows", "vector")
-    dealt = vectors.mapInArrow(emit, "size int, bucket long, node long, n_rows long, raw binary, codes binary")
-    sizes = vectors.mapInArrow(count, "size int, bucket long, n long").groupBy("size", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
-    sizes = scratch.keep(sizes.select(F.col("size").alias("s"), F.col("bucket").alias("b"), F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "hot")
-    if sizes.limit(1).count():
-        dealt = dealt.join(sizes, (F.col("size") == F.col("s")) & (F.col("bucket") == F.col("b")), "left")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("s", "b", "blocks", "other")
-    else:
-        dealt = dealt.withColumns({k: F.lit(0) for k in ("block", "low", "high")})
-    keys = ["size", "bucket", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, root long, added long")
+    packed = nodes.select("node", "n_rows", "vector").mapInArrow(pack, "_node long, n_rows long, raw binary")
+    rows = candidates(nodes, scratch, bits, tables).join(packed, F.col("node") == F.col("_node")).drop("_node")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(compare, "node long, root long, added long")
 
 
 def near_duplicates(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
