@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     of = connected_components(link_codes(nodes.select(F.lit(0).alias("kind"), "code"), scratch).select("src", "dst"), scratch)
     known = nodes.join(of, nodes["code"] == of["node"], "left").select("code", "least", F.coalesce("component", "code").alias("root"))
     known = scratch.keep(known, "known", narrow=True)
-    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = scratch.keep(known.groupBy("root").agg(F.min("least").alias("component_id")), "roots", narrow=True)
     known = known.join(roots, "root").select(F.col("code").alias("_code"), "component_id")
     out = rows.join(known, F.col("code") == F.col("_code"))
     return out.select(doc_id, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
@@ -454,6 +454,7 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     rows = scratch.keep(rows.join(known, "node").select("id", "key", "root"), "rooted", narrow=True)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     roots = rows.groupBy("root").agg(first).select("root", F.col("first.id").alias("component_id"), F.col("first.key").alias("kept"))
+    roots = scratch.keep(roots, "roots", narrow=True)
     return rows.join(roots, "root").select(F.col("id").alias(doc_id), "component_id", "key", "kept")
 
 
