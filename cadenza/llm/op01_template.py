@@ -78,13 +78,13 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(found: DataFrame) -> DataFrame:
+def templates(found: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per host: its valid classes, each as (support, single: once a page, tokens in order). A host has at most 1 / SUPPORT times a page's tokens.
 
     Equal pages of a host count once.
     """
     found = found.select("host", "page", "tokens", "counts").dropDuplicates(["host", "page"])
-    pages = found.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    pages = scratch.keep(found.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES), "pages")
     each = found.select("host", "page", F.posexplode(F.arrays_zip("tokens", "counts")).alias("place", "t"))
     each = each.select("host", "page", "place", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
     vectors = each.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.sum("n").alias("times"))
@@ -267,7 +267,7 @@ def extract(df: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str
     an empty one, and other columns, whatever their names, are not read.
     """
     found = scratch.keep(roles(df, url, html), "roles")
-    made = scratch.keep(templates(found), "templates")
+    made = scratch.keep(templates(found, scratch), "templates")
     held = scratch.keep(slots(found, made), "slots")
     made = made.join(held.select(F.col("host").alias("_s"), "nodes"), F.col("host") == F.col("_s"), "left").select(F.col("host").alias("_host"), "classes", "nodes")
     made = scratch.keep(made, "made")

@@ -145,7 +145,7 @@ def test_equivalence_classes_against_vectors(spark):
     pages = [f"<html><body><div class=a>x{i}</div>" + "<p>r</p>" * (i % 3) + ("<div class=b>y</div>" if i % 2 else "") + "</body></html>" for i in range(12)]
     df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     found = op01_template.roles(df, "url", "html")
-    got = {frozenset(c["members"]) for r in op01_template.templates(found).collect() for c in r["classes"]}
+    got = {frozenset(c["members"]) for r in op01_template.templates(found, Scratch(spark, "t")).collect() for c in r["classes"]}
     vectors = {}
     for i, p in enumerate(pages):
         for token, n in Counter(op01_template.tokens_of(html.read(p))).items():
@@ -223,6 +223,36 @@ def test_sharding_keeps_families_and_splits_hot_groups(spark):
     assert len({shard[i] for i in range(300)}) <= 5
 
 
+def test_sharding_draws_neighbours_to_copies(spark):
+    """Groups of copies stay where they are put, and those that share a line with them come to them."""
+    texts = [f"a line that family {f} shares\ncopy" for f in range(12) for _ in range(6)] + [f"a line that family {f} shares\nown {f} {i}" for f in range(12) for i in range(5)] + [f"alone {i}" for i in range(400)]
+    got = rows(op03_sharding.shard(documents(spark, texts, False), Scratch(spark, "t")))
+    check_shards(got, len(texts))
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    assert all(len({shard[f * 6 + i] for i in range(6)}) == 1 for f in range(12))
+    near = sum(shard[72 + f * 5 + i] == shard[f * 6] for f in range(12) for i in range(5))
+    assert near >= 50  # of 60; at random an eighth
+
+
+def test_sharding_wishes_against_brute_force(spark):
+    rng = random.Random(3)
+    links = sorted({(rng.randrange(40), rng.randrange(25)): rng.randint(1, 3) for _ in range(160)}.items())
+    label = {g: rng.randrange(8) for g in range(30)}  # 30 to 39 are large
+    large = {g: ([4000, 10_000], [g % 8, (g + 3) % 8]) for g in range(30, 40)}
+    frame = spark.createDataFrame([(g, x, w) for (g, x), w in links], "g long, line long, w long")
+    pieces = spark.createDataFrame([(g, e, t) for g, (e, t) in large.items()], "g long, ends array<int>, shards array<int>")
+    state = spark.createDataFrame([(g, 1, s) for g, s in label.items()], "g long, n long, label int")
+    scratch = Scratch(spark, "t")
+    settled = scratch.keep(op03_sharding.settled_votes(frame, pieces), "settled")
+    got = {r["g"]: (r["to"], round(r["gain"], 6)) for r in rows(op03_sharding.wishes(frame, state, settled, scratch, 1))}
+    at = lambda g, s: float(label[g] == s) if g < 30 else sum(x for x, t in zip((0.4, 0.6), large[g][1], strict=True) if t == s)
+    for g in {g for (g, _), _ in links if g < 30}:
+        votes = [sum(w * at(h, s) for (h, x), w in links if h != g and ((g, x), dict(links).get((g, x))) in links) for s in range(8)]
+        gain = max(votes) - votes[label[g]]
+        assert got[g] == (votes.index(max(votes)) if gain > 1e-9 else label[g], round(gain, 6))
+
+
+
 # 4: quality
 
 
