@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_remainder
@@ -25,8 +25,9 @@ WIDTH = 6
 FILTERS = 12
 EMBED = 8
 CHUNK = 256
-#: Labelled texts of each class that training takes at most: those of the smallest hash of their id.
+#: Labelled texts of each class that training takes at most: those of the smallest hash of their id; their bytes together, and those of one text.
 SAMPLE = 1200
+SAMPLE_BYTES, LONGEST = 64_000_000, 4_000_000
 #: Chunks that one training step takes from a text, at random over the whole of it.
 DRAWN = 6
 EPOCHS = 12
@@ -157,8 +158,13 @@ def _refit(net: Net, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> N
 
 
 def sample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep_out: bool = True) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels to learn from: ``SAMPLE`` of each class at most, none of the held-out rows."""
-    ok = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+    """Whole texts and labels to learn from: ``SAMPLE`` of each class at most, of ``SAMPLE_BYTES`` at most, none of the held-out rows.
+
+    Null labels and ids, labels that contradict each other or have no document, and texts over ``LONGEST`` bytes teach nothing. Null texts count as
+    empty; of the texts of one id the smallest is taken. The driver holds this sample and no more.
+    """
+    ids = df.select(F.col(doc_id).alias("_doc"))
+    ok = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).join(ids, F.col(doc_id) == F.col("_doc"), "left_semi")
     if keep_out:
         ok = ok.where(id_remainder(doc_id, FOLDS) != 0)
     ok = ok.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -166,7 +172,9 @@ def sample(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = draw[0].union(draw[1]).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
     few = F.broadcast(chosen)  # at most 2 SAMPLE rows
     rows = df.select(F.col(doc_id).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(few, F.col("_d") == F.col("_id"))
-    got = rows.groupBy("_id").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y")).orderBy("_y", F.xxhash64("_id"), "_id").collect()
+    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y")).withColumn("_n", F.octet_length("_t")).where(F.col("_n") <= LONGEST)
+    upto = F.sum("_n").over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))  # SAMPLE rows a class
+    got = rows.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES).orderBy("_y", F.xxhash64("_id"), "_id").collect()
     return [r["_t"].encode() for r in got], [r["_y"] for r in got]
 
 

@@ -156,8 +156,9 @@ def write(df: DataFrame, scratch: Scratch, tokenizer_path: str, pattern: str, en
     The rows are dealt by ranges of doc_id and sorted within a part; each part is cut into segments of
     about ``SEGMENT_IDS`` ids, each a row (part, sequence) of a Parquet
     table in the shared folder, with the number of the part's ids before it. Null
-    texts count as empty; null ids come first; rows with one doc_id are ordered by their text. A task holds
-    one segment's ids.
+    texts count as empty; null ids come first; rows with one doc_id are ordered by their text, equal rows stay. A task holds
+    one segment's ids, and at least those of one document: a very long text is one segment. An empty table writes none. Other columns, whatever their
+    names, are not read.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -196,7 +197,7 @@ def read(segments: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row per document from the written segments: doc_id, start (ids before it), n_tokens, ids_crc32.
 
     A segment knows the ids before it in its part; those of earlier parts are summed from a row per part,
-    of which there are at most as many as the partitions of the write, and broadcast.
+    of which there are at most as many as the partitions of the write, and broadcast. No segments give no rows.
     """
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("_all"))
     parts = parts.select("part", F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_parts"))

@@ -209,9 +209,9 @@ def near_duplicates(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", tex
     return out.select(doc_id, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _node(text: str) -> int:
+def _node(text: str, seed: int = 0) -> int:
     """A text's identity: the hash of its lower-cased words."""
-    return xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split())) - (1 << 63)
+    return xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), seed) - (1 << 63)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -220,19 +220,20 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def profiles(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, key, node, code (the fingerprint) of every whole text."""
+    """id, key, node, check (a second hash of what node is a hash of), code (the fingerprint) of every whole text."""
     id_kind = df.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, codes = [], []
+            nodes, checks, codes = [], [], []
             for x in b.column(2):
                 t = x.as_py() or ""
                 nodes.append(_node(t))
+                checks.append(_node(t, 1))
                 codes.append(majority([shingle_hashes(t)]).view(np.int64)[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(codes, pa.int64())], names=["id", "key", "node", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(codes, pa.int64())], names=["id", "key", "node", "check", "code"])
 
-    return df.select(doc_id, row_key(doc_id, text).alias("key"), text).mapInArrow(run, f"id {id_kind}, key long, node long, code long")
+    return df.select(doc_id, row_key(doc_id, text).alias("key"), text).mapInArrow(run, f"id {id_kind}, key long, node long, check long, code long")
 
 
 def _by_code(nodes: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
@@ -429,7 +430,7 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     texts, repeats and empty tables give the same.
     """
     rows = scratch.keep(profiles(df, doc_id, text), "profiles")
-    grouped = rows.groupBy("node").agg(F.min("key").alias("key"), F.min("code").alias("code"))
+    grouped = rows.groupBy("node").agg(F.min("key").alias("key"), F.min("code").alias("code"), (F.min("check") != F.max("check")).alias("clash"))
     nodes = scratch.keep(grouped, "texts")
     alone = scratch.keep(_alone(df, text, similarity, words), "alone", narrow=True)
     left = scratch.keep(nodes.join(alone, "node", "left_anti").select("node", "key"), "left", narrow=True)
@@ -450,8 +451,10 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     parts = scratch.keep(parts, "parts", narrow=True)
     edges = scratch.keep(_within_parts(sets, parts, similarity, scratch).union(_by_code(nodes, LIMIT, scratch)), "edges")
     of = connected_components(edges, scratch, name="cc2").withColumnRenamed("node", "of")
-    known = scratch.keep(nodes.select("node").join(of, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "node").alias("root")), "known", narrow=True)
-    rows = scratch.keep(rows.join(known, "node").select("id", "key", "root"), "rooted", narrow=True)
+    known = nodes.select("node", "clash").join(of, F.col("node") == F.col("of"), "left").select("node", "clash", F.coalesce("component", "node").alias("root"))
+    known = scratch.keep(known, "known", narrow=True)
+    # Rows of unlike texts whose hashes are equal are their own components: none goes for what it isn't.
+    rows = scratch.keep(rows.join(known, "node").select("id", "key", F.when(F.col("clash"), F.col("key")).otherwise(F.col("root")).alias("root")), "rooted", narrow=True)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     roots = rows.groupBy("root").agg(first).select("root", F.col("first.id").alias("component_id"), F.col("first.key").alias("kept"))
     roots = scratch.keep(roots, "roots", narrow=True)
@@ -472,7 +475,8 @@ def keep_first(df: DataFrame, found: DataFrame, scratch: Scratch, doc_id: str =
         if many.limit(1).count():
             names = [F.col(f"`{c}`") for c in df.columns]
             many = small_or_hashed(many)
-            one = rows.join(many, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*")
+            # By id and text too: rows that only share a hash all stay.
+            one = rows.join(many, "__key", "left_semi").groupBy("__key", F.col(doc_id).alias("__id"), F.col(text).alias("__text")).agg(F.min(F.struct(*names)).alias("__row")).select("__row.*")
             return rows.join(many, "__key", "left_anti").select(*names).union(one)
         return rows.select(*df.columns)
     stays = F.col(doc_id).eqNullSafe(F.col("component_id"))

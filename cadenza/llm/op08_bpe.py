@@ -65,7 +65,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", into:
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with ids and bytes never leaving the worker.
 
-    A null or empty text has no tokens and the digests of nothing. One pass over Arrow batches.
+    A null or empty text has no tokens and the digests of nothing. Repeated rows and null doc_ids stay, an empty table gives an empty one, and other
+    columns, whatever their names, are not read. A very long text goes through in runs of its pieces. One pass over Arrow batches.
     """
     key = df.select(doc_id).schema[0]
 
