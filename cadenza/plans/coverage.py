@@ -45,20 +45,22 @@ def _map(name: str, items: dict) -> str:
 
 
 @query(f"""
-WITH {_map('tones', fixed.TONE_OVERRIDES)}, {_map('pins', fixed.PINYIN_OVERRIDES)},
+WITH {_map('tones', fixed.TONE_OVERRIDES)}, {_map('pins', fixed.PINYIN_OVERRIDES)}, {_map('surfaces', fixed.SURFACE_OVERRIDES)},
 s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'P' || p_partkey ELSE {listed(_IDS)}[CAST(p_partkey % {len(_IDS)} AS INTEGER) + 1] END AS id, {listed(_BRACKETS)}[CAST(p_size % {len(_BRACKETS)} AS INTEGER) + 1] AS d,
              trim(string_split({listed(_MARKED)}[CAST(p_partkey % {len(_MARKED)} AS INTEGER) + 1], '|')[1]) AS own, trim(string_split(p_name || ' | other', '|')[1]) AS word FROM part),
 p AS (SELECT s.*, coalesce(pins.v, own) AS pin FROM s LEFT JOIN pins ON pins.id = s.id),
 t AS ({_TONES_SQL} FROM p),
 u AS (SELECT t.*, coalesce(tones.v, CASE WHEN len(digits) > 0 THEN list_transform(digits, lambda x: CAST(x AS INTEGER) % 5) ELSE {_ACCENT_SQL} END) AS found FROM t LEFT JOIN tones ON tones.id = t.id)
-SELECT k, id, word, pin AS pinyin, coalesce(array_to_string(list_transform(found, lambda x: CASE WHEN x = 0 THEN 'N' ELSE CAST(x AS VARCHAR) END), '-'), '') AS lexical_pattern FROM u
+SELECT k, id, word, pin AS pinyin, coalesce(array_to_string(list_transform(found, lambda x: CASE WHEN x = 0 THEN 'N' ELSE CAST(x AS VARCHAR) END), '-'), '') AS lexical_pattern,
+  array_to_string(list_transform(surfaces.v, lambda x: CASE WHEN x = 0 THEN 'N' ELSE CAST(x AS VARCHAR) END), '-') || '/neutral_tone' AS overridden FROM u LEFT JOIN surfaces USING (id)
 """)
 def sc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source rows to words, with overrides by id and tones of brackets or marks."""
+    """Source rows to words, with overrides of tones, pinyin and surface by id, and tones of brackets or marks."""
     parts = table(spark, sf_dir, PARTS)
     ids = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).otherwise(pick(_IDS, F.col("p_partkey") % len(_IDS)))
     source = parts.select(ids.alias("ID"), F.concat("p_name", F.lit(" | other")).alias("Simplified"), F.lit("").alias("Traditional"), pick(_MARKED, F.col("p_partkey") % len(_MARKED)).alias("Pinyin"), F.col("p_partkey").cast("string").alias("POS"), F.lit("1").alias("Level"), pick(_BRACKETS, F.col("p_size") % len(_BRACKETS)).alias("CEDICT"))
-    return vocabulary.build_words(source).select(F.col("pos").cast("long").alias("k"), "id", "word", "pinyin", "lexical_pattern")
+    overridden = F.when(F.col("id").isin(*fixed.SURFACE_OVERRIDES), F.concat("default_surface_pattern", F.lit("/"), F.array_join("sandhi_tags", ";")))
+    return vocabulary.build_words(source).select(F.col("pos").cast("long").alias("k"), "id", "word", "pinyin", "lexical_pattern", overridden.alias("overridden"))
 
 
 _CHARS = ["不", "一", "第", "好", "人"]
@@ -476,6 +478,30 @@ def sc_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_sentences(spark, path).select("client_id", "sentence", "accents", "accent")
 
 
+@query("SELECT 's' || p_partkey AS simplified, 't' || p_size AS traditional, 'nv' || (p_size % 5 + 1) || CASE WHEN p_size % 2 = 0 THEN ' a1' ELSE '' END AS reading, p_name || '|' || p_type AS definitions FROM part WHERE p_partkey % 10 <> 0")
+def sc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a compressed text dictionary, with comments and lines of another form."""
+    path = f"{Scratch(spark, 'dictionary').root}/out"
+    k, n = F.col("p_partkey"), F.col("p_size")
+    entry = F.concat(F.lit("t"), n.cast("string"), F.lit(" s"), k.cast("string"), F.lit(" ["), F.when(n % 3 == 0, "nu:").otherwise("Nü"), (n % 5 + 1).cast("string"), F.when(n % 2 == 0, " A1 b").otherwise(""), F.lit("] /"), "p_name", F.lit("/"), "p_type", F.lit("/"))
+    line = F.when(k % 20 == 0, F.concat(F.lit("# "), entry)).when(k % 10 == 0, F.concat(F.lit("no "), "p_name")).otherwise(entry)
+    table(spark, sf_dir, PARTS).select(line.alias("value")).write.option("compression", "gzip").text(path)
+    return readers.read_dictionary(spark, path).select("simplified", "traditional", F.array_join("reading", " ").alias("reading"), F.array_join("definitions", "|").alias("definitions"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT left(p_name, 1) FROM part), c AS (SELECT conv_id, turn, role, text FROM conversations)
+SELECT word, 'clips/' || CASE WHEN turn % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS audio_path, 'c' || conv_id || '/' || turn AS speaker, CASE WHEN turn % 3 = 0 THEN 'own' ELSE role END AS accent FROM c JOIN w ON contains(text, word) WHERE word <> ''
+""")
+def sc_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the words that they contain, words of one character among them."""
+    t = F.col("turn")
+    talk = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), t.cast("string")).alias("client_id"), F.when(t % 2 == 0, F.col("conv_id").cast("string")).alias("path"), F.col("text").alias("sentence"), *[F.lit("").alias(c) for c in ("age", "gender", "locale")], F.when(t % 3 == 0, "own").otherwise("").alias("accents"), F.col("role").alias("accent"))
+    parts = table(spark, sf_dir, PARTS)
+    words = parts.select(F.explode(F.split("p_name", " ")).alias("word")).union(parts.select(F.substring("p_name", 1, 2))).union(parts.select(F.substring("p_name", 1, 1)))
+    return ingest.context_clips(talk, words, "clips").select("word", "audio_path", "speaker", "accent")
+
+
 @query("SELECT s_name AS word, s_nationkey % 2 = 0 AS quiz_eligible, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'p' || s_suppkey END AS audio_path FROM supplier")
 def sc_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON array in one file, written and read again."""
