@@ -71,7 +71,7 @@ def budgets(leaves: DataFrame, share: float, epochs: int, domain_weights: dict[s
     own = leaves.join(langs.select("domain", "lang", F.col("given").alias("amount")), ["domain", "lang"])
     own = fill(own.withColumn("weight", F.lit(1.0)), ["domain", "lang"], "source")
     own = own.withColumn("budget", F.floor(F.col("given") + 1e-6).cast("long"))
-    whole = F.expr("budget div supply")
+    whole = F.expr("budget div greatest(supply, 1)")
     return own.select(*LEAF, "supply", "budget", whole.alias("passes"), (F.col("budget") - whole * F.col("supply")).alias("rest"))
 
 
@@ -97,15 +97,16 @@ def plan(rows: DataFrame, scratch: Scratch, share: float, epochs: int, seed: int
     return scratch.keep(leaves.join(cuts, LEAF, "left"), "plan")
 
 
-def mix(df: DataFrame, scratch: Scratch, share: float = 0.8, epochs: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_weights: dict[str, int] | None = None, lang_weights: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
+def mix(df: DataFrame, scratch: Scratch, share: float = 0.8, epochs: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain_weights: dict[str, int] | None = None, lang_weights: dict[str, int] | None = None, keep: list[str] | None = None, count: str | None = None) -> DataFrame:
     """The rows of ``df`` that the mix takes, once for each pass: columns ``keep`` (all by default), then __domain, __epoch, __tokens.
 
-    The budget is ``share`` of all tokens. Null languages and sources are leaves of their own (named ''); a null text has one
+    The budget is ``share`` of all tokens. ``count`` is a column with each row's tokens (null: none), for instance from one of the tokenizers; without it they
+    are reckoned by ``tokens``. Null languages and sources are leaves of their own (named ''); a null text has one
     token; rows that repeat a doc_id are taken or left together; an empty table gives an empty one. No leaf gets more than
     ``epochs`` passes; what the tree can't hold is not handed out.
     """
     dw, lw = DOMAIN_WEIGHTS if domain_weights is None else domain_weights, LANG_WEIGHTS if lang_weights is None else lang_weights
-    leaf = {"__domain": domain(F.col(source)), "__lang": F.coalesce(F.col(lang), F.lit("")), "__source": F.coalesce(F.col(source), F.lit("")), "__tokens": tokens(text)}
+    leaf = {"__domain": domain(F.col(source)), "__lang": F.coalesce(F.col(lang), F.lit("")), "__source": F.coalesce(F.col(source), F.lit("")), "__tokens": tokens(text) if count is None else F.coalesce(F.col(count).cast("long"), F.lit(0))}
     marked = df.withColumns(leaf)
     rows = scratch.keep(marked.select(F.col(doc_id).alias("id"), *[F.col(f"__{c}").alias(c) for c in (*LEAF, "tokens")]), "rows")
     made = plan(rows, scratch, share, epochs, seed, dw, lw)

@@ -57,7 +57,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed = op09_mixing.mix(docs, Scratch(spark, "op9"), keep=["doc_id", "lang", "source"])
-    return mixed.select("doc_id", mixed["__domain"].alias("domain"), "lang", "source", mixed["__epoch"].alias("epoch"), mixed["__tokens"].alias("n_tokens"))
+    return mixed.select("doc_id", mixed["__domain"].alias("domain"), "lang", "source", mixed["__epoch"].alias("epoch"), mixed["__tokens"].alias("reckoned_tokens"))
 
 
 def op10_pst_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ WITH docs AS (
   SELECT docs.*, passes, rest, md5('1|' || passes || '|' || coalesce(doc_id::VARCHAR, '')) AS key FROM docs JOIN plan USING (domain, l, s)
 ), summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed
 ), copies AS (SELECT *, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS times FROM summed)
-SELECT doc_id, domain, lang, source, unnest(range(times))::INTEGER AS epoch, n_tokens FROM copies WHERE times > 0
+SELECT doc_id, domain, lang, source, unnest(range(times))::INTEGER AS epoch, n_tokens AS reckoned_tokens FROM copies WHERE times > 0
 """
 
 ORACLE_SQL: dict[str, str] = {"op6_embeddings": OP6_SQL, "op9_mixing": OP9_SQL}
