@@ -6,7 +6,7 @@ table; two vectors at the threshold's angle share a bucket of one table with pro
 some table with probability ``RECALL`` at least; closer pairs do more surely. ``bits`` grows with the
 logarithm of the number of nodes, so that buckets keep their mean size.
 
-What is dealt to the buckets is not the vectors but 128-bit sketches, of more hyperplanes: a node goes on, with its vector, only in those buckets where some sketch is
+What is dealt to the buckets is not the vectors but sketches of 256 bits, of more hyperplanes: a node goes on, with its vector, only in those buckets where some sketch is
 near its own. What goes on is compared by exact cosine in double precision. A bucket of more than ``TILE``
 nodes is cut into blocks, and each pair of blocks is one task's work. A pair that meets in several
 tables is counted in the first of them alone. Each task returns a row per linked node, never pairs.
@@ -31,6 +31,8 @@ RECALL = 0.996
 BUCKET = 1024
 TILE = 4096
 SEED = 20_240_607
+#: Words of 64 bits of a sketch, and standard deviations by which sketches of linked vectors may differ beyond the mean.
+WORDS, SPREAD = 4, 4.5
 
 
 def plan(nodes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -68,15 +70,15 @@ def _usable(vector: str) -> Column:
 
 
 def _sketches(units: np.ndarray) -> np.ndarray:
-    """128 more sides of each vector, as two words."""
-    planes = np.random.default_rng(SEED + 1).standard_normal((units.shape[1], 128))
+    """More sides of each vector, as words."""
+    planes = np.random.default_rng(SEED + 1).standard_normal((units.shape[1], 64 * WORDS))
     return np.packbits(units @ planes > 0, axis=1, bitorder="little").view(np.uint64)
 
 
 def apart(threshold: float = THRESHOLD) -> int:
-    """Sketch bits in which two vectors at the threshold may differ: the mean and five standard deviations (one such pair in 3 million differs in more)."""
-    p = math.acos(threshold) / math.pi
-    return math.ceil(128 * p + 5 * math.sqrt(128 * p * (1 - p)))
+    """Sketch bits in which two vectors at the threshold may differ: the mean and SPREAD standard deviations (one such pair in 300,000 differs in more)."""
+    p, n = math.acos(threshold) / math.pi, 64 * WORDS
+    return math.ceil(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -101,7 +103,7 @@ def _cells(dealt: DataFrame, hot: DataFrame) -> DataFrame:
 
 def candidates(nodes: DataFrame, scratch: Scratch, bits: int, tables: int) -> DataFrame:
     """size, bucket, low, high, block, node: the nodes of each cell that have a sketch near another's there. Vectors are not shuffled for it."""
-    most = apart()
+    most, names = apart(), [f"s{i}" for i in range(WORDS)]
 
     def buckets(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         units = _unit(vectors)
@@ -115,14 +117,14 @@ def candidates(nodes: DataFrame, scratch: Scratch, bits: int, tables: int) -> Da
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, vectors in _arrays(batches):
             bucket, sketch = buckets(vectors)
-            size, words = pa.array(np.full(len(vectors), vectors.shape[1], np.int32)), [pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in (0, 1)]
+            size, words = pa.array(np.full(len(vectors), vectors.shape[1], np.int32)), [pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(WORDS)]
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([size, pa.array(bucket[:, t]), part.column("node"), *words], names=["size", "bucket", "node", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([size, pa.array(bucket[:, t]), part.column("node"), *words], names=["size", "bucket", "node", *names])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in whole_groups(batches, CELL):
             block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-            sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")])
+            sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names])
             met = np.zeros(table.num_rows, bool)
             for a, z in zip(begins.tolist(), np.append(begins[1:], table.num_rows).tolist(), strict=True):
                 for s in range(a, z, 256):
@@ -138,7 +140,7 @@ def candidates(nodes: DataFrame, scratch: Scratch, bits: int, tables: int) -> Da
     vectors = nodes.select("node", "vector")
     hot = vectors.mapInArrow(count, "size int, bucket long, n long").groupBy("size", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
     hot = scratch.keep(hot.select(F.col("size").alias("s"), F.col("bucket").alias("b"), F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "hot")
-    dealt = _cells(vectors.mapInArrow(emit, "size int, bucket long, node long, s0 long, s1 long"), hot).select(*CELL, "block", "node", "s0", "s1")
+    dealt = _cells(vectors.mapInArrow(emit, f"size int, bucket long, node long, {', '.join(f'{x} long' for x in names)}"), hot).select(*CELL, "block", "node", *names)
     found = dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(near, "size int, bucket long, low int, high int, block int, node long")
     return scratch.keep(found, "candidates")
 

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from helpers import TEXTS, documents, empty
+from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, html, op01_template, op02_mpeg, op03_sharding, op04_quality, op05_dac, op06_embeddings, op07_simhash, op08_bpe, op09_mixing, op10_pst
 from cadenza.llm.common import Scratch
@@ -368,6 +369,8 @@ def test_embeddings_brute_force(spark):
     assert exact >= 147
     assert all(by[1000 + i]["n_links"] == 0 and by[1000 + i]["kept"] for i in range(7))
     assert by[None]["component_id"] == by[0]["component_id"]
+    clash = df.selectExpr("*", "1 node", "2 n_rows", "'x' size", "'y' bucket", "3 vec", "4 vector", "5 component_id")
+    assert sorted(map(str, rows(op06_embeddings.near_duplicates(clash, Scratch(spark, "t"))))) == sorted(map(str, got))
     assert op06_embeddings.near_duplicates(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
@@ -647,6 +650,10 @@ def test_mixing_odd_rows(spark):
     out = op09_mixing.mix(df, Scratch(spark, "t"), share=0.5, epochs=1)
     assert out.columns == [*df.columns, "__domain", "__epoch", "__tokens"] and out.count() <= df.count()
     assert op09_mixing.mix(empty(spark), Scratch(spark, "t")).count() == 0
+    own = df.withColumn("size", F.expr("octet_length(coalesce(text, '')) div 4 + 1"))
+    counted = op09_mixing.mix(own, Scratch(spark, "t"), share=0.5, epochs=1, count="size")
+    assert sorted(str(r["doc_id"]) for r in rows(counted)) == sorted(str(r["doc_id"]) for r in rows(out))
+    assert op09_mixing.mix(own.withColumn("size", F.lit(None).cast("long")), Scratch(spark, "t"), count="size").count() == 0
 
 
 # 10: language model
