@@ -12,8 +12,8 @@ host's template, below the nearest such element around it, and the region of a n
 slot. Blocks of text that valid classes hold on ``CONSTANT`` of the pages are part of the template, in whatever slot they stand.
 The slots' texts, added up over all pages of the host, decide which slots are the article: from the root down, the node that holds ``MAIN``
 of what its parent holds, as far as there is one, with the headings beside it. What its slots hold is a page's text. Elements that are no text by the rules of
-HTML (navigation, forms, scripts and the like) are never in a slot. Nodes below the article that are lists of links, and elements whose class or id names
-what stands around an article, are left out where they are the smaller part of it.
+HTML (navigation, forms, scripts and the like) are never in a slot. Nodes below the article that are lists of links are left out, and so are elements whose class or id names
+what stands around an article (readers' comments may well be longer than it), unless nothing else has a text.
 
 Pages of hosts without a template, or without the article's node, are read by their elements alone: what an article or main element
 holds, else all blocks but those that the same rules leave out.
@@ -194,8 +194,9 @@ def choose(nodes: list[dict] | None) -> Article:
         todo += [n["node"] for n in below.get(at, [])]
     own = {0: (0, 0)} | {n["node"]: (n["chars"], n["links"]) for n in nodes or []}
     total: dict[int, tuple[int, int]] = {}
+    named = {n["node"] for n in nodes or [] if n["mark"] == NAMED}
     for at in reversed(order):
-        more = [total[n["node"]] for n in below.get(at, [])]
+        more = [total[n["node"]] for n in below.get(at, []) if n["node"] not in named]
         total[at] = own[at][0] + sum(m[0] for m in more), own[at][1] + sum(m[1] for m in more)
     whole = total[0][0]
     if not whole:
@@ -203,7 +204,7 @@ def choose(nodes: list[dict] | None) -> Article:
     path: list[dict] = []
     at, holds = 0, whole
     while True:
-        best = max(below.get(at, []), key=lambda n: (total[n["node"]][0], n["node"]), default=None)
+        best = max((n for n in below.get(at, []) if n["node"] not in named), key=lambda n: (total[n["node"]][0], n["node"]), default=None)
         if best is None or total[best["node"]][0] < MAIN * holds or path and path[-1]["mark"] == ARTICLE:
             break
         path.append(best)
@@ -217,7 +218,7 @@ def choose(nodes: list[dict] | None) -> Article:
     while todo:
         for n in below.get(todo.pop(), []):
             chars, links = total[n["node"]]
-            if chars and links >= LINKED * chars or n["mark"] == NAMED and chars < total[own["node"]][0] / 2:
+            if chars and links >= LINKED * chars or n["mark"] == NAMED:
                 left_out.add(n["node"])
             else:
                 todo.append(n["node"])
@@ -247,12 +248,7 @@ def main_text(page: Page, template: Template, article: Article) -> str:
         inside.append(t == article.node or above >= 0 and inside[above])
         left_out.append(inside[k] and (t in article.left_out or above >= 0 and left_out[above]))
     rows = [(k, t) for k, t, x in page.blocks if inside[k] and not left_out[k] and apart[k] < 0 and not (article.root and x >= LINKED)]
-    whole = sum(len(t) for _, t in rows)
-    around: dict[int, int] = {}
-    for k, t in rows:
-        if named[k] >= 0 and inside[named[k]] and tokens[named[k]] not in template.nodes:
-            around[named[k]] = around.get(named[k], 0) + len(t)
-    rows = [(k, t) for k, t in rows if named[k] not in around or around[named[k]] > whole / 2]
+    rows = [(k, t) for k, t in rows if named[k] < 0 or not inside[named[k]]] or rows
     own = [t for k, t in rows if tokens[k] not in template.texts]
     constant = sum(len(t) for k, t in rows if tokens[k] in template.texts)
     # Where the constant texts are the larger part, the host's pages are copies of each other.

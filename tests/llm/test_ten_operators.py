@@ -88,6 +88,15 @@ def test_template_takes_what_pages_share(spark):
     assert op01_template.extract(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_comments_longer_than_the_article(spark):
+    page = "<html><body><div class=a1><h1>Title {i}</h1><p>Story number {i}, told in short.</p>{c}</div><div class=f2>&copy;</div></body></html>"
+    talk = lambda i: "<div class=comments>" + "".join(f"<p>I {i} have {k} things to say, and they are {i * k} in all, whoever counts.</p>" for k in range(9)) + "</div>"
+    for every in (1, 4):  # comments on all pages, and on so few that they are no template
+        data = [(i, f"http://c{every}.example/{i}", page.format(i=i, c=talk(i) if i % every == 0 else "")) for i in range(8)]
+        got = rows(op01_template.extract(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")))
+        assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i}\nStory number {i}, told in short." for i in range(8)}
+
+
 def test_repeated_rows_change_no_template(spark):
     data = [(i, f"http://h.example/{i}", BODY.format(i=i)) for i in range(8)]
     want = {r["page_id"]: (r["text"], r["n_classes"]) for r in rows(op01_template.extract(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")))}
