@@ -574,7 +574,7 @@ def sc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT chr(97 + CAST(s_suppkey % 26 AS INTEGER)) || (s_suppkey // 26 % 4 + 1) AS key, max_by('ID3' || s_name, s_suppkey) AS content FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1, s_nationkey")
 def sc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S12, F33's counterpart aside: members of archives (one for each nation) in a folder of one name, the later of two with one key."""
+    """Members of archives (one for each nation) in a folder of one name, the later of two with one key."""
     import io
     import zipfile
     from collections.abc import Iterator
