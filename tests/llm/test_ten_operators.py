@@ -299,6 +299,29 @@ def test_quality_sees_the_whole_text_and_odd_rows(spark):
     assert op04_quality.keep_good(docs, net).columns == docs.columns
 
 
+def brute_probability(net, text):
+    """The network's probability with a loop for every window of every chunk."""
+    row = op04_quality.CHUNK + op04_quality.WIDTH - 1
+    data = text.encode()
+    starts = [0] if len(data) <= row else [*range(0, len(data) - row, op04_quality.CHUNK), len(data) - row]
+    pooled = []
+    for a in starts:
+        chunk = (data + bytes(row))[a : a + row]
+        best = [max(sum(float(net.embed[chunk[p + w]] @ net.filters[w][:, f]) for w in range(op04_quality.WIDTH)) for p in range(op04_quality.CHUNK)) + net.bias[f] for f in range(op04_quality.FILTERS)]
+        pooled.append([max(0.0, x) for x in best])
+    x = [*(sum(c) / len(pooled) for c in zip(*pooled)), *(max(c) for c in zip(*pooled))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, net.weights)) + net.offset)))
+
+
+def test_quality_against_a_plain_network(spark):
+    rng = np.random.default_rng(6)
+    net = op04_quality.Net(rng.standard_normal((256, 8)) * 0.1, rng.standard_normal((6, 8, 12)) * 0.3, rng.standard_normal(12) * 0.1, rng.standard_normal(24) * 0.1, 0.1)
+    texts = ["", None, "short", "x" * 261, "Ünï " * 66, "".join(rng.choice(list("abc d\n"), 700))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in rows(op04_quality.score(df, net))}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([brute_probability(net, t or "") for t in texts], abs=1e-5)
+
+
 # 5: codes
 
 
