@@ -1,7 +1,7 @@
 """Byte-level BPE with the tokenizers library, piece by piece with a bounded memo.
 
 The split pattern cuts a text into pieces that are merged independently, and most pieces of a text have
-been met before. A worker therefore keeps the ids of the pieces that it has seen (at most ``MEMO``,
+been met before. A worker therefore keeps the ids of the pieces that it has seen (at most ``MEMO`` or as many as it is told,
 then it starts afresh) and gives only new ones to the library. The ids are those of encoding the whole
 text in one call.
 """
@@ -114,8 +114,8 @@ class PieceEncoder:
     Texts that hold an added token of ``whole``, a tokenizer as its file has it, are given to that whole; without it, added tokens are ordinary text.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, whole: Tokenizer | None = None):
-        self.tokenizer, self.pattern, self.whole = tokenizer, splitter(pattern), whole
+    def __init__(self, tokenizer: Tokenizer, pattern: str, whole: Tokenizer | None = None, most: int = MEMO):
+        self.tokenizer, self.pattern, self.whole, self.most = tokenizer, splitter(pattern), whole, most
         added = [t.content for t in whole.get_added_tokens_decoder().values()] if whole else []
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.chars = dict(enumerate(byte_chars()))
@@ -130,7 +130,7 @@ class PieceEncoder:
 
     def _encode(self, runs: list[list[str]]) -> list[bytes]:
         new = set().union(*runs).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.most:
             self.memo, new = {}, set().union(*runs)
         memo = self.memo
         memo.update(self._learn(new))

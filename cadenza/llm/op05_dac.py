@@ -33,6 +33,8 @@ BITS = 8
 BLOCK = 512
 #: Ids after which a segment is closed; a document is never cut.
 SEGMENT_IDS = 500_000
+#: Pieces that a worker remembers.
+PIECES = 800_000
 MAGIC = b"DAC1"
 
 
@@ -143,7 +145,7 @@ _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 def _encoder(path: str, pattern: str) -> PieceEncoder:
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = PieceEncoder(tokenizer_from_json(path), pattern, Tokenizer.from_file(path))
+        _encoders[path, pattern] = PieceEncoder(tokenizer_from_json(path), pattern, Tokenizer.from_file(path), PIECES)
     return _encoders[path, pattern]
 
 
