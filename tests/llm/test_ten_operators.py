@@ -616,9 +616,8 @@ def test_bpe_offsets_and_query(spark):
     assert op08_bpe.round_trip(empty(spark), RANKS, PATTERN).count() == 0
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 5)
-    own, enc = bpe.PieceEncoder(bpe.tokenizer_from_ranks(bpe.read_ranks(RANKS)), PATTERN), encoding()
+def test_memo_is_bounded():
+    own, enc = bpe.PieceEncoder(bpe.tokenizer_from_ranks(bpe.read_ranks(RANKS)), PATTERN, most=5), encoding()
     for i in range(30):
         t = f"w{i} v{i + 1} common"
         assert own.encode(t).tolist() == enc.encode_ordinary(t)
