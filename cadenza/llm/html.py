@@ -18,14 +18,16 @@ BLOCK = frozenset(
 NO_TEXT = frozenset("head title script style noscript template nav header footer aside form fieldset button select option textarea iframe dialog menu svg canvas object audio video map xmp noembed noframes".split())
 #: Words of a class or id that name what is around an article, and words that may stand beside them in one name.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
-    "footer header masthead comment comments commentlist disqus respond replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social related recommended recommendations pagination pager toolbar login copyright disclaimer".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets "
+    "footer header masthead comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "share sharing social related recommended recommendations pagination pager toolbar skip login copyright disclaimer".split()
 )
 BESIDE = frozenset(
-    "area bar block body bottom box button buttons column container content first footer group header holder inner item items last left link links list main module outer page panel pane post posts article articles "
-    "right row section site slot small story stories thread top unit user reader widget widgets wrap wrapper".split()
+    "area bar block body bottom box button buttons column container content first group holder icons inner item items last left link links list main module outer page panel pane post posts article articles "
+    "right row section site slot small story stories thread top unit user reader wrap wrapper".split()
 )
+#: Words that make a header the one of the article itself.
+OWN = frozenset("article articles post posts story stories".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that a start tag closes if they are open and innermost.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -67,7 +69,10 @@ def mark_of(name: str, attributes: str) -> int:
 def _named(part: str) -> bool:
     """Whether a class or id consists of words for what is around an article."""
     words = _WORD.findall(_CAMEL.sub("-", part).lower())
-    return any(w in AROUND for w in words) and all(w in AROUND or w in BESIDE or w.isdigit() for w in words)
+    around = [w for w in words if w in AROUND]
+    if around == ["header"] and OWN.intersection(words):
+        return False
+    return bool(around) and all(w in AROUND or w in BESIDE or w.isdigit() for w in words)
 
 
 class Page(NamedTuple):

@@ -62,10 +62,10 @@ def test_html_article():
     assert alone(PAGE.format(i=3, ad="")) == "T3 & co\nFirst bold3, line\nSecond <3>"
 
 
-@pytest.mark.parametrize("name", ["share-price", "related-work", "comment-analysis", "ad-hoc"])
+@pytest.mark.parametrize("name", ["share-price", "related-work", "comment-analysis", "ad-hoc", "post-header", "post-content", "main"])
 def test_html_names_that_only_hold_a_word(name):
     assert alone(f"<body><article><p>One.<p class='{name}'>Two.<div id='{name}'>Three.</div></article></body>") == "One.\nTwo.\nThree."
-    assert alone("<body><article><p>One.<div class='ad-banner'>Buy.</div><section id=relatedPosts>More.</section></article></body>") == "One."
+    assert alone("<body><article><p>One.<div class='ad-banner'>Buy.</div><section id=relatedPosts>More.</section><ul class='x share-buttons'><li>Tell.</ul></article></body>") == "One."
 
 
 @pytest.mark.parametrize("source", ["", "<", "<<p", "a<b", "<p", "</p></p>", "<!--", "<script>", "<p class='x>y", "&#xZZ;&", "<a" * 50, "x" * 100_000])
