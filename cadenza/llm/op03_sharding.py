@@ -25,7 +25,7 @@ from .ranks import running_sum
 SHARDS = 8
 LINE = 12
 ROUNDS = 6
-SETTLED = 100
+SETTLED = 8
 #: Buckets that a shard's ranks are summed by; groups of over 1 / HOT of all rows get SALTS buckets of their own.
 BUCKETS = 1024
 HOT = 1024
