@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
 
-__all__ = ["Scratch", "id_remainder", "text_or_empty", "utf8_size"]
+__all__ = ["Scratch", "give_back", "id_remainder", "lean", "text_or_empty", "utf8_size"]
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Memory that the allocators of Arrow and of the C library hold on to goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches or arrays, with what it freed given back at its end.
+
+    Spark keeps a worker for later tasks and plans; what the batches of texts took would otherwise lie idle in it beside what those need.
+    """
+
+    @functools.wraps(run)
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return trimmed
 
 
 def text_or_empty(name: str = "text") -> Column:

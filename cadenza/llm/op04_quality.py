@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, lean
 
 WIDTH = 6
 FILTERS = 12
@@ -189,21 +189,20 @@ def score(df: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text", i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([probability(own, tables, (x.as_py() or "").encode()) for x in b.column(1)], pa.float64())], names=[doc_id, into])
 
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {key}, `{into}` double")
+    return df.select(doc_id, text).mapInArrow(lean(run), f"`{doc_id}` {key}, `{into}` double")
 
 
 def keep_good(df: DataFrame, net: Net, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose score reaches ``THRESHOLD``, with all their columns. One pass, no shuffle."""
-    names, packed = df.columns, [np.asarray(x).tolist() for x in net]
-    place = names.index(text)
+    """The rows of ``df`` whose score reaches ``THRESHOLD``, with all their columns. One pass, no shuffle; only texts go to the workers and only verdicts come back."""
+    packed = [np.asarray(x).tolist() for x in net]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Net(*[np.array(x) for x in packed[:-1]], packed[-1])
         tables = own.tables()
-        for b in batches:
-            yield b.filter(pa.array([probability(own, tables, (x.as_py() or "").encode()) >= THRESHOLD for x in b.column(place)], pa.bool_()))
+        for c in columns:
+            yield pa.array([probability(own, tables, (x.as_py() or "").encode()) >= THRESHOLD for x in c], pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(F.arrow_udf(lean(run), "boolean")(F.col(text)))
 
 
 def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

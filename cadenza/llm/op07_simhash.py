@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .components import connected_components
 from .groups import merge, whole_groups
 
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             codes = majority([h for x in b.column(1) for h in [shingle_hashes(x.as_py() or "")]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.view(np.int64))], names=[doc_id, "code"])
 
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {key}, code long")
+    return df.select(doc_id, text).mapInArrow(lean(run), f"`{doc_id}` {key}, code long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _search(rows: DataFrame, limit: int) -> DataFrame:
             kind = table.column("kind").to_numpy()[order][linked]
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(codes[linked].view(np.int64)), pa.array(codes[label[linked]].view(np.int64))], names=["kind", "src", "dst"])
 
-    return rows.select(*GROUP_KEYS, "code").sortWithinPartitions(*GROUP_KEYS).mapInArrow(run, "kind int, src long, dst long")
+    return rows.select(*GROUP_KEYS, "code").sortWithinPartitions(*GROUP_KEYS).mapInArrow(lean(run), "kind int, src long, dst long")
 
 
 def link_codes(codes: DataFrame, scratch: Scratch, limit: int = LIMIT, name: str = "codes") -> DataFrame:
@@ -233,7 +233,7 @@ def profiles(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 codes.append(majority([shingle_hashes(t)]).view(np.int64)[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(codes, pa.int64())], names=["id", "key", "node", "check", "code"])
 
-    return df.select(doc_id, row_key(doc_id, text).alias("key"), text).mapInArrow(run, f"id {id_kind}, key long, node long, check long, code long")
+    return df.select(doc_id, row_key(doc_id, text).alias("key"), text).mapInArrow(lean(run), f"id {id_kind}, key long, node long, check long, code long")
 
 
 def _by_code(nodes: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
@@ -283,7 +283,7 @@ def _alone(df: DataFrame, text: str, similarity: float, words: int) -> DataFrame
                 at = np.concatenate([at[0], at[1][~one]])
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0][at].view(np.int64)), pa.array(columns[1][at]), pa.array(columns[2][at])], names=["shingle", "node", "room"])
 
-    each = df.select(text).mapInArrow(run, "shingle long, node long, room int")
+    each = df.select(text).mapInArrow(lean(run), "shingle long, node long, room int")
     own = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("room").alias("room")).where("node = other")
     return own.groupBy("node").agg(F.count("*").alias("n"), F.min("room").alias("room")).where("n > room").select("node")
 
@@ -379,7 +379,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[order][linked]), pa.array(src[linked]), pa.array(dst[linked])], names=["part", "src", "dst"])
 
     keys = ["part", "cell"]
-    return rows.select("part", "cell", "pivot", "node", "known", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "part long, src long, dst long")
+    return rows.select("part", "cell", "pivot", "node", "known", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "part long, src long, dst long")
 
 
 def _within_parts(sets: DataFrame, of: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -429,10 +429,10 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
     their rarest shingles are compared, exactly (``link_sets``). A task returns an edge for each linked text, never pairs. Fingerprints link at ``LIMIT`` bits as in ``near_duplicates``, and nulls, empty
     texts, repeats and empty tables give the same.
     """
-    rows = scratch.keep(profiles(df, doc_id, text), "profiles")
+    rows = scratch.keep(profiles(df, doc_id, text), "profiles", texts=True)
     grouped = rows.groupBy("node").agg(F.min("key").alias("key"), F.min("code").alias("code"), (F.min("check") != F.max("check")).alias("clash"))
     nodes = scratch.keep(grouped, "texts")
-    alone = scratch.keep(_alone(df, text, similarity, words), "alone", narrow=True)
+    alone = scratch.keep(_alone(df, text, similarity, words), "alone", narrow=True, texts=True)
     left = scratch.keep(nodes.join(alone, "node", "left_anti").select("node", "key"), "left", narrow=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,8 +444,8 @@ def similar_documents(df: DataFrame, scratch: Scratch, similarity: float = 0.8,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
     whole = df.select(row_key(doc_id, text).alias("own"), F.col(text).alias("text")).join(small_or_hashed(left), F.col("own") == F.col("key"))
-    sets = whole.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])  # a row may be repeated
-    sets = scratch.keep(sets, "sets")
+    sets = whole.select("node", "text").mapInArrow(lean(run), "node long, shingles array<long>").dropDuplicates(["node"])  # a row may be repeated
+    sets = scratch.keep(sets, "sets", texts=True)
     of = connected_components(_candidates(sets, similarity, scratch), scratch).withColumnRenamed("node", "of")
     parts = sets.select("node", F.size("shingles").alias("size")).join(of, F.col("node") == F.col("of")).select("node", "size", F.col("component").alias("part"))
     parts = scratch.keep(parts, "parts", narrow=True)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PieceEncoder, decode_bytes, read_ranks, token_table, tokenizer_from_ranks
+from .common import lean
 
 _encoders: dict[tuple[str, str], tuple[PieceEncoder, list[bytes]]] = {}
 
@@ -43,7 +44,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             out = pa.array([x for run in itertools.batched(_texts(b.column(rest.index(text))), 256) for x in enc.encode_many(list(run))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*rest, ids])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -59,7 +60,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", into:
             out = [decode_bytes(np.frombuffer(x.as_py() or b"", "<u4"), table) for x in b.column(rest.index(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*rest, into])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(lean(run), schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,4 +84,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"`{doc_id}` {key.dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(doc_id, text).mapInArrow(run, schema)
+    return df.select(doc_id, text).mapInArrow(lean(run), schema)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files of an execution go when it ends; what it wrote is all that is read later.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker gets at a time, and how many of those that hold whole texts: Spark's 10,000 are tens of MB, several times over on both sides.
+BATCH, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -54,17 +56,25 @@ class Scratch:
         self.paths: dict[str, str] = {}
         _made.append((spark, self.root))
 
-    def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-        """Write and reread. A narrow table, of a few numbers a row, is written by an eighth of the shuffle partitions: they are sized for texts."""
+    def keep(self, df: DataFrame, name: str, narrow: bool = False, texts: bool = False) -> DataFrame:
+        """Write and reread. A narrow table, of a few numbers a row, is written by an eighth of the shuffle partitions: they are sized for texts.
+
+        ``texts``: Python workers read whole texts for it, ``TEXTS`` rows at a time or what the session has if that is fewer.
+        """
         path = self.paths[name] = f"{self.root}/{name}"
         if narrow:
             df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        during = {CLEANUP: "true"}
+        if texts and not 0 < int(self.spark.conf.get(BATCH)) < TEXTS:
+            during[BATCH] = str(TEXTS)
+        before = {CLEANUP: self.spark.conf.get(CLEANUP, "false"), BATCH: self.spark.conf.get(BATCH)}
         try:
+            for k, v in during.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k in during:
+                self.spark.conf.set(k, before[k])
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
