@@ -45,7 +45,7 @@ def incidence(rows: DataFrame, scratch: Scratch) -> DataFrame:
     each = rows.select("g", F.explode(F.array_distinct(lines)).alias("line"))
     held = scratch.keep(each.groupBy("g", "line").agg(F.count("*").alias("w")), "held")
     shared = held.groupBy("line").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("line")
-    shared = scratch.keep(shared, "shared")
+    shared = scratch.keep(shared, "shared", narrow=True)
     return held.join(shared, "line")
 
 
@@ -101,7 +101,7 @@ def wishes(links: DataFrame, state: DataFrame, settled: DataFrame, scratch: Scra
     """g, n, label, to (where most neighbours are, if more than here) and gain of every linked group. state: g, n, label."""
     placed = links.join(state.select("g", "label"), "g")
     votes = placed.select("line", *[F.when(F.col("label") == s, F.col("w")).otherwise(0).cast("double").alias(v) for s, v in enumerate(VOTES)]).unionByName(settled)
-    votes = scratch.keep(votes.groupBy("line").agg(*[F.sum(v).alias(v) for v in VOTES]), f"votes_{k}")
+    votes = scratch.keep(votes.groupBy("line").agg(*[F.sum(v).alias(v) for v in VOTES]), f"votes_{k}", narrow=True)
     # A group's own documents on the line are no neighbours.
     near = placed.join(votes, "line").groupBy("g").agg(*[F.sum(F.col(v) - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(v) for s, v in enumerate(VOTES)])
     wish = state.join(near, "g").withColumn("to", _largest([F.col(v) for v in VOTES]))
@@ -111,25 +111,28 @@ def wishes(links: DataFrame, state: DataFrame, settled: DataFrame, scratch: Scra
 
 
 def propagate(links: DataFrame, groups: DataFrame, settled: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
-    """g, n, label of the linked groups after the rounds. groups: g, n (documents), label; settled: what large groups have of each line; quota: each shard's room for the others."""
-    state, linked = scratch.keep(groups, "labels_0"), groups.count()
+    """g, n, label of the linked groups after the rounds. groups: g, n (documents), label; settled: what large groups have of each line; quota: each shard's room for the others.
+
+    A round writes votes and wishes only: what a shard admits is one number, and with these the wishes give the next labels as they are read.
+    """
+    state, kept = scratch.keep(groups, "labels_0", narrow=True), "labels_0"
+    linked = state.count()
     for k in range(1, ROUNDS + 1):
         wish = wishes(links, state, settled, scratch, k)
         step = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.greatest(F.col("gain"), F.lit(1))))).cast("int")
         wish = wish.withColumn("turn", (F.lit(GAINS - 1) - step) * SLICES + F.pmod(F.xxhash64("g", F.lit(k)), F.lit(SLICES)))
-        wish = scratch.keep(wish, f"wish_{k}")
+        wish = scratch.keep(wish.drop("gain"), f"wish_{k}")
+        scratch.drop(f"votes_{k}")
+        scratch.drop(kept)
+        kept = f"wish_{k}"
         stay = wish.where("to = label").groupBy(F.col("label").alias("s")).agg(F.sum("n").alias("stays"))
         asked = wish.where("to <> label").groupBy("to", "turn").agg(F.sum("n").alias("n"))  # at most SHARDS x GAINS x SLICES rows
         upto = asked.withColumn("upto", F.sum("n").over(Window.partitionBy("to").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
         room = upto.join(F.broadcast(stay), F.col("to") == F.col("s"), "left").where(F.col("upto") + F.coalesce("stays", F.lit(0)) <= _each(quota, "to"))
-        room = room.groupBy(F.col("to").alias("into")).agg(F.max("turn").alias("last"))  # at most SHARDS rows
-        moved = wish.join(F.broadcast(room), F.col("to") == F.col("into"), "left")
-        into = F.when((F.col("to") == F.col("label")) | (F.col("turn") <= F.col("last")), F.col("to")).otherwise(F.col("label"))
-        state = scratch.keep(moved.select("g", "n", into.alias("label"), (into != F.col("label")).alias("moved")), f"labels_{k}")
-        movers, state = state.where("moved").count(), state.drop("moved")
-        scratch.drop(f"labels_{k - 1}")
-        scratch.drop(f"wish_{k}")
-        scratch.drop(f"votes_{k}")
+        last = {r["to"]: r["last"] for r in room.groupBy("to").agg(F.max("turn").alias("last")).collect()}  # at most SHARDS rows
+        moves = (F.col("to") != F.col("label")) & (F.col("turn") <= _each([last.get(s, -1) for s in range(SHARDS)], "to"))
+        movers = wish.where(moves).count()
+        state = wish.select("g", "n", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"))
         if movers * SETTLED < linked:
             break
     return state
@@ -146,7 +149,7 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     wide = base.select("id", "text", F.xxhash64("text").alias("g"))
     rows = scratch.keep(wide.select("id", "g", (utf8_size("text") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc")), "rows")
     links = scratch.keep(incidence(wide, scratch), "links")
-    groups = scratch.keep(rows.groupBy("g").agg(F.count("*").alias("n")), "groups")
+    groups = scratch.keep(rows.groupBy("g").agg(F.count("*").alias("n")), "groups", narrow=True)
     total = rows.count()
     quota = [total // SHARDS + (s < total % SHARDS) for s in range(SHARDS)]
     hot = F.col("n") > max(1.0, total / HOT)
@@ -155,7 +158,7 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     pieces = spark.createDataFrame([(i, g, ends, shards) for i, (g, ends, shards) in enumerate(pieces)], "own int, _l long, ends array<int>, shards array<int>")
     step = F.pmod(F.xxhash64("g", F.lit(0)), F.lit(STEPS))
     linked = links.select("g").distinct().join(groups.where(~hot), "g").select("g", "n", spread(room, step).alias("label"))
-    settled = scratch.keep(settled_votes(links, pieces.select(F.col("_l").alias("g"), "ends", "shards")), "settled")
+    settled = scratch.keep(settled_votes(links, pieces.select(F.col("_l").alias("g"), "ends", "shards")), "settled", narrow=True)
     labels = propagate(links, linked, settled, room, scratch)
     taken = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most SHARDS rows
     room = [r - taken.get(s, 0) for s, r in enumerate(room)]
@@ -163,7 +166,8 @@ def shard(df: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     tier = F.when(F.col("label").isNotNull() | (F.col("n") > 1), 0).otherwise(1)
     common = HOT * SALTS + tier * BUCKETS + F.pmod(F.xxhash64("g", F.lit(1)), F.lit(BUCKETS))
     labelled = labelled.select(F.col("g").alias("_g"), "n", F.coalesce("label", spread(room, step)).alias("label"), "own", "ends", "shards", common.alias("common"))
-    placed = rows.join(labelled, F.col("g") == F.col("_g"))
+    # Written, so that the rows' join can be split where a group has very many.
+    placed = rows.join(scratch.keep(labelled, "labelled", narrow=True), F.col("g") == F.col("_g"))
     own_step = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(STEPS))
     place = F.when(F.col("own").isNull(), F.col("label")).otherwise(F.coalesce(F.get("shards", F.size(F.filter("ends", lambda e: e <= own_step))), F.element_at("shards", -1)))
     bucket = F.when(F.col("own").isNull(), F.col("common")).otherwise(F.col("own") * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS)))

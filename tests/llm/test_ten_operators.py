@@ -244,6 +244,30 @@ def test_sharding_draws_neighbours_to_copies(spark):
     assert near >= 50  # of 60; at random an eighth
 
 
+def test_sharding_writes_few_files(spark):
+    """Each file that an executor writes is up to three processes beside it; a round writes two tables, and those of a few numbers a row by few tasks."""
+    files = {}
+
+    class Counted(Scratch):
+        def keep(self, df, name, **how):
+            out = super().keep(df, name, **how)
+            files[name] = len(out.inputFiles())
+            return out
+
+    texts = [f"family {f} has this very line in common, whatever comes\nown {i}" for f in range(60) for i in range(8)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        check_shards(rows(op03_sharding.shard(documents(spark, texts, False), Counted(spark, "t"))), len(texts))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rounds = max(int(x.partition("_")[2]) for x in files if x.startswith("wish_"))
+    assert len([x for x in files if x[-1].isdigit()]) == 1 + 2 * rounds
+    assert files["held"] > 4 and all(n <= 4 for x, n in files.items() if x.startswith(("votes_", "labels_")) or x in ("groups", "settled", "shared"))
+
+
 def test_sharding_wishes_against_brute_force(spark):
     rng = random.Random(3)
     links = sorted({(rng.randrange(40), rng.randrange(25)): rng.randint(1, 3) for _ in range(160)}.items())
