@@ -7,6 +7,7 @@ import time
 
 import cases
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,18 @@ def test_similarity():
     assert audio.similarity(np.zeros(10), np.zeros(10)) == 0
 
 
+def test_waves_are_made_a_few_at_a_time(spark):
+    """However many rows come at once, no more than WAVES waves are held; nothing of them changes."""
+    rng = np.random.default_rng(0)
+    tracks = [rng.standard_normal(5).tolist() for _ in range(2 * audio.WAVES + 9)] + [None, [1.0], [], [2.0, 2.0], [1.0, None, 3.0]]
+    got = list(audio.normalized_wave_column.func(iter([pd.Series(tracks), pd.Series([], dtype=object), pd.Series(tracks[:1])])))
+    assert sum(map(len, got)) == len(tracks) + 1 and max(map(len, got)) <= audio.WAVES
+    df = spark.createDataFrame(list(enumerate(tracks)), "i int, t array<double>").repartition(2)
+    waves = {r["i"]: r["w"] for r in df.select("i", audio.normalized_wave_column(F.col("t")).alias("w")).collect()}
+    assert all(waves[i] == audio.normalized_wave(t).tolist() for i, t in enumerate(tracks) if t is not None and None not in t) and len(waves) == len(tracks)
+    assert waves[len(tracks) - 5] is None and set(waves[len(tracks) - 1]) == {None}
+
+
 def test_assembly(spark):
     clips = [[[0.1, -0.1]], [[0.2, -0.2], [0.0, 0.0]]]
     left, right = one(spark, [(clips,)], "c array<array<array<double>>>", a=audio.assemble(F.col("c"), 100))[0]["a"]
