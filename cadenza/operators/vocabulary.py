@@ -90,14 +90,24 @@ def add_definitions(words: DataFrame, entries: DataFrame) -> DataFrame:
     A word with syllables takes entries of its reading; one without takes its only entry. Of those with a definition the
     best is that of the word's traditional form (else 5 worse) and without capitals in its reading (else 3 worse); ties go
     to the smaller text.
+
+    Entries are reduced before they meet words: to the best of each form of a reading, of each reading, and of each word with one entry. So a
+    word meets three rows at most, however many entries it has.
     """
     own = words.select("id", "word", F.col("traditional").alias("form"), pinyin.expected_reading(F.col("pinyin_syllables"), F.col("lexical_tones")).alias("expected"))
-    counted = entries.groupBy("simplified").agg(F.count("*").alias("n"))
-    fit = entries.join(counted, "simplified").withColumn("text", F.array_join(pinyin.clean_definitions(F.col("definitions")), "; "))
-    rows = own.join(fit, F.col("word") == F.col("simplified"))
-    rows = rows.where(((F.size("expected") > 0) & (F.col("reading") == F.col("expected"))) | ((F.size("expected") == 0) & (F.col("n") == 1))).where("text <> ''")
-    score = F.when(F.col("traditional").eqNullSafe(F.col("form")), 0).otherwise(5) + F.when(F.col("pinyin").rlike(r"\p{Lu}"), 3).otherwise(0)
-    return rows.groupBy("id").agg(F.min(F.struct(score.alias("score"), "text"))["text"].alias("definition"))
+    text = F.array_join(pinyin.clean_definitions(F.col("definitions")), "; ")
+    best = F.struct(F.when(F.col("pinyin").rlike(r"\p{Lu}"), 3).otherwise(0).alias("score"), text.alias("text"))
+    forms = entries.groupBy("simplified", "reading", "traditional").agg(F.count("*").alias("n"), F.min(F.when(text != "", best)).alias("best"))
+    own_form = forms.where("reading is not null and best is not null").select(F.col("simplified").alias("_w"), F.col("reading").alias("_r"), F.col("traditional").alias("_f"), F.col("best").alias("_same"))
+    readings = own_form.groupBy("_w", "_r").agg(F.min("_same").alias("_any"))
+    only = forms.groupBy(F.col("simplified").alias("_w")).agg(F.sum("n").alias("n"), F.min("best").alias("_any"), F.min("traditional").alias("_f")).where("n = 1 and _any is not null").drop("n")
+    worse = F.struct((F.col("_any.score") + 5).alias("score"), F.col("_any.text").alias("text"))
+    read = own.where(F.size("expected") > 0)
+    read = read.join(readings, (F.col("word") == F.col("_w")) & (F.col("expected") == F.col("_r"))).drop("_w", "_r")
+    read = read.join(own_form, (F.col("word") == F.col("_w")) & (F.col("expected") == F.col("_r")) & F.col("form").eqNullSafe(F.col("_f")), "left")
+    alone = own.where(F.size("expected") == 0).join(only, F.col("word") == F.col("_w"))
+    found = read.select("id", F.coalesce("_same", worse).alias("best")).union(alone.select("id", F.when(F.col("form").eqNullSafe(F.col("_f")), F.col("_any")).otherwise(worse)))
+    return found.groupBy("id").agg(F.min("best")["text"].alias("definition"))
 
 
 def attach_definitions(words: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -177,6 +177,38 @@ def test_known_words(spark):
     assert got == {r[0]: r[5] for r in cases.DEFINED if r[5]}
 
 
+def widest(df):
+    """Rows, and the most rows that any step of the plan that ran gave."""
+    found, most, todo = rows(df), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return found, most
+
+
+def test_definitions_of_a_common_word(spark):
+    """A word with many entries meets none of them but the best; the answer is that of all pairs."""
+    forms, readings = ("t", "u", "v"), ("ma1", "Ma1", "ma2")
+    lines = [f"{forms[i * 7 % 3]} w [{readings[i * 5 % 9 // 3]}] /{'CL:x' if i % 4 == 0 else f'd{i * 37 % 101}'}/" for i in range(600)]
+    lines += ["t x [Ma1] /only/", "t y [ma1] /CL:x/", "t z [ma1] /CL:x/", "t z [ma1] /second/", "t  [ma1] /bad/"]
+    words = [(str(i // 2), "wxyzq"[0 if i < 800 else i % 5], ("t", "s", "v", None)[i % 4], [["ma"], ["ma"], []][i % 3], [[1], [2], []][i % 3]) for i in range(900)]
+    entries = readers.dictionary_entries(spark.createDataFrame([(x,) for x in lines], "value string"))
+    held = [(e["simplified"], e["traditional"], e["pinyin"], e["reading"], "; ".join(d for d in e["definitions"] if d.strip() and not d.startswith("CL:"))) for e in rows(entries)]
+    want = {}
+    for key, word, form, syllables, tones in words:
+        of_word = [e for e in held if e[0] == word]
+        reading = [s + str(t) for s, t in zip(syllables, tones)]
+        for _, f, p, r, text in of_word:
+            if text and (r == reading if reading else len(of_word) == 1):
+                want[key] = min(want.get(key, (99, "")), ((0 if f == form else 5) + (3 if p != p.lower() else 0), text))
+    got, most = widest(vocabulary.add_definitions(spark.createDataFrame(words, "id string, word string, traditional string, pinyin_syllables array<string>, lexical_tones array<int>"), entries))
+    assert {r["id"]: r["definition"] for r in got} == {k: v[1] for k, v in want.items()} and len(got) == len(want) > 300
+    assert most <= 2 * len(words)
+
+
 def test_grading_and_choice(spark):
     attempts = spark.createDataFrame([("1-2", "1-2"), ("1-3", "1-2"), ("1", "1-2")], "selected_pattern string, correct_pattern string")
     got = selection.grade(attempts)
