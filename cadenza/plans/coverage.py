@@ -595,7 +595,9 @@ def sc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     key = F.concat(F.chr((k % 26 + 97).cast("int")), (F.floor(k / 26) % 4 + 1).cast("string"))
     members = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), key.alias("key"), F.col("s_name").alias("name")))), lambda m: m)
-    archives = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("path")).agg(members.alias("members")).mapInPandas(packed, "path string, content binary")
+    # Dealt by a number: rows of few bytes would else be packed, and unpacked, by one task.
+    suppliers = table(spark, sf_dir, "supplier").withColumn("path", F.col("s_nationkey").cast("string")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    archives = suppliers.groupBy("path").agg(members.alias("members")).mapInPandas(packed, "path string, content binary")
     # Names with one key in an archive are met twice; the library warns of them and keeps both.
     return readers.archive_members(archives, "([a-z][1-4])\\.mp3").select("key", F.decode("content", "UTF-8").alias("content"))
 

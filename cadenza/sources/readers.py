@@ -15,6 +15,10 @@ from ..functions import fixed
 from ..functions.pinyin import normalize_reading
 from . import schemas
 
+#: Files of archives that a Python worker hands on at a time, and their bytes (one file may have more).
+MEMBERS, MEMBER_BYTES = 1000, 4 << 20
+MEMBER_COLUMNS = ["archive", "place", "member", "sound", "content"]
+
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Named columns of a delimited file with a header, as strings. Byte-order mark, doubled quotes and quoted line ends are understood."""
@@ -99,20 +103,28 @@ def tree_paths(listing: DataFrame, prefix: str, suffix: str) -> DataFrame:
 
 def archive_entries(archives: DataFrame) -> DataFrame:
     """archive, place, member, sound, content of every file in ZIP archives (binaryFile rows). sound: its checksum holds."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path, content in ((p, c) for b in batches for p, c in zip(b["path"], b["content"], strict=True)):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for place, entry in enumerate(z.infolist()):
-                    if entry.is_dir():
-                        continue
-                    try:
-                        data, sound = z.read(entry), True
-                    except zipfile.BadZipFile:
-                        data, sound = b"", False
-                    yield pd.DataFrame({"archive": [path], "place": [place], "member": [entry.filename], "sound": [sound], "content": [data]})
-
-    return archives.select("path", "content").mapInPandas(run, "archive string, place int, member string, sound boolean, content binary")
+    return archives.select("path", "content").mapInPandas(unpacked, "archive string, place int, member string, sound boolean, content binary")
+
+
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The files of archives, ``MEMBERS`` or ``MEMBER_BYTES`` at a time: a table for each would cost far more than to read it."""
+    held, size = [], 0
+    for path, content in ((p, c) for b in batches for p, c in zip(b["path"], b["content"], strict=True)):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for place, entry in enumerate(z.infolist()):
+                if entry.is_dir():
+                    continue
+                try:
+                    data, sound = z.read(entry), True
+                except zipfile.BadZipFile:
+                    data, sound = b"", False
+                held.append((path, place, entry.filename, sound, data))
+                size += len(data)
+                if len(held) >= MEMBERS or size >= MEMBER_BYTES:
+                    yield pd.DataFrame(held, columns=MEMBER_COLUMNS)
+                    held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=MEMBER_COLUMNS)
 
 
 def archive_members(archives: DataFrame, form: str = r"([a-zv]+[1-4])\.mp3", folder: str = "mp3", at_least: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import cases
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,33 @@ def test_tree_listing_and_archive(spark):
         readers.archive_members(archive, at_least=3).collect()
 
 
+def test_members_of_archives_are_handed_on_many_at_a_time():
+    """Neither a table for each file nor all of an archive at once; every file once, in order."""
+
+    class Plan:
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, run, schema: run
+
+    def packed(sizes):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("d/", "")
+            for i, n in enumerate(sizes):
+                z.writestr(f"d/{i}", bytes([i % 251]) * n)
+        return buffer.getvalue()
+
+    small, large = packed([3] * 2500), packed([3 << 20, 3 << 20, 9 << 20, 1])
+    broken = bytearray(packed([50]))
+    broken[broken.index(bytes(50)) + 7] = 1
+    archives = pd.DataFrame({"path": ["s", "l", "b", "none"], "content": [small, large, bytes(broken), packed([])]})
+    got = list(readers.archive_entries(Plan())(iter([archives.iloc[:1], archives.iloc[1:]])))
+    assert len(got) <= 6 and max(map(len, got)) <= readers.MEMBERS
+    assert max(sum(map(len, g["content"][:-1])) for g in got) < readers.MEMBER_BYTES
+    whole = pd.concat(got)
+    assert list(zip(whole["archive"], whole["place"])) == [(a, i + 1) for a, n in (("s", 2500), ("l", 4), ("b", 1)) for i in range(n)]
+    assert list(whole["sound"]) == [True] * 2504 + [False] and all(c == bytes([i % 251]) * 3 for i, c in enumerate(whole["content"][:2500]))
+
+
 def test_import(spark, tmp_path):
     for name, data in {"s/公司/a.MP3": b"1", "s/公司/a.json": b'{"speaker": null, "rate": 3, "notes": null}', "s/公司/b.wav": b"2", "s/公司/b.json": b"broken", "s/公司/c.txt": b""}.items():
         write(tmp_path / name, data)
