@@ -9,6 +9,8 @@ from ..functions import pinyin
 from ..sources import schemas
 
 IDENTITY = ["source", "word", "filename"]
+#: Needles that are sent to all machines: so many rows, of so many bytes in all.
+FEW, FEW_BYTES = 100_000, 16 << 20
 
 #: What a field is where the sidecar lacks it (not where it says null).
 DEFAULTS = {"notes": "", "language_code": "zh", "language_status": "verified_mandarin", "recording_type": "isolated_word"}
@@ -60,10 +62,15 @@ def _met(grams: DataFrame, known: DataFrame, texts: DataFrame, text: str, needle
     return texts.join(pairs, F.xxhash64(F.col(text)) == F.col("_text")).where(F.contains(F.col(text), F.col(needle))).drop("_text")
 
 
-def _windows(text: str, size: int) -> Column:
-    """Hashes of the distinct windows of so many characters."""
-    places = F.sequence(F.lit(1), F.char_length(text) - size + 1)
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(size)))))
+def _grams(size: int, start: Column) -> Column:
+    """The hash of so many characters of _chars from ``start``, counted from 0. Places of an array cost the same wherever they are, those of a text more the later they come."""
+    return F.xxhash64(F.lit(size), *[F.get(F.col("_chars"), start + k) for k in range(size)])
+
+
+def _windows(size: int) -> Column:
+    """Hashes of the windows of so many characters of _chars; none for a shorter text."""
+    places = F.sequence(F.lit(0), F.size("_chars") - size)
+    return F.when(F.size("_chars") >= size, F.transform(places, lambda i: _grams(size, i))).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, sizes: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
@@ -72,15 +79,23 @@ def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, size
     A needle is looked up by the hash of its first characters, as many as the largest of ``sizes`` that it has, which
     must be those of some window of the text: only needles of one character are looked up by one. Candidates are then checked. A needle that is shorter
     than all sizes, null or empty finds nothing here. Equal needles, and equal texts, stay apart if their other columns differ.
+
+    Needles of up to ``FEW`` rows and ``FEW_BYTES``, counted first, go to where the texts are, which are read once and not shuffled; more are met by grams.
     """
-    out = None
-    for size, above in zip(sizes, (*sizes[1:], None), strict=True):
-        of_size = F.char_length(needle) >= size if above is None else F.char_length(needle).between(size, above - 1)
-        known = needles.where(of_size).withColumn("_needle_gram", F.xxhash64(F.substr(F.col(needle), F.lit(1), F.lit(size))))
-        windows = texts.where(F.char_length(text) >= size).select(F.xxhash64(F.col(text)).alias("_text"), F.explode(_windows(text, size)).alias("_gram"))
-        found = _met(windows, known, texts, text, needle)
-        out = found if out is None else out.unionByName(found)
-    return out
+    known = needles.where(F.char_length(needle) >= min(sizes)).withColumn("_chars", F.split(needle, ""))
+    gram = None
+    for size in sorted(sizes):
+        own = _grams(size, F.lit(0))
+        gram = own if gram is None else F.when(F.char_length(needle) >= size, own).otherwise(gram)
+    known = known.withColumn("_needle_gram", gram).drop("_chars")
+    cut = texts.where(F.char_length(text) >= min(sizes)).withColumn("_chars", F.split(text, ""))
+    cut = cut.withColumn("_grams", F.array_distinct(F.concat(*map(_windows, sizes)))).drop("_chars")
+    held = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(needle)), F.lit(0)).alias("size")).first()
+    if held["n"] > FEW or held["size"] > FEW_BYTES:
+        return _met(cut.select(F.xxhash64(F.col(text)).alias("_text"), F.explode_outer("_grams").alias("_gram")), known, texts, text, needle)
+    # A needle has one gram, and a text has each gram once: no pair comes twice.
+    met = cut.select(*texts.columns, F.explode_outer("_grams").alias("_gram")).join(F.broadcast(known), F.col("_gram") == F.col("_needle_gram"))
+    return met.where(F.contains(F.col(text), F.col(needle))).drop("_gram", "_needle_gram")
 
 
 def context_clips(sentences: DataFrame, words: DataFrame, clips: str) -> DataFrame:

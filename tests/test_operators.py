@@ -2,6 +2,8 @@
 
 import io
 import json
+import random
+import time
 import zipfile
 
 import cases
@@ -165,6 +167,30 @@ def test_context(spark):
     assert [r["word"] for r in rows(ingest.longest_first(ordered, "n"))] == ["工作", "公司", "没", "公"]
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_contained_is_all_pairs(spark, monkeypatch, few):
+    """By either way, few needles or many: every pair of rows once, texts and needles that are equal apart."""
+    monkeypatch.setattr(ingest, "FEW", few)
+    chance = random.Random(few)
+    some = lambda n: "".join(chance.choice("ab公𠀀 .") for _ in range(n))
+    texts = [(i, some(i % 13)) for i in range(150)] + [(150, None), (151, ""), (152, "ab" * 40), (153, "ab" * 40)]
+    needles = [(i, some(i % 8)) for i in range(90)] + [(90, None), (91, ""), (92, "ab"), (93, "ab"), (94, "b"), (95, "[a")]
+    got = ingest.contained(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame(needles, "k int, n string"), "n")
+    assert sorted(got.columns) == ["i", "k", "n", "t"]
+    assert sorted((r["i"], r["k"]) for r in rows(got)) == sorted((i, k) for i, t in texts for k, n in needles if t and n and n in t)
+
+
+def test_few_needles_go_to_the_texts(spark):
+    """Texts stay where they are, and a long one takes time in proportion to its characters."""
+    texts = spark.createDataFrame([(1, "公ab." * 60_000 + "end")], "i int, t string").repartition(2)
+    texts.count()
+    got = ingest.contained(texts, "t", spark.createDataFrame([("end",), ("b",), ("none",)], "n string").repartition(2), "n").select("i", "n")
+    began = time.perf_counter()
+    assert sorted(r["n"] for r in rows(got)) == ["b", "end"]
+    assert time.perf_counter() - began < 30
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contained_passages(spark):
     texts = spark.createDataFrame([(1, "xx one two  three four five six"), (2, "three four"), (3, None), (4, "one two three")], "i int, t string")
     needles = spark.createDataFrame([("a", "ne two  three four f"), ("b", "three"), ("c", ""), ("d", None)], "k string, n string")
